@@ -57,4 +57,5 @@ def load_all() -> None:
     """Import every catalog module so that its queries register."""
     from roomtrace.plans import (  # noqa: F401
         catalog_core,
+        catalog_profiles,
     )

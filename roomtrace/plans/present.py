@@ -23,7 +23,9 @@ def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
         c = F.col(f"`{f.name}`")
         t = f.dataType
         if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits)
+            # round(x * 10^d) / 10^d: both engines form the same IEEE product and round it
+            # half away from zero, so ties at the last digit agree.
+            c = F.round(c.cast("double") * float(10 ** digits), 0) / float(10 ** digits)
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, TS_FMT_SPARK)
         elif isinstance(t, T.DateType):
@@ -36,7 +38,8 @@ def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 def present_sql(inner: str, doubles=(), ts=(), dates=(), ints=(), digits: int = DIGITS) -> str:
     """``select * replace (...)`` over ``inner`` with the same rules as ``present``."""
-    rep = [f"round(cast({c} as double), {digits}) as {c}" for c in doubles]
+    scale = f"{float(10 ** digits)}"
+    rep = [f"round(cast({c} as double) * {scale}) / {scale} as {c}" for c in doubles]
     rep += [f"strftime({c}, '{TS_FMT_DUCK}') as {c}" for c in ts]
     rep += [f"strftime({c}, '%Y-%m-%d') as {c}" for c in dates]
     rep += [f"cast({c} as bigint) as {c}" for c in ints]
