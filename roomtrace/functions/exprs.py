@@ -145,7 +145,7 @@ def color_name(x) -> Column:
 
 def scale_clamp(v, sensor_max: float = 786.0, target_max: int = 255) -> Column:
     """``clamp(int(v / sensor_max * target_max), 0, target_max)``; a missing value gives 0."""
-    scaled = F.try_cast(_c(v) / F.lit(sensor_max) * F.lit(target_max), "int")
+    scaled = (_c(v) / F.lit(sensor_max) * F.lit(target_max)).try_cast("int")
     return F.coalesce(F.least(F.greatest(scaled, F.lit(0)), F.lit(target_max)), F.lit(0))
 
 

@@ -23,12 +23,12 @@ def coerce_numeric(df: DataFrame, strict_ints: bool = False) -> DataFrame:
     out = df
     for c in ["timestamp_monotonic", "temperature_sht", "humidity", "pressure"]:
         if c in df.columns:
-            out = out.withColumn(c, nan_to_null(F.try_cast(F.col(c).cast("string"), "double")))
+            out = out.withColumn(c, nan_to_null(F.col(c).cast("string").try_cast("double")))
     for c in ["light", "sound_level"]:
         if c in df.columns:
             txt = F.col(c).cast("string")
-            v = (F.try_cast(txt, "bigint") if strict_ints
-                 else F.try_cast(nan_to_null(F.try_cast(txt, "double")), "bigint"))
+            v = (txt.try_cast("bigint") if strict_ints
+                 else nan_to_null(txt.try_cast("double")).try_cast("bigint"))
             out = out.withColumn(c, v)
     return out
 

@@ -58,4 +58,5 @@ def load_all() -> None:
     from roomtrace.plans import (  # noqa: F401
         catalog_core,
         catalog_profiles,
+        catalog_color,
     )

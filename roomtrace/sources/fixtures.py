@@ -164,7 +164,7 @@ def raw_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_audio_sql() -> str:
     return (
         "select cast(user_id % 2 as int) as device_id, ts, "
-        f"list_transform(range(0, {AUDIO_SAMPLES}), i -> "
+        f"list_transform(range(0, {AUDIO_SAMPLES}), lambda i: "
         "cast(32768 + (event_id * 131 + i * 977) % 4001 - 2000 as int)) as samples from events"
     )
 
