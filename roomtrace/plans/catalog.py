@@ -59,4 +59,5 @@ def load_all() -> None:
         catalog_core,
         catalog_profiles,
         catalog_color,
+        catalog_stats,
     )
