@@ -58,24 +58,55 @@ def hour_float(ts) -> Column:
     return F.hour(c) + F.minute(c) / 60.0
 
 
-def hour_floor(ts) -> Column:
-    """Start of the hour, staying TIMESTAMP_NTZ (``date_trunc`` would go through the session zone)."""
-    return F.window(_c(ts), "1 hour").start
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def _interval_seconds(iv: Column) -> Column:
+    # NTZ - NTZ is a day-time interval computed on wall-clock micros; unlike
+    # timestamp_diff/date_trunc it never consults the session time zone.
+    return iv.cast("interval second").cast("decimal(24,6)")
 
 
 def seconds_between(a, b) -> Column:
     """(a - b) in seconds as DOUBLE for TIMESTAMP_NTZ columns, exact and session-zone independent."""
-    return F.timestamp_diff("MICROSECOND", _c(b), _c(a)) / 1e6
+    return _interval_seconds(_c(a) - _c(b)).cast("double")
+
+
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 of an NTZ wall time (session-zone independent)."""
+    return (_interval_seconds(_c(ts) - F.lit(EPOCH_NTZ).cast("timestamp_ntz")) * 1000000).cast("bigint")
+
+
+def floor_to(ts, seconds: int) -> Column:
+    """Start of the ``seconds``-long bucket (aligned to the epoch), staying TIMESTAMP_NTZ.
+
+    Pure interval arithmetic: usable several times in one projection (unlike
+    ``window``) and independent of the session zone (unlike ``date_trunc``).
+    """
+    n = F.floor(epoch_micros(ts) / F.lit(seconds * 1000000))
+    return F.lit(EPOCH_NTZ).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
+                                                                       (n * seconds).cast("decimal(18,6)"))
+
+
+def hour_floor(ts) -> Column:
+    """Start of the hour, staying TIMESTAMP_NTZ."""
+    return floor_to(ts, 3600)
 
 
 def month_str(ts) -> Column:
-    return F.date_format(_c(ts), "yyyy-MM")
+    """``YYYY-MM`` of a wall time (``date_format`` would go through the session zone for NTZ)."""
+    c = _c(ts)
+    return F.format_string("%04d-%02d", F.year(c), F.month(c))
 
 
-def iso_str(ts, micros: bool = False) -> Column:
-    """Render a timestamp as text for sinks (the reference writes ISO text)."""
-    fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS" if micros else "yyyy-MM-dd HH:mm:ss"
-    return F.date_format(_c(ts), fmt)
+def iso_str(ts, micros: bool = True, sep: str = " ") -> Column:
+    """Render an NTZ wall time as ISO text from its components (session-zone independent)."""
+    c = _c(ts)
+    base = F.format_string(f"%04d-%02d-%02d{sep}%02d:%02d:%02d", F.year(c), F.month(c), F.dayofmonth(c),
+                           F.hour(c), F.minute(c), F.second(c))
+    if micros:
+        base = F.concat(base, F.format_string(".%06d", F.pmod(epoch_micros(c), F.lit(1000000))))
+    return F.when(c.isNotNull(), base)
 
 
 # ---------------------------------------------------------------------------

@@ -34,7 +34,8 @@ def _lit_ts(v) -> Column:
         v = _dt.datetime.fromisoformat(v.replace("Z", "+00:00"))
     if isinstance(v, _dt.datetime) and v.tzinfo is not None:
         v = v.astimezone(_dt.timezone.utc).replace(tzinfo=None)
-    return F.lit(v).cast("timestamp_ntz")
+    # A Python datetime literal would become a zone-dependent TIMESTAMP; text casts straight to NTZ.
+    return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def time_range(df: DataFrame, token=None, as_of=None, ts_col: str = "gw_timestamp") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomtrace.functions.exprs import first_max, hour_float, seconds_between, to_local
+from roomtrace.functions.exprs import first_max, hour_float, iso_str, month_str, seconds_between, to_local
 from roomtrace.operators.grain import long_form
 
 # Display names of the sensors in insight texts.
@@ -109,7 +109,7 @@ def insight_anomaly(anoms: DataFrame) -> DataFrame:
     a = latest.select("device_id", "a.*")
     return _rows(a, "anomaly", F.lit("high"), F.format_string("Unusual %s detected", _name()),
                  F.format_string("Detected %s anomaly on %s: %s (%s sigma from normal)", F.col("severity"),
-                                 F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss"), num("value", 2), num(F.abs("z"))),
+                                 iso_str("t", micros=False, sep="T"), num("value", 2), num(F.abs("z"))),
                  F.col("sensor"), F.col("z"))
 
 
@@ -152,7 +152,7 @@ def insight_day_summary(df: DataFrame, stats: DataFrame, tz: str = "America/Chic
 
 def insight_vs_last_period(df: DataFrame, tz: str = "America/Chicago") -> DataFrame:
     """Each month's sensor means against the previous month ("15 % lower than last month")."""
-    lf = long_form(df).withColumn("month", F.date_format(to_local("gw_timestamp", tz), "yyyy-MM"))
+    lf = long_form(df).withColumn("month", month_str(to_local("gw_timestamp", tz)))
     m = lf.groupBy("device_id", "sensor", "month").agg(F.avg("value").alias("mean"))
     prev = F.lag("mean").over(Window.partitionBy("device_id", "sensor").orderBy("month"))
     m = m.withColumn("prev_mean", prev).withColumn("pct", F.try_divide(F.col("mean") - F.col("prev_mean"),

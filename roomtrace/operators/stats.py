@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomtrace.functions.exprs import hour_floor, pct, safe_corr, seconds_between
+from roomtrace.functions.exprs import hour_floor, month_str, pct, safe_corr, seconds_between
 from roomtrace.operators.series import top_n
 from roomtrace.schema import NUMERIC_SENSORS
 
@@ -169,7 +169,7 @@ def calendar_month(df: DataFrame, sensor: str, year: int | None = None, month: i
     Without ``year``/``month`` every month is computed (keyed by ``month``).
     """
     v = F.col(sensor).cast("double")
-    d = df.where(v.isNotNull()).select("device_id", F.date_format(ts, "yyyy-MM").alias("month"),
+    d = df.where(v.isNotNull()).select("device_id", month_str(ts).alias("month"),
                                        F.dayofmonth(ts).alias("day"), v.alias("v"))
     if year is not None and month is not None:
         d = d.where(F.col("month") == f"{year:04d}-{month:02d}")

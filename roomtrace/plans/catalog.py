@@ -60,4 +60,5 @@ def load_all() -> None:
         catalog_profiles,
         catalog_color,
         catalog_stats,
+        catalog_anomalies,
     )

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roomtrace.functions.exprs import iso_str
+
 TS_FMT_SPARK = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 TS_FMT_DUCK = "%Y-%m-%d %H:%M:%S.%f"
 DIGITS = 6
@@ -26,10 +28,12 @@ def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
             # round(x * 10^d) / 10^d: both engines form the same IEEE product and round it
             # half away from zero, so ties at the last digit agree.
             c = F.round(c.cast("double") * float(10 ** digits), 0) / float(10 ** digits)
-        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        elif isinstance(t, T.TimestampNTZType):
+            c = iso_str(c)
+        elif isinstance(t, T.TimestampType):
             c = F.date_format(c, TS_FMT_SPARK)
         elif isinstance(t, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
+            c = c.cast("string")
         elif isinstance(t, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         cols.append(c.alias(f.name))

@@ -20,7 +20,10 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "roomtrace") -> SparkSession:
+def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "roomtrace",
+              tz: str = "UTC", extra: dict | None = None) -> SparkSession:
+    """Local session for tests and benchmarks.  Results do not depend on ``tz``: all
+    timestamps are TIMESTAMP_NTZ and every operator avoids zone-dependent functions."""
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -28,8 +31,10 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", tz)
     )
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
