@@ -61,4 +61,5 @@ def load_all() -> None:
         catalog_color,
         catalog_stats,
         catalog_anomalies,
+        catalog_quality,
     )
