@@ -88,6 +88,17 @@ def floor_to(ts, seconds: int) -> Column:
                                                                        (n * seconds).cast("decimal(18,6)"))
 
 
+def instant_from_utc_wall(ts) -> Column:
+    """UTC wall time (NTZ) -> TIMESTAMP instant (needed for watermarks), without the session zone."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def utc_wall_from_instant(t) -> Column:
+    """TIMESTAMP instant -> its UTC wall time as NTZ, without the session zone."""
+    secs = (F.unix_micros(_c(t)) / F.lit(1000000)).cast("decimal(24,6)")
+    return F.lit(EPOCH_NTZ).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
+
+
 def hour_floor(ts) -> Column:
     """Start of the hour, staying TIMESTAMP_NTZ."""
     return floor_to(ts, 3600)
