@@ -67,11 +67,8 @@ def time_range(df: DataFrame, token=None, as_of=None, ts_col: str = "gw_timestam
 def localize(df: DataFrame, tz: str = DEFAULT_TZ, ts_col: str = "gw_timestamp") -> DataFrame:
     """Add local wall time and its labels: local_ts, local_date, local_hour (h + min/60), local_month, hour."""
     lt = to_local(F.col(ts_col), tz)
-    return (df.withColumn("local_ts", lt)
-            .withColumn("local_date", F.to_date("local_ts"))
-            .withColumn("local_hour", hour_float("local_ts"))
-            .withColumn("local_month", month_str("local_ts"))
-            .withColumn("hour", F.hour("local_ts")))
+    return df.withColumns({"local_ts": lt, "local_date": F.to_date(lt), "local_hour": hour_float(lt),
+                           "local_month": month_str(lt), "hour": F.hour(lt)})
 
 
 def calendar_cols(df: DataFrame, ts_col: str = "local_ts") -> DataFrame:

@@ -41,9 +41,9 @@ def clean_drop(df: DataFrame) -> DataFrame:
 def clean_mask(df: DataFrame, pressure_min: float = 900.0, light_max: int = 70000) -> DataFrame:
     """Mask implausible cells to NULL (pressure < 900, light > 70000) and drop rows without time."""
     return (df.where(F.col("gw_timestamp").isNotNull())
-            .withColumn("pressure", F.when(~(F.col("pressure") < pressure_min) | F.col("pressure").isNull(),
-                                           F.col("pressure")))
-            .withColumn("light", F.when(~(F.col("light") > light_max) | F.col("light").isNull(), F.col("light"))))
+            .withColumns({"pressure": F.when(~(F.col("pressure") < pressure_min) | F.col("pressure").isNull(),
+                                             F.col("pressure")),
+                          "light": F.when(~(F.col("light") > light_max) | F.col("light").isNull(), F.col("light"))}))
 
 
 def clean_audit(df: DataFrame, pressure_min: float = 900.0, light_max: int = 70000) -> DataFrame:
@@ -96,11 +96,8 @@ def apply_offset(df: DataFrame, offsets: DataFrame) -> DataFrame:
     """
     lt = F.col("gw_timestamp") + F.make_dt_interval(F.lit(0), F.col("inferred_offset"))
     return (df.join(offsets, "device_id")
-            .withColumn("local_time", lt)
-            .withColumn("hour", F.hour("local_time"))
-            .withColumn("month", month_str("local_time"))
-            .withColumn("date", F.to_date("local_time"))
-            .withColumn("local_hour", hour_float("local_time")))
+            .withColumns({"local_time": lt, "hour": F.hour(lt), "month": month_str(lt), "date": F.to_date(lt),
+                          "local_hour": hour_float(lt)}))
 
 
 def offset_frame(readings: DataFrame) -> DataFrame:

@@ -24,10 +24,8 @@ def hour_spine(bins: DataFrame, key: str = "hour_ts", step: str = "1 hour") -> D
 
 def add_local_labels(df: DataFrame, tz: str = DEFAULT_TZ, key: str = "hour_ts") -> DataFrame:
     lt = to_local(F.col(key), tz)
-    return (df.withColumn("local_ts", lt)
-            .withColumn("local_date", F.to_date(lt))
-            .withColumn("local_month", month_str(lt))
-            .withColumn("hour", F.hour(lt)))
+    return df.withColumns({"local_ts": lt, "local_date": F.to_date(lt), "local_month": month_str(lt),
+                           "hour": F.hour(lt)})
 
 
 def hourly_resample(clean: DataFrame, tz: str = DEFAULT_TZ, spine: bool = True) -> DataFrame:

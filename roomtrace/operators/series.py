@@ -121,11 +121,11 @@ def robust_z(hourly: DataFrame, cols=SCORE_COLS, k: float = 0.6745) -> DataFrame
     mad = j.groupBy("device_id").agg(*[pct(F.abs(F.col(c) - F.col(f"_{c}_med")), 0.5).alias(f"_{c}_mad")
                                        for c in cols])
     j = j.join(mad, "device_id")
+    rz = {}
     for c in cols:
         m = F.col(f"_{c}_mad")
-        j = j.withColumn(f"{c}_rz", F.when(m.isNull() | (m == 0), F.lit(0.0))
-                         .otherwise(k * (F.col(c) - F.col(f"_{c}_med")) / m))
-    return j.drop(*[f"_{c}_med" for c in cols], *[f"_{c}_mad" for c in cols])
+        rz[f"{c}_rz"] = F.when(m.isNull() | (m == 0), F.lit(0.0)).otherwise(k * (F.col(c) - F.col(f"_{c}_med")) / m)
+    return j.withColumns(rz).drop(*[f"_{c}_med" for c in cols], *[f"_{c}_mad" for c in cols])
 
 
 def anomaly_score(hourly: DataFrame, cols=SCORE_COLS, quantile: float = 0.995) -> DataFrame:

@@ -62,4 +62,5 @@ def load_all() -> None:
         catalog_stats,
         catalog_anomalies,
         catalog_quality,
+        catalog_sections,
     )

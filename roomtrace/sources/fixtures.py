@@ -30,9 +30,10 @@ _R1_SPARK = [
     "else cast(floor(value * 10) as int) * greatest(0, 7 - abs(cast(hour({T}) as int) - 13)) end as bigint) as light",
     "cast(cast(get_json_object(props, '$.k') as int) "
     "+ case when event_type = 'error' then 100 else 0 end as bigint) as sound_level",
+    # same text as format_string('#%02X%02X%02X', ...) without a per-row java Formatter
     "case when event_id % 53 = 0 then null when event_id % 211 = 0 then 'bad' "
-    "else format_string('#%02X%02X%02X', (event_id * 7 % 8) * 32, (event_id * 13 % 8) * 32, "
-    "(event_id * 3 % 8) * 32) end as color_hex",
+    "else concat('#', lpad(hex((event_id * 7 % 8) * 32), 2, '0'), lpad(hex((event_id * 13 % 8) * 32), 2, '0'), "
+    "lpad(hex((event_id * 3 % 8) * 32), 2, '0')) end as color_hex",
 ]
 
 _R1_DUCK = [
@@ -58,8 +59,24 @@ _R2_T_SPARK = "ts + (ts - timestamp_ntz'2024-01-01 00:00:00') * 3"
 _R2_T_DUCK = "ts + (ts - timestamp '2024-01-01 00:00:00') * 3"
 
 
+_SCANS: dict = {}
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The ``events`` scan.  The logical plan is reused per session and path so that a query
+    built from several fixture views resolves the files once (no data is cached).
+
+    A round-robin repartition for single-row-group inputs was measured and
+    rejected: at 100k rows the extra exchange costs more than it saves, and
+    real tables arrive in many splits anyway.
+    """
+    try:
+        key = (spark.sparkContext.applicationId, sf_dir)
+    except Exception:  # sessions without a SparkContext: plain scan
+        return spark.read.parquet(f"{sf_dir}/events.parquet")
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _SCANS[key]
 
 
 def readings_r1(spark: SparkSession, sf_dir: str) -> DataFrame:
