@@ -202,7 +202,8 @@ def q_discomfort_days(spark, sf_dir):
     return comfort.discomfort_days(loc(spark, sf_dir))
 
 
-def comfort_sql(t="temperature_sht", h="humidity", lt="cast(light as double)", s="cast(sound_level as double)"):
+def comfort_sql(t="temperature_sht", h="humidity", lt="cast(light as double)", s="cast(sound_level as double)",
+                weights=None):
     ts = (f"(case when {t} between 68 and 74 then 100.0 when {t} between 65 and 77 then 80.0 "
           f"when {t} between 60 and 80 then 60.0 else greatest(0.0, 100 - abs({t} - 71) * 5) end)")
     hs = (f"(case when {h} between 40 and 50 then 100.0 when {h} between 35 and 55 then 80.0 "
@@ -210,8 +211,8 @@ def comfort_sql(t="temperature_sht", h="humidity", lt="cast(light as double)", s
     ls = f"(case when {lt} between 500 and 2000 then 100.0 when {lt} between 200 and 3000 then 80.0 else 60.0 end)"
     ss = (f"(case when {s} < 100 then 100.0 when {s} < 200 then 80.0 when {s} < 400 then 60.0 "
           f"else greatest(0.0, 100 - ({s} - 400) / 5) end)")
-    w = X.COMFORT_WEIGHTS
-    raw = f"({ts} * {w['temperature']} + {hs} * {w['humidity']} + {ls} * {w['light']} + {ss} * {w['sound']})"
+    w = dict(X.COMFORT_WEIGHTS, **(weights or {}))
+    raw =f"({ts} * {w['temperature']} + {hs} * {w['humidity']} + {ls} * {w['light']} + {ss} * {w['sound']})"
     anynull = f"({t} is null or {h} is null or {lt} is null or {s} is null)"
     rating = "case " + " ".join(f"when {raw} >= {c} then '{lab}'" for c, lab in X.COMFORT_RATINGS) + " else 'Very Poor' end"
     return {
@@ -333,3 +334,25 @@ def q_normalize_device(spark, sf_dir):
     return normalize_device(clean(spark, sf_dir)).select(
         "device_id", "gw_timestamp", "temperature_sht", "humidity", "pressure", "timestamp_monotonic", "timestamp_iso")
 
+
+
+@register("color_by_month", S.cte(**S.base("r2"), cf=_CF, bl=_blend("device_id, local_month")) + " select * from bl",
+          ints=("device_id",))
+def q_color_by_month(spark, sf_dir):
+    return color.color_by_month(frame(spark, sf_dir, "r2"))
+
+
+# A comfort profile: user-chosen weights (bands stay fixed); equal weights here.
+PROFILE_WEIGHTS = {"temperature": 0.25, "humidity": 0.25, "light": 0.25, "sound": 0.25}
+
+
+def _comfort_profile_sql():
+    cs = comfort_sql(weights=PROFILE_WEIGHTS)
+    return f"select device_id, gw_timestamp, {cs['comfort_index']} as comfort_index, {cs['rating']} as rating from loc"
+
+
+@register("comfort_profile", S.cte(**S.base("r1")) + _comfort_profile_sql(), doubles=("comfort_index",),
+          ts=("gw_timestamp",), ints=("device_id",))
+def q_comfort_profile(spark, sf_dir):
+    return comfort.comfort_timeline(loc(spark, sf_dir), weights=PROFILE_WEIGHTS).select(
+        "device_id", "gw_timestamp", "comfort_index", "rating")

@@ -547,3 +547,13 @@ def q_weather_compare(spark, sf_dir):
           doubles=("correlation",), ints=("device_id", "lag_hours"))
 def q_outdoor_lag_profile(spark, sf_dir):
     return weather.outdoor_lag_profile(hw(spark, sf_dir))
+
+
+@register("episode_weather", S.cte(**S.base("r1"), h=S.hourly("clean"), **_score_sql(), **_episodes_sql(),
+                                   w1=S.W1) + """
+select e.device_id, e.episode, sum(w.precipitation) as rain_sum, max(w.wind_gusts_10m) as gust_max,
+       count(*) as weather_hours from eps e join w1 w on w.hour_ts between e.start and e."end" group by all""",
+          doubles=("rain_sum", "gust_max"), ints=("device_id",))
+def q_episode_weather(spark, sf_dir):
+    eps = series.episodes(series.anomaly_score(grain.hourly_resample(clean(spark, sf_dir))))
+    return series.join_episode_weather(eps, weather_w1(spark))
