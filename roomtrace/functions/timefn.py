@@ -58,8 +58,10 @@ def time_range(df: DataFrame, token=None, as_of=None, ts_col: str = "gw_timestam
         return df
     if as_of is not None:
         return df.where(ts >= _lit_ts(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    from roomtrace.operators.joins import join_small
+
     newest = df.groupBy("device_id").agg(F.max(ts_col).alias("_as_of"))
-    return (df.join(newest, "device_id")
+    return (join_small(df, newest, "device_id")
             .where(ts >= F.col("_as_of") - F.make_dt_interval(F.lit(0), F.lit(hours)))
             .drop("_as_of"))
 

@@ -95,7 +95,9 @@ def apply_offset(df: DataFrame, offsets: DataFrame) -> DataFrame:
     ``offsets`` has one row per device.
     """
     lt = F.col("gw_timestamp") + F.make_dt_interval(F.lit(0), F.col("inferred_offset"))
-    return (df.join(offsets, "device_id")
+    from roomtrace.operators.joins import join_small
+
+    return (join_small(df, offsets, "device_id")
             .withColumns({"local_time": lt, "hour": F.hour(lt), "month": month_str(lt), "date": F.to_date(lt),
                           "local_hour": hour_float(lt)}))
 

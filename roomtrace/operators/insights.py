@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from roomtrace.functions.exprs import first_max, hour_float, iso_str, month_str, seconds_between, to_local
 from roomtrace.operators.grain import long_form
+from roomtrace.operators.joins import join_small
 
 # Display names of the sensors in insight texts.
 SENSOR_NAMES = {
@@ -60,7 +61,7 @@ def trend_slopes(df: DataFrame, sensors=("temperature_sht", "humidity", "pressur
     if mode == "elapsed":
         first = df.groupBy("device_id").agg(F.min("gw_timestamp").alias("_t0"))
         x = seconds_between(F.col("gw_timestamp"), F.col("_t0")) / 86400.0
-        g = (lf.join(first, "device_id").withColumn("_x", x).groupBy("device_id", "sensor")
+        g = (join_small(lf, first, "device_id").withColumn("_x", x).groupBy("device_id", "sensor")
              .agg(F.regr_slope("value", "_x").alias("daily_change"), F.count("value").alias("n")))
     else:
         d = df.select("device_id", "gw_timestamp").withColumn("_day", F.to_date("gw_timestamp"))
@@ -68,7 +69,7 @@ def trend_slopes(df: DataFrame, sensors=("temperature_sht", "humidity", "pressur
         wd = Window.partitionBy("device_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
         offs = per_day.withColumn("_off", F.coalesce(F.sum("_c").over(wd), F.lit(0)))
         rn = F.row_number().over(Window.partitionBy("device_id", "_day").orderBy("gw_timestamp")) - 1
-        idx = (d.withColumn("_rn", rn).join(offs, ["device_id", "_day"])
+        idx = (join_small(d.withColumn("_rn", rn), offs, ["device_id", "_day"])
                .select("device_id", "gw_timestamp", (F.col("_off") + F.col("_rn")).alias("_x")))
         g = (lf.join(idx, ["device_id", "gw_timestamp"]).groupBy("device_id", "sensor")
              .agg((F.regr_slope("value", "_x") * samples_per_day).alias("daily_change"), F.count("value").alias("n")))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomtrace.functions.exprs import first_max, hour_float, month_str, pct, safe_corr, seconds_between, to_local
+from roomtrace.operators.joins import join_small
 
 # ---------------------------------------------------------------------------
 # run-analysis sections (frame from ``clean.offset_frame``: local_time, hour, month, date)
@@ -81,7 +82,7 @@ def light_days(loc: DataFrame, min_samples: int = 50, min_p95: float = 100) -> D
            .agg(F.count("light").alias("n"), pct("light", 0.95).alias("p95"), pct("light", 0.9).alias("p90"),
                 first_max("light", "gw_timestamp").alias("pk"))
            .where((F.col("n") >= min_samples) & (F.col("p95") >= min_p95)))
-    bright = (lit.join(day.select("device_id", "local_date", "p90"), ["device_id", "local_date"])
+    bright = (join_small(lit, day.select("device_id", "local_date", "p90"), ["device_id", "local_date"])
               .where(F.col("light") >= F.col("p90"))
               .groupBy("device_id", "local_date")
               .agg(F.min("gw_timestamp").alias("b0"), F.max("gw_timestamp").alias("b1")))
@@ -155,7 +156,7 @@ def activity_profile(loc: DataFrame, classes: DataFrame, labels=("quiet", "activ
 
     Conditional percentiles in one aggregate (what ``pivot`` compiles to).
     """
-    j = loc.join(classes.select("device_id", "local_date", "activity_class"), ["device_id", "local_date"], "left")
+    j = join_small(loc, classes.select("device_id", "local_date", "activity_class"), ["device_id", "local_date"], "left")
     aggs = []
     for lab in labels:
         on = F.col("activity_class") == lab

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomtrace.functions.exprs import pct, safe_corr, seconds_between, to_local
+from roomtrace.operators.joins import join_small
 
 
 def time_gaps(df: DataFrame, ts: str = "gw_timestamp", bucket: str = "1 hour") -> DataFrame:
@@ -24,19 +25,19 @@ def time_gaps(df: DataFrame, ts: str = "gw_timestamp", bucket: str = "1 hour") -
     """
     d = df.withColumn("_b", F.window(ts, bucket).start)
     w = Window.partitionBy("device_id", "_b").orderBy(ts, "timestamp_monotonic")
-    d = (d.withColumn("_pts", F.lag(ts).over(w))
-         .withColumn("_pmono", F.lag("timestamp_monotonic").over(w))
-         .withColumn("_first", F.row_number().over(w) == 1))
-    last = d.groupBy("device_id", "_b").agg(
-        F.max(F.struct(F.col(ts).alias("t"), F.col("timestamp_monotonic").alias("m"))).alias("_last"))
+    d = d.withColumns({"_pts": F.lag(ts).over(w), "_pmono": F.lag("timestamp_monotonic").over(w),
+                       "_first": F.row_number().over(w) == 1, "_islast": F.lead(ts).over(w).isNull()})
+    # the bucket's last row comes out of the same window pass (no second aggregate over raw rows)
+    last = d.where("_islast").select(
+        "device_id", "_b", F.struct(F.col(ts).alias("t"), F.col("timestamp_monotonic").alias("m")).alias("_last"))
     prev = last.select("device_id", "_b",
                        F.lag("_last").over(Window.partitionBy("device_id").orderBy("_b")).alias("_prev"))
-    out = d.join(prev, ["device_id", "_b"], "left")
+    out = join_small(d, prev, ["device_id", "_b"], "left")
     pts = F.when(F.col("_first"), F.col("_prev.t")).otherwise(F.col("_pts"))
     pmono = F.when(F.col("_first"), F.col("_prev.m")).otherwise(F.col("_pmono"))
     return (out.withColumn("gw_gap_s", seconds_between(F.col(ts), pts))
             .withColumn("mono_gap_s", F.col("timestamp_monotonic") - pmono)
-            .drop("_b", "_pts", "_pmono", "_first", "_prev"))
+            .drop("_b", "_pts", "_pmono", "_first", "_islast", "_prev"))
 
 
 def gap_rows(gaps: DataFrame, min_gap_s: float = 3600, tz: str | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomtrace.functions.exprs import hour_floor, month_str, pct, safe_corr, seconds_between
+from roomtrace.operators.joins import join_small
 from roomtrace.operators.series import top_n
 from roomtrace.schema import NUMERIC_SENSORS
 
@@ -61,7 +62,7 @@ def histogram(df: DataFrame, sensor: str, bins: int = 20) -> DataFrame:
     rng = d.groupBy("device_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     b = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(
         F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1, F.lit(bins)))
-    return (d.join(rng, "device_id").withColumn("bucket", b.cast("int"))
+    return (join_small(d, rng, "device_id").withColumn("bucket", b.cast("int"))
             .groupBy("device_id", "bucket").agg(F.count(F.lit(1)).alias("count"), F.first("lo").alias("_lo"),
                                                  F.first("hi").alias("_hi"))
             .select("device_id", F.lit(sensor).alias("sensor"), "bucket",
