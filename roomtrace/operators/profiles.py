@@ -132,10 +132,9 @@ def activity_class(days: DataFrame) -> DataFrame:
     ranked = (days.withColumn("light_rank", percent_rank_avg("light_p75"))
               .withColumn("sound_rank", percent_rank_avg("sound_p75"))
               .withColumn("activity_score", (F.col("light_rank") + F.col("sound_rank")) / 2.0))
-    q = ranked.groupBy("device_id").agg(pct("activity_score", 0.25).alias("q1"),
-                                        pct("activity_score", 0.75).alias("q3"))
+    w = Window.partitionBy("device_id")
     s = F.col("activity_score")
-    return (ranked.join(q, "device_id")
+    return (ranked.withColumns({"q1": pct("activity_score", 0.25).over(w), "q3": pct("activity_score", 0.75).over(w)})
             .withColumn("activity_class", F.when(s >= F.col("q3"), "active").when(s <= F.col("q1"), "quiet")
                         .otherwise("middle"))
             .drop("q1", "q3"))
