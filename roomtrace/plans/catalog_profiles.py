@@ -435,7 +435,7 @@ def q_anomaly_score(spark, sf_dir):
 
 
 @register("episodes", S.cte(**S.base("r2"), h=S.hourly("clean"), **_score_sql(), **_episodes_sql())
-          + " select * from eps", doubles=_EP_DOUBLES, ts=("start", '"end"'), ints=("device_id",))
+          + " select * from eps", doubles=_EP_DOUBLES, ts=("start", '"end"'), ints=("device_id", "episode"))
 def q_episodes(spark, sf_dir):
     return series.episodes(series.anomaly_score(grain.hourly_resample(clean(spark, sf_dir, "r2"))))
 
@@ -455,7 +455,7 @@ def _labels_sql():
 @register("top_episodes", S.cte(**S.base("r1"), h=S.hourly("clean"), **_score_sql(), **_episodes_sql(),
                                 **_labels_sql()) + """
 select * from lab qualify row_number() over (partition by device_id order by score desc, start) <= 10""",
-          doubles=_EP_DOUBLES + ("rain_sum", "gust_max"), ts=("start", '"end"'), ints=("device_id",))
+          doubles=_EP_DOUBLES + ("rain_sum", "gust_max"), ts=("start", '"end"'), ints=("device_id", "episode"))
 def q_top_episodes(spark, sf_dir):
     eps = series.episodes(series.anomaly_score(grain.hourly_resample(clean(spark, sf_dir))))
     return series.top_episodes(series.episode_labels(eps, weather_w1(spark)))
@@ -553,7 +553,7 @@ def q_outdoor_lag_profile(spark, sf_dir):
                                    w1=S.W1) + """
 select e.device_id, e.episode, sum(w.precipitation) as rain_sum, max(w.wind_gusts_10m) as gust_max,
        count(*) as weather_hours from eps e join w1 w on w.hour_ts between e.start and e."end" group by all""",
-          doubles=("rain_sum", "gust_max"), ints=("device_id",))
+          doubles=("rain_sum", "gust_max"), ints=("device_id", "episode"))
 def q_episode_weather(spark, sf_dir):
     eps = series.episodes(series.anomaly_score(grain.hourly_resample(clean(spark, sf_dir))))
     return series.join_episode_weather(eps, weather_w1(spark))
