@@ -1,9 +1,9 @@
 """Outdoor weather: localisation, hourly join and the indoor/outdoor comparisons.
 
 The weather table is hourly (its size is bounded by the hours of the
-period, not by the readings), keyed by the UTC hour start.  No broadcast
-hint is forced: Spark's size check (and AQE at runtime) picks a broadcast
-when it is small and a shuffle join otherwise.
+period, not by the readings), keyed by the UTC hour start.  It is joined
+through ``join_small``: broadcast after a row-count check, a shuffle join
+beyond it.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomtrace.functions.exprs import celsius_to_fahrenheit, pct, safe_corr
+from roomtrace.operators.joins import join_small
 from roomtrace.operators.series import lag_profile
 
 
@@ -24,7 +25,7 @@ def join_weather(hourly: DataFrame, weather: DataFrame) -> DataFrame:
     """Hourly bins inner-joined to weather on the hour."""
     w = weather_prepare(weather).select("hour_ts", "outdoor_temp_f", "pressure_msl", "precipitation", "rain",
                                         "wind_gusts_10m")
-    return hourly.join(w, "hour_ts")
+    return join_small(hourly, w, "hour_ts")
 
 
 def monthly_coupling(hw: DataFrame) -> DataFrame:

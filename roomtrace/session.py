@@ -48,15 +48,23 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str =
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="roomtrace-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     try:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # pragma: no cover - connect sessions have no SparkContext
+        d = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:
+        d = None
+    sc = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # pragma: no cover - Spark Connect sessions have no SparkContext
         pass
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
+    if not d:
+        d = tempfile.mkdtemp(prefix="roomtrace-ckpt-")  # unset: local runs and tests only
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # pragma: no cover - static conf on some deployments
+            pass
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
