@@ -304,3 +304,38 @@ def test_discomfort_days_top8_nulls_last(spark):
                          "humidity": 30.0, "sound_level": 10 if d else None})
     top = comfort.discomfort_days(localize(readings(spark, rows))).collect()
     assert len(top) == 8
+
+
+def test_trend_needs_ten_rows(spark):
+    from roomtrace.operators import insights as I
+
+    nine = readings(spark, series_rows(9, step_s=86400, temperature_sht=lambda i: 60.0 + 3 * i))
+    assert I.insight_trend(nine).count() == 0
+    ten = readings(spark, series_rows(10, step_s=86400, temperature_sht=lambda i: 60.0 + 3 * i))
+    r = I.insight_trend(ten).collect()
+    assert len(r) == 1 and r[0].metric == pytest.approx(3.0) and r[0].priority == "high"
+
+
+def test_all_null_sensor_statistics(spark):
+    df = readings(spark, series_rows(5, humidity=None, temperature_sht=lambda i: 60.0 + i))
+    s = {r.sensor: r for r in stats.statistics(df).collect()}
+    h = s["humidity"]
+    assert h["count"] == 5 and h.missing_count == 5 and h.missing_percent == 100.0
+    assert h.mean is None and h.min_timestamp is None
+    assert s["temperature_sht"].median == 62.0
+
+
+def test_quality_flags_counts_duplicates(spark):
+    from roomtrace.operators.quality import quality_flags
+
+    rows = series_rows(3, light=0, temperature_sht=-1.0)
+    df = readings(spark, rows + rows[:2] + rows[:1])
+    q = quality_flags(df).collect()[0]
+    assert q.duplicate_rows == 3 and q.zero_light == 6 and q.negative_temperature == 6
+
+
+def test_spring_forward_day_local_labels(spark):
+    # 2025-03-09 in America/Chicago has 23 local hours; every UTC hour keeps its own bin
+    rows = series_rows(24 * 12, start=dt.datetime(2025, 3, 9, 6, 0), step_s=300, light=1)
+    h = grain.hourly_resample(readings(spark, rows)).where(F.col("local_date") == dt.date(2025, 3, 9)).collect()
+    assert len(h) == 23 and 2 not in {r.hour for r in h}
