@@ -9,7 +9,7 @@ sampling cadence, which is what makes every sequence operator downstream
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomtrace.functions.exprs import hour_floor, hour_float, month_str, pct, to_local
@@ -42,11 +42,28 @@ def hourly_resample(clean: DataFrame, tz: str = DEFAULT_TZ, spine: bool = True)
                 pct("sound_level", 0.95).alias("sound"),
                 F.count(F.lit(1)).alias("rows")))
     if spine:
-        agg = (hour_spine(agg).join(agg, ["device_id", "hour_ts"], "left")
-               .withColumn("rows", F.coalesce("rows", F.lit(0)).cast("bigint")))
+        agg = fill_hours(agg)
     return add_local_labels(agg, tz)
 
 
+def fill_hours(bins: DataFrame, key: str = "hour_ts") -> DataFrame:
+    """Add the empty hours between each device's first and last bin (measures NULL, rows 0).
+
+    The missing hours come from ``lead`` over the device's bins (hourly grain,
+    bounded by hours) and are unioned in: no bounds aggregate, no spine join.
+    """
+    w = Window.partitionBy("device_id").orderBy(key)
+    nxt = F.lead(key).over(w)
+    one = F.expr("interval 1 hour")
+    gaps = (bins.select("device_id", F.col(key).alias("_h"), nxt.alias("_n"))
+            .where(F.col("_n") > F.col("_h") + one)
+            .select("device_id", F.explode(F.sequence(F.col("_h") + one, F.col("_n") - one, one)).alias(key)))
+    empty = gaps.select(*[F.col(c) if c in ("device_id", key) else
+                          (F.lit(0).cast("bigint") if c == "rows" else F.lit(None).cast(t)).alias(c)
+                          for c, t in bins.dtypes])
+    return bins.unionByName(empty)
+
+
 def daily_resample(clean_local: DataFrame) -> DataFrame:
     """Per device and local day: medians of five sensors; days without a pressure median are dropped."""
     return (clean_local.groupBy("device_id", "local_date")
