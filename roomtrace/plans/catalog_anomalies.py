@@ -11,7 +11,7 @@ from roomtrace.operators import stats
 from roomtrace.plans import sqlfrag as S
 from roomtrace.plans.catalog import clean, loc, register
 from roomtrace.plans.catalog_profiles import us
-from roomtrace.plans.catalog_stats import _FINDINGS, _matrix_sql, unpivot_sql
+from roomtrace.plans.catalog_stats import _FINDINGS, _STATS, _matrix_sql, unpivot_sql
 from roomtrace.schema import NUMERIC_SENSORS
 from roomtrace.sources.fixtures import events
 
@@ -399,7 +399,7 @@ left join (select device_id, first(gw_timestamp order by light desc, gw_timestam
 
 
 @register("insight_day_summary", S.cte(**S.base("r1"), lf=unpivot_sql("clean"),
-                                       st=__import__("roomtrace.plans.catalog_stats", fromlist=["_STATS"])._STATS)
+                                       st=_STATS)
           + _DAYSUM, doubles=("temp_range", "most_stable_cv", "light_peak_local_hour"), ts=("light_peak_ts",),
           ints=("device_id",))
 def q_insight_day_summary(spark, sf_dir):

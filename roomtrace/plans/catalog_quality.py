@@ -9,6 +9,8 @@ from roomtrace.operators import color, profiles, quality
 from roomtrace.operators.clean import project_sensors
 from roomtrace.plans import sqlfrag as S
 from roomtrace.plans.catalog import clean, loc, raw, register
+from roomtrace.plans.catalog_color import _CF
+from roomtrace.plans.catalog_profiles import _AC
 from roomtrace.schema import CSV_FIELDNAMES, READINGS_SCHEMA
 
 _TYPES = {f.name: f.dataType for f in READINGS_SCHEMA.fields}
@@ -177,15 +179,14 @@ def q_calendar_cols(spark, sf_dir):
 
 @register("color_features", S.cte(**S.base("r1")) + f"""
 select device_id, gw_timestamp, color_hex, r_ as r, g_ as g, b_ as b, brightness, warm_cool, color_mode from (
-{__import__('roomtrace.plans.catalog_color', fromlist=['_CF'])._CF}) c""",
+{_CF}) c""",
           doubles=("brightness",), ts=("gw_timestamp",), ints=("device_id", "r", "g", "b", "warm_cool"))
 def q_color_features(spark, sf_dir):
     return color.color_frame(loc(spark, sf_dir)).select("device_id", "gw_timestamp", "color_hex", "r", "g", "b",
                                                         "brightness", "warm_cool", "color_mode")
 
 
-@register("join_day_class", S.cte(**S.base("r1"), **__import__('roomtrace.plans.catalog_profiles',
-                                                                fromlist=['_AC'])._AC) + """
+@register("join_day_class", S.cte(**S.base("r1"), **_AC) + """
 select l.device_id, c.activity_class, count(*) as rows, avg(l.light) as mean_light from loc l
 left join ac c on c.device_id = l.device_id and c.local_date = l.local_date group by all""",
           doubles=("mean_light",), ints=("device_id",))
