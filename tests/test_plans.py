@@ -73,3 +73,21 @@ def test_join_small_falls_back_to_shuffle_join(spark, monkeypatch):
         assert joins.join_small(big, small, "k", max_rows=5).count() == 1000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+
+
+def test_hot_device_windows_spread_over_tasks(spark):
+    """One device holding most rows still spreads over many window partitions (device x hour bucket)."""
+    from roomtrace.operators.series import time_gaps
+    from roomtrace.schema import READINGS_SCHEMA
+
+    rows = spark.range(0, 20000).selectExpr(
+        "cast(case when id % 10 = 0 then 1 else 0 end as int) as device_id",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(id * 7 as decimal(18, 6))) as gw_timestamp",
+        "cast(id % 100 as double) as timestamp_monotonic")
+    for f in READINGS_SCHEMA.fields:
+        if f.name not in rows.columns:
+            rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+    g = time_gaps(rows).withColumn("pid", F.spark_partition_id())
+    parts = g.where("device_id = 0").select("pid").distinct().count()
+    assert parts > 1
+    assert g.where("device_id = 0 and gw_gap_s is null").count() == 1
