@@ -29,9 +29,35 @@ BROADCAST_MAX_ROWS = int(os.environ.get("ROOMTRACE_BROADCAST_MAX_ROWS", "250000"
 MATERIALIZE = os.environ.get("ROOMTRACE_MATERIALIZE_STATS", "1") != "0"
 
 
+def _estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's plan-time size estimate.  For statistics derived by aggregation it is the
+    aggregate's input size, i.e. an upper bound of the real result."""
+    try:
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(v) if isinstance(v, int) else int(v.toString())
+    except Exception:  # sessions without JVM access (Spark Connect)
+        return None
+
+
+def _broadcast_threshold(df: DataFrame) -> int:
+    try:
+        v = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        return int(str(v).lower().replace("b", "")) if str(v).lstrip("-").isdigit() else 10485760
+    except Exception:
+        return 10485760
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int | None = None) -> DataFrame:
-    """``big.join(small, on, how)`` with a size-checked broadcast of ``small`` (see module doc)."""
+    """``big.join(small, on, how)`` with a size-checked broadcast of ``small`` (see module doc).
+
+    Check 1 (free): when even the plan-time upper bound of ``small`` is under the
+    broadcast threshold, broadcast it directly.  Check 2 (one small job): otherwise
+    materialise ``small`` in the checkpoint folder and count it.
+    """
     limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    est, thr = _estimated_bytes(small), _broadcast_threshold(small)
+    if est is not None and 0 <= est <= thr and max_rows is None:
+        return big.join(F.broadcast(small), on, how)
     if not MATERIALIZE:
         return big.join(small, on, how)
     checkpoint_dir(small.sparkSession)
