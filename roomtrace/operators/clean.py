@@ -103,7 +103,7 @@ def apply_offset(df: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def offset_frame(readings: DataFrame) -> DataFrame:
-    """The run-analysis frame: offset inferred before cleaning, then ``clean_drop``."""
+    """The fixed-offset frame: offset inferred before cleaning, then ``clean_drop``."""
     valid = skip_malformed(readings)
     return clean_drop(apply_offset(valid, infer_utc_offset(valid)))
 

@@ -15,7 +15,7 @@ from roomtrace.functions.exprs import first_max, hour_float, month_str, pct, saf
 from roomtrace.operators.joins import join_small
 
 # ---------------------------------------------------------------------------
-# run-analysis sections (frame from ``clean.offset_frame``: local_time, hour, month, date)
+# fixed-offset sections (frame from ``clean.offset_frame``: local_time, hour, month, date)
 # ---------------------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""Queries: run-analysis sections, light/activity sections, gaps, episodes, weather."""
+"""Queries: fixed-offset sections, light/activity sections, gaps, episodes, weather."""
 
 from __future__ import annotations
 
@@ -39,7 +39,7 @@ def ra(spark, sf_dir, fixture="r1"):
 
 
 # ---------------------------------------------------------------------------
-# run-analysis sections
+# fixed-offset sections
 # ---------------------------------------------------------------------------
 
 @register("workday_pulse", S.cte(**RA()) + """

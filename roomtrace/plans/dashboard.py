@@ -28,8 +28,8 @@ def materialize(df: DataFrame, cut: bool) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def run_analysis_sections(readings: DataFrame) -> dict[str, DataFrame]:
-    """The five run-analysis sections plus metadata (inferred fixed offset, ``clean_drop``)."""
+def offset_sections(readings: DataFrame) -> dict[str, DataFrame]:
+    """The five fixed-offset sections plus metadata (inferred fixed offset, ``clean_drop``)."""
     ra = offset_frame(readings)
     return {
         "workday_pulse": profiles.workday_pulse(ra),
@@ -116,5 +116,5 @@ def run(spark: SparkSession, readings: DataFrame, out_dir: str, weather_hourly:
     from roomtrace.sources.sinks import sink_sections
 
     secs = build_sections(readings, weather_hourly, tz, cut_lineage)
-    secs.update({f"run_analysis_{k}": v for k, v in run_analysis_sections(readings).items()})
+    secs.update({f"offset_{k}": v for k, v in offset_sections(readings).items()})
     return sink_sections(secs, out_dir)

@@ -56,7 +56,7 @@ def offsets(src: str) -> str:
 
 
 def offset_frame(src: str) -> str:
-    """run-analysis frame: offset inferred on valid rows, local time by offset, then clean_drop."""
+    """fixed-offset frame: offset inferred on valid rows, local time by offset, then clean_drop."""
     lt = "(gw_timestamp + to_hours(inferred_offset))"
     return (
         f"select r.*, o.inferred_offset, {lt} as local_time, cast(hour({lt}) as int) as hour, "
