@@ -54,7 +54,7 @@ _R1_DUCK = [
     "(event_id * 3 % 8) * 32) end as color_hex",
 ]
 
-# R2 stretches time fourfold around 2024-01-01 (120 days) and keeps device 0.
+# R2 stretches time fourfold around 2024-01-01 (120 days); every event becomes device 0.
 _R2_T_SPARK = "ts + (ts - timestamp_ntz'2024-01-01 00:00:00') * 3"
 _R2_T_DUCK = "ts + (ts - timestamp '2024-01-01 00:00:00') * 3"
 
@@ -100,8 +100,11 @@ def derive_r1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derive_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir).where("user_id % 2 = 0").selectExpr("*", f"{_R2_T_SPARK} as t2")
-    return ev.selectExpr(*[e.replace("{T}", "t2") for e in _R1_SPARK])
+    """Every event, relabelled as device 0, on the stretched clock."""
+    ev = events(spark, sf_dir).selectExpr("*", f"{_R2_T_SPARK} as t2")
+    cols = [e.replace("{T}", "t2") for e in _R1_SPARK]
+    cols[0] = "cast(0 as int) as device_id"
+    return ev.selectExpr(*cols)
 
 
 def readings_r1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +114,7 @@ def readings_r1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readings_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2: device 0 only, January to April 2024 (for by-month operators)."""
+    """R2: all events as one device, January to April 2024 (for by-month operators)."""
     s = _stored(spark, sf_dir, "r2")
     return s if s is not None else derive_r2(spark, sf_dir)
 
@@ -122,9 +125,9 @@ def r1_sql() -> str:
 
 
 def r2_sql() -> str:
-    cols = ",\n  ".join(e.replace("{T}", "t2") for e in _R1_DUCK)
-    return (f"select\n  {cols}\nfrom (select *, {_R2_T_DUCK} as t2 from events "
-            f"where user_id % 2 = 0) ev")
+    cols = [e.replace("{T}", "t2") for e in _R1_DUCK]
+    cols[0] = "cast(0 as int) as device_id"
+    return f"select\n  {',  '.join(cols)}\nfrom (select *, {_R2_T_DUCK} as t2 from events) ev"
 
 
 # ---------------------------------------------------------------------------
