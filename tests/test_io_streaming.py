@@ -139,3 +139,35 @@ def test_live_rollup_matches_batch_for_final_hours(spark, scratch):
     j = streamed.join(batch.select(*key, F.col("count").alias("b_count"), F.col("sum").alias("b_sum")), key)
     assert streamed.count() > 0 and j.count() == streamed.count()
     assert j.where((F.col("count") != F.col("b_count")) | (F.abs(F.col("sum") - F.col("b_sum")) > 1e-9)).count() == 0
+
+
+def test_exports_and_sections_roundtrip(spark, scratch):
+    from roomtrace.operators.anomalies import anomalies_z
+    from roomtrace.operators.clean import clean_mask
+    from roomtrace.operators.stats import statistics
+    from roomtrace.plans.dashboard import build_sections, offset_sections
+    from roomtrace.sources.fixtures import weather_w1
+
+    src = clean_mask(readings_r1(spark, SF_SMALL))
+    p = sinks.export_selected(src, os.path.join(scratch, "sel"), ["temperature_sht", "light"], with_zscore=True,
+                              moving_avg_s=600)
+    sel = spark.read.option("header", True).csv(p)
+    assert {"temperature_sht_zscore", "light_ma", "temperature_sht_ma"} <= set(sel.columns)
+    assert sel.count() == src.count()
+    st = statistics(src)
+    out = sinks.export_json(src, os.path.join(scratch, "json"), ["humidity"], stats=st)
+    assert spark.read.json(f"{out}/data").count() == src.count()
+    assert spark.read.json(f"{out}/statistics").count() == st.count()
+    assert spark.read.json(f"{out}/metadata").count() == 2
+    an = anomalies_z(src)
+    rep = spark.read.option("header", True).csv(sinks.export_anomaly_report(an, os.path.join(scratch, "rep")))
+    assert rep.count() == an.count() and "abs_deviation" in rep.columns
+    assert spark.read.json(sinks.export_stats(st, os.path.join(scratch, "st"), fmt="json")).count() == st.count()
+    secs = build_sections(readings_r1(spark, SF_SMALL), weather_w1(spark))
+    secs.update(offset_sections(readings_r1(spark, SF_SMALL)))
+    d = sinks.sink_sections({k: secs[k] for k in ["insights", "kpis", "workday_pulse", "weather_compare"]},
+                            os.path.join(scratch, "sections"))
+    assert spark.read.json(f"{d}/insights").count() == 18
+    assert spark.read.json(f"{d}/workday_pulse").count() > 0
+    fp = sinks.sink_feeds(src, os.path.join(scratch, "feeds"))
+    assert spark.read.parquet(fp).count() == sinks.feed_messages(src).count()
