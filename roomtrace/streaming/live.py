@@ -111,6 +111,16 @@ def rollup_stream(readings: DataFrame, watermark: str = "24 hours", sensors=None
                       (F.col("sum") / F.col("count")).alias("avg"))
 
 
+def finalize_rollup(streamed: DataFrame) -> DataFrame:
+    """Streamed hourly rollup rows (count, sum, min, max, sumsq) -> the batch rollup shape
+    (avg, min, max, std, count, sum, m2), so ``grain.rollup_from_rollup`` can build daily and
+    monthly rollups from either source."""
+    n, s = F.col("count"), F.col("sum")
+    m2 = F.greatest(F.col("sumsq") - s * s / n, F.lit(0.0))
+    return streamed.select("device_id", "sensor", "bucket", (s / n).alias("avg"), "min", "max",
+                           F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("std"), "count", "sum", m2.alias("m2"))
+
+
 def live_rollup(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, watermark: str = "24 hours",
                 schema: T.StructType | None = None, available_now: bool = True, max_files: int | None = None):
     """Readings Parquet files arriving in ``source_dir`` -> finalized hourly rollups appended to ``out_dir``."""

@@ -139,6 +139,13 @@ def test_live_rollup_matches_batch_for_final_hours(spark, scratch):
     j = streamed.join(batch.select(*key, F.col("count").alias("b_count"), F.col("sum").alias("b_sum")), key)
     assert streamed.count() > 0 and j.count() == streamed.count()
     assert j.where((F.col("count") != F.col("b_count")) | (F.abs(F.col("sum") - F.col("b_sum")) > 1e-9)).count() == 0
+    from roomtrace.streaming.live import finalize_rollup
+
+    fin = finalize_rollup(streamed).join(batch.select(*key, F.col("std").alias("b_std")), key)
+    assert fin.where(F.abs(F.coalesce(F.col("std"), F.lit(0.0)) - F.coalesce(F.col("b_std"), F.lit(0.0)))
+                     > 1e-6 * (1 + F.abs(F.coalesce(F.col("b_std"), F.lit(0.0))))).count() == 0
+    daily = grain.rollup_from_rollup(finalize_rollup(streamed), "daily")
+    assert daily.count() > 0
 
 
 def test_exports_and_sections_roundtrip(spark, scratch):
