@@ -48,14 +48,13 @@ def sound_floor(df: DataFrame) -> DataFrame:
 
 def monthly_top_color(df: DataFrame, exclude: str = "#000000") -> DataFrame:
     """month -> most frequent color other than black (smallest text on ties); black if none."""
-    months = df.select("device_id", "month").distinct()
-    counts = (df.where(F.col("color_hex").isNotNull() & (F.col("color_hex") != exclude))
-              .groupBy("device_id", "month", "color_hex").count())
-    top = (counts.groupBy("device_id", "month")
-           .agg(F.min(F.struct((-F.col("count")).alias("k"), F.col("color_hex").alias("c"))).alias("t"))
-           .select("device_id", "month", F.col("t.c").alias("color_hex")))
-    return (months.join(top, ["device_id", "month"], "left")
-            .withColumn("color_hex", F.coalesce("color_hex", F.lit(exclude))))
+    # one aggregation of the raw rows keeps every (device, month); excluded colors only drop out
+    # of the second, small aggregation over the counts
+    counts = df.groupBy("device_id", "month", "color_hex").count()
+    ok = F.col("color_hex").isNotNull() & (F.col("color_hex") != exclude)
+    return (counts.groupBy("device_id", "month")
+            .agg(F.min(F.when(ok, F.struct((-F.col("count")).alias("k"), F.col("color_hex").alias("c")))).alias("t"))
+            .select("device_id", "month", F.coalesce(F.col("t.c"), F.lit(exclude)).alias("color_hex")))
 
 
 def dataset_meta(df: DataFrame) -> DataFrame:
