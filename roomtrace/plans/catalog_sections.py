@@ -90,7 +90,8 @@ _SEC_SQL = S.cte(**_PIECES) + "\nselect * from (" + "\nunion all ".join(
 
 @register("insight_sections", _SEC_SQL, ints=("device_id", "position"))
 def q_insight_sections(spark, sf_dir):
-    return section_sentences(raw(spark, sf_dir), weather_w1(spark))
+    # cleaned and hourly are written once to the shared checkpoint folder (lineage cut)
+    return section_sentences(raw(spark, sf_dir), weather_w1(spark), cut_lineage=True)
 
 
 _FEED_SQL = "\nunion all ".join(

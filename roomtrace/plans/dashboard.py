@@ -1,16 +1,17 @@
 """The offline analysis job: every section of the analysis payload from one readings table.
 
 ``cleaned`` (masked, localised) and ``hourly`` (with the empty-hour spine) are
-the two shared frames.  On a cluster they are cut from their lineage with
-``checkpoint()`` into the shared folder named by ``spark.checkpoint.dir``
-(reliable checkpoint: survives executor loss; never ``localCheckpoint``),
-so the ~30 section plans below reuse them instead of re-reading the raw
-table.  Each section stays a lazy DataFrame; ``run`` writes them with
-``sink_sections``.
+the two shared frames.  On a cluster they are cut from their lineage by writing
+them as Parquet tables into the shared folder named by ``spark.checkpoint.dir``
+(survives executor loss; never ``localCheckpoint``), so the ~30 section plans
+below reuse them instead of re-deriving them from the raw table.  Each section
+stays a lazy DataFrame; ``run`` writes them with ``sink_sections``.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from roomtrace.functions.timefn import localize
@@ -21,11 +22,19 @@ from roomtrace.session import checkpoint_dir
 
 
 def materialize(df: DataFrame, cut: bool) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder when ``cut`` (cluster runs)."""
+    """Cut lineage when ``cut`` (cluster runs): write ``df`` as a Parquet table under the shared
+    checkpoint folder and read it back.
+
+    Unlike ``checkpoint()`` (serialized rows), each section's re-read of the table keeps column
+    pruning and filter pushdown; the files sit on shared storage, so an executor loss re-reads them
+    instead of replaying the raw scan and the shuffles.
+    """
     if not cut:
         return df
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/roomtrace-frames/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def offset_sections(readings: DataFrame) -> dict[str, DataFrame]:
@@ -93,10 +102,10 @@ def build_sections(readings: DataFrame, weather_hourly: DataFrame | None = None,
 
 
 def section_sentences(readings: DataFrame, weather_hourly: DataFrame | None = None,
-                      tz: str = DEFAULT_TZ) -> DataFrame:
+                      tz: str = DEFAULT_TZ, cut_lineage: bool = False) -> DataFrame:
     """Only the inputs of the nine sentences (what ``build_sections(...)["insights"]`` returns)."""
-    cleaned = localize(clean_mask(readings), tz)
-    hourly = grain.hourly_resample(cleaned, tz)
+    cleaned = materialize(localize(clean_mask(readings), tz), cut_lineage)
+    hourly = materialize(grain.hourly_resample(cleaned, tz), cut_lineage)
     monthly = profiles.monthly_light(profiles.light_days(cleaned))
     profile = profiles.activity_profile(cleaned, profiles.activity_class(profiles.daily_activity(cleaned)))
     best = series.best_lag(series.lag_profile(hourly))

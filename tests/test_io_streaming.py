@@ -178,3 +178,19 @@ def test_exports_and_sections_roundtrip(spark, scratch):
     assert spark.read.json(f"{d}/workday_pulse").count() > 0
     fp = sinks.sink_feeds(src, os.path.join(scratch, "feeds"))
     assert spark.read.parquet(fp).count() == sinks.feed_messages(src).count()
+
+
+def test_materialize_writes_pruned_table_in_checkpoint_folder(spark):
+    from roomtrace.operators.clean import clean_mask
+    from roomtrace.plans.dashboard import materialize
+    from roomtrace.session import checkpoint_dir
+
+    src = clean_mask(readings_r1(spark, SF_SMALL))
+    m = materialize(src, cut=True)
+    assert materialize(src, cut=False) is src
+    base = checkpoint_dir(spark).rstrip("/").replace("file:", "")
+    files = m.inputFiles()
+    assert files and all(base in f.replace("file://", "").replace("file:", "") for f in files)
+    p = m.select("device_id", "light").where("light > 100")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<device_id:int,light:bigint>" in p and "PushedFilters: [IsNotNull(light)" in p
+    assert sorted(map(tuple, m.collect())) == sorted(map(tuple, src.collect()))
