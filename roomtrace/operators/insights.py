@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomtrace.functions.exprs import first_max, hour_float, iso_str, month_str, seconds_between, to_local
+from roomtrace.functions.exprs import EPOCH_NTZ, first_max, hour_float, iso_str, month_str, seconds_between, to_local
 from roomtrace.operators.grain import long_form
 from roomtrace.operators.joins import join_small
 
@@ -59,9 +59,10 @@ def trend_slopes(df: DataFrame, sensors=("temperature_sht", "humidity", "pressur
     """
     lf = long_form(df, list(sensors))
     if mode == "elapsed":
-        first = df.groupBy("device_id").agg(F.min("gw_timestamp").alias("_t0"))
-        x = seconds_between(F.col("gw_timestamp"), F.col("_t0")) / 86400.0
-        g = (join_small(lf, first, "device_id").withColumn("_x", x).groupBy("device_id", "sensor")
+        # days since a fixed epoch: the OLS slope does not change when x is shifted, so "days since
+        # the device's first reading" needs no per-device minimum and join (one pass, one shuffle)
+        x = seconds_between(F.col("gw_timestamp"), F.lit(EPOCH_NTZ).cast("timestamp_ntz")) / 86400.0
+        g = (lf.withColumn("_x", x).groupBy("device_id", "sensor")
              .agg(F.regr_slope("value", "_x").alias("daily_change"), F.count("value").alias("n")))
     else:
         d = df.select("device_id", "gw_timestamp").withColumn("_day", F.to_date("gw_timestamp"))
