@@ -49,19 +49,22 @@ def hourly_resample(clean: DataFrame, tz: str = DEFAULT_TZ, spine: bool = True)
 def fill_hours(bins: DataFrame, key: str = "hour_ts") -> DataFrame:
     """Add the empty hours between each device's first and last bin (measures NULL, rows 0).
 
-    The missing hours come from ``lead`` over the device's bins (hourly grain,
-    bounded by hours) and are unioned in: no bounds aggregate, no spine join.
+    ``lead`` over the device's bins (hourly grain, bounded by hours) gives each bin the next one;
+    one explode then emits the bin itself followed by the empty hours up to the next bin.  The
+    bins are computed once: a union of the bins with gaps derived from them would make Catalyst
+    run the aggregation over the raw rows twice (the gap branch prunes to different columns).
     """
     w = Window.partitionBy("device_id").orderBy(key)
-    nxt = F.lead(key).over(w)
     one = F.expr("interval 1 hour")
-    gaps = (bins.select("device_id", F.col(key).alias("_h"), nxt.alias("_n"))
-            .where(F.col("_n") > F.col("_h") + one)
-            .select("device_id", F.explode(F.sequence(F.col("_h") + one, F.col("_n") - one, one)).alias(key)))
-    empty = gaps.select(*[F.col(c) if c in ("device_id", key) else
-                          (F.lit(0).cast("bigint") if c == "rows" else F.lit(None).cast(t)).alias(c)
-                          for c, t in bins.dtypes])
-    return bins.unionByName(empty)
+    d = bins.withColumn("_n", F.lead(key).over(w))
+    hours = F.when(F.col("_n") > F.col(key) + one, F.sequence(F.col(key), F.col("_n") - one, one)) \
+        .otherwise(F.array(F.col(key)))
+    e = d.withColumn("_h", F.explode(hours))
+    real = F.col("_h") == F.col(key)
+    return e.select(*[F.col("_h").alias(key) if c == key else F.col(c) if c == "device_id" else
+                      F.when(real, F.col(c)).otherwise(F.lit(0).cast("bigint") if c == "rows" else
+                                                       F.lit(None).cast(t)).alias(c)
+                      for c, t in bins.dtypes])
 
 
 def daily_resample(clean_local: DataFrame) -> DataFrame:

@@ -179,10 +179,23 @@ EPISODE_RULES = [
 DEFAULT_LABEL = "mixed sensor anomaly"
 
 
+def add_episode_weather(eps: DataFrame, weather: DataFrame) -> DataFrame:
+    """``eps`` plus rain_sum, gust_max and weather_hours (NULL without weather rows), from one read
+    of ``eps``: each episode is exploded into its hours carrying its columns, left-joined with the
+    weather hours and aggregated back on the episode's columns.  (Joining ``eps`` with an aggregate
+    derived from ``eps`` would compute the episodes, and everything before them, twice.)"""
+    hours = eps.withColumn("_wh", F.explode(F.sequence("start", "end", F.expr("interval 1 hour"))))
+    w = weather.select(F.col("hour_ts").alias("_wh"), F.col("precipitation").alias("_p"),
+                       F.col("wind_gusts_10m").alias("_g"), F.lit(1).alias("_m"))
+    n = F.count("_m")
+    return (hours.join(w, "_wh", "left").groupBy(*eps.columns)
+            .agg(F.sum("_p").alias("rain_sum"), F.max("_g").alias("gust_max"), F.when(n > 0, n).alias("weather_hours")))
+
+
 def episode_labels(eps: DataFrame, weather: DataFrame | None = None) -> DataFrame:
     """Join reasons with ', ' in rule order, else 'mixed sensor anomaly'."""
     if weather is not None:
-        eps = eps.join(join_episode_weather(eps, weather), ["device_id", "episode"], "left")
+        eps = add_episode_weather(eps, weather)
     else:
         eps = (eps.withColumn("rain_sum", F.lit(None).cast("double"))
                .withColumn("gust_max", F.lit(None).cast("double")))
