@@ -73,19 +73,21 @@ def light_days(loc: DataFrame, min_samples: int = 50, min_p95: float = 100) -> D
     """Per local day with >= 50 light rows and p95 >= 100: peak hour/light, bright window (>= p90).
 
     Day statistics are one row per device-day; they are joined back to the
-    light rows (Spark broadcasts them when small, else a shuffle join on
-    the day key) to find the first and last bright instant.
+    light rows (size-checked broadcast, else a shuffle join on the day key) and
+    the bright rows are aggregated on the day's columns to find the first and
+    last bright instant, so the day statistics are computed once.
     """
     lit = loc.where(F.col("light").isNotNull())
     day = (lit.groupBy("device_id", "local_date")
            .agg(F.count("light").alias("n"), pct("light", 0.95).alias("p95"), pct("light", 0.9).alias("p90"),
                 first_max("light", "gw_timestamp").alias("pk"))
            .where((F.col("n") >= min_samples) & (F.col("p95") >= min_p95)))
-    bright = (join_small(lit, day.select("device_id", "local_date", "p90"), ["device_id", "local_date"])
+    bright = (join_small(lit.select("device_id", "local_date", "light", "gw_timestamp"), day,
+                         ["device_id", "local_date"])
               .where(F.col("light") >= F.col("p90"))
-              .groupBy("device_id", "local_date")
+              .groupBy(*day.columns)
               .agg(F.min("gw_timestamp").alias("b0"), F.max("gw_timestamp").alias("b1")))
-    return (day.join(bright, ["device_id", "local_date"])
+    return (bright
             .select("device_id", F.col("local_date").alias("date"), month_str("local_date").alias("month"),
                     hour_float(to_local("pk.o")).alias("peak_hour"), F.col("pk.v").cast("double").alias("peak_light"),
                     hour_float(to_local("b0")).alias("bright_start"), hour_float(to_local("b1")).alias("bright_end"),
