@@ -91,3 +91,9 @@ def test_hot_device_windows_spread_over_tasks(spark):
     parts = g.where("device_id = 0").select("pid").distinct().count()
     assert parts > 1
     assert g.where("device_id = 0 and gw_gap_s is null").count() == 1
+
+
+def test_shared_inputs_are_computed_once(plans):
+    # raw-row scans per plan: a second pass over the same input shows up as an extra FileScan
+    most = {"hourly_resample": 1, "top_episodes": 1, "light_days": 2, "anomaly_summary": 2, "monthly_top_color": 2}
+    assert {n: plans[n].count("FileScan") for n in most} == most
