@@ -116,11 +116,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, equal for equal bytes wherever they stand."""
-    pow_, inv = _powers(len(data) + 1)
-    h = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pow_[:len(data)], out=h[1:])
-    return mix((h[ends] - h[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each byte span (in ascending order), equal for equal bytes wherever they stand."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # bytes are summed up in parts of bounded size
+        low = starts[at]
+        end = max(at + 1, int(np.searchsorted(ends, low + SLICE_BYTES, side="right")))
+        s, e = starts[at:end] - low, ends[at:end] - low
+        part = data[low:low + e[-1]]
+        pow_, inv = _powers(len(part) + 1)
+        h = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * pow_[:len(part)], out=h[1:])
+        out[at:end] = mix((h[e] - h[s]) * inv[s] + (e - s).astype(np.uint64))
+        at = end
+    return out
 
 
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
