@@ -5,7 +5,7 @@ with a smaller id; words covered by repeats are removed.
 
 1. Of the suffixes of all texts, those count that start at *anchors*: in each window the place of the
    prefix (``PREFIX`` words) with the least hash.  Equal windows have equal anchors, so anchors are a
-   sparse set of suffixes (about a quarter of all) that no repeat escapes.  They are dealt by prefix.
+   sparse set of suffixes (about a fifth of all) that no repeat escapes.  They are dealt by prefix.
    A prefix that occurs in one document only is a leaf next to the root and is dropped; within a batch,
    suffixes of one prefix are first reduced to the one of the smallest id.
 2. The documents with prefixes left send the windows around those anchors, again dealt by the anchor's
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from roomtrace.llm.common import (map_arrow, mix, n_buckets, pack, rolling, slices, span_hashes, text_buffer, unpack,
                                   window_min_at, word_spans)
 
-PREFIX = 6  # words of the prefix that suffixes are dealt by
-DEPTHS = (9,)  # further depths at which nodes are checked on the way to the window's
+PREFIX = 4  # words of the prefix that suffixes are dealt by
+DEPTHS = (8,)  # further depths at which nodes are checked on the way to the window's
 NO_ID = (1 << 63) - 1
 _GROUP = "bucket int, h array<long>, id array<long>, key array<long>, pos array<int>, n array<int>, text array<string>"
 
@@ -87,7 +87,8 @@ def _groups(buckets: int, known: tuple, sent: tuple, texts: list | None = None)
     zero = np.zeros(len(k_id), np.int64)
     bucket = np.concatenate([h % np.uint64(buckets), k_key.view(np.uint64) % np.uint64(buckets) + np.uint64(buckets)]).astype(np.int64)
     text = pa.array((texts or [None] * len(h)) + [None] * len(k_id), pa.string())
-    cols = pack(bucket, {"h": np.concatenate([h.view(np.int64), zero]), "id": np.concatenate([ids, k_id]), "key": np.concatenate([keys, k_key]),
+    hashes = h.view(np.int64) if texts is None else np.zeros(len(h), np.int64)  # texts tell their hashes
+    cols = pack(bucket, {"h": np.concatenate([hashes, zero]), "id": np.concatenate([ids, k_id]), "key": np.concatenate([keys, k_key]),
                          "pos": np.concatenate([pos, k_pos]).astype(np.int32), "n": np.concatenate([n, zero]).astype(np.int32), "text": text})
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
@@ -152,8 +153,9 @@ def repeated_windows(texts: DataFrame, n: int, buckets: int) -> DataFrame:
         ids, keys, pos = (unpack(table, c) for c in ("id", "key", "pos"))
         if table.column("bucket")[0].as_py() >= buckets:
             return _by_document(ids, keys, pos)
-        prefix, size = unpack(table, "h").view(np.uint64), unpack(table, "n").astype(np.int64)
+        size = unpack(table, "n").astype(np.int64)
         w = Windows(table.column("text").combine_chunks().flatten(), n)
+        prefix = w.prefix[w.anchor[w.first[:-1]]]
         run = np.repeat(np.arange(len(ids)), size)
         step = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
         at, ids, keys, pos, prefix = w.first[run] + step, ids[run], keys[run], pos[run] + step, prefix[run]
@@ -191,7 +193,7 @@ def deduplicate(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col:
     if n < 1:
         raise ValueError("a window has at least one word")
     texts = docs.select(*texts_columns(id_col, text_col))
-    marked = repeated_windows(texts, n, n_buckets(docs))
+    marked = repeated_windows(texts, n, n_buckets(docs, 4 << 20))
     if keep:
         texts = docs.select(*texts_columns(id_col, text_col), F.struct(*keep).alias("kept"))
 
