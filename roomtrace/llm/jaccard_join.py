@@ -2,7 +2,7 @@
 
 A document's set is its distinct shingles, hashed to 64 bits.  Documents with equal sets are one class.
 Two sets whose likeness is at least ``t`` share one of their first ``n - ceil(t * n) + 1`` shingles in any
-fixed order (here by hash), so classes are dealt by these shingles; a shingle whose classes have no two
+fixed order (here the longest first, then by hash), so classes are dealt by these shingles; a shingle whose classes have no two
 of fitting sizes is dropped.
 
 Classes that remain are leaves of signature trees, one tree for each shared shingle: a leaf has a bitmap
@@ -33,11 +33,15 @@ from roomtrace.llm.graph import components
 from roomtrace.llm.quality import LOWER
 
 NO_ID = (1 << 63) - 1
-WORDS = 16  # 64-bit words of a signature
 FAN_OUT = 8
 GROUP = 4096  # classes verified together; larger components are cut into pairs of such parts
 
 
+def _ordered(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of shingles, the longest ones first: long shingles are rare, so few texts share them."""
+    return (h & np.uint64((1 << 56) - 1)) | ((np.uint64(255) - np.minimum(size, 255).astype(np.uint64)) << np.uint64(56))
+
+
 def shingle_sets(texts: pa.Array, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of the distinct shingles of each text, sorted; a text of fewer words is one shingle."""
     data, off = text_buffer(texts)
@@ -57,8 +61,10 @@ def shingle_sets(texts: pa.Array, k: int, lower: bool = True) -> tuple[np.ndarra
             for v in words[first[r]:first[r + 1]]:
                 x = x * np.uint64(0x9E3779B97F4A7C15) + v
         whole.append(x)
+    length = np.append(0, np.cumsum(ends - starts))
     rows = np.concatenate([row[inside], short])
-    values = np.concatenate([h[inside], mix(np.array(whole, np.uint64))])
+    values = np.concatenate([_ordered(h, length[k:] - length[:-k])[inside] if len(inside) else h[:0],
+                             _ordered(mix(np.array(whole, np.uint64)), length[first[1:][short]] - length[first[:-1][short]])])
     order = np.lexsort((values, rows))
     rows, values = rows[order], values[order]
     keep = np.append(True, (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])) if len(rows) else np.zeros(0, bool)
@@ -70,12 +76,58 @@ def needed(a, b, pct: int):
     return -(-(pct * (a + b)) // (100 + pct))
 
 
-def signature(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Bitmaps of ``n`` sets, one row of 64-bit words each."""
-    bit = (values >> np.uint64(5)) % np.uint64(64 * WORDS)
-    out = np.zeros(n * WORDS, np.uint64)
-    np.bitwise_or.at(out, row * WORDS + (bit // np.uint64(64)).astype(np.int64), np.uint64(1) << (bit % np.uint64(64)))
-    return out.reshape(n, WORDS)
+def level(n: np.ndarray) -> np.ndarray:
+    """Level of a set by its size: signatures double with the size, up to 64 words; beyond, half the tokens count."""
+    return np.ceil(np.log2(np.maximum(n, 1) / 512)).clip(0).astype(np.int64)
+
+
+def widths(n: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a set's signature at its own level, and at the next one (0 where no larger set can be linked)."""
+    own = level(n)
+    reaches = 100 * n >= pct * (512 << own)
+    return np.where(n > 0, 8 << own.clip(0, 3), 0), np.where((n > 0) & reaches, 8 << (own + 1).clip(0, 3), 0)
+
+
+def signatures(row: np.ndarray, values: np.ndarray, n: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of all sets one after another, and where each begins (with the end last)."""
+    first, second = widths(n, pct)
+    start = np.append(0, np.cumsum(first + second))
+    out = np.zeros(start[-1], np.uint64)
+    for add, width, at in ((0, first, start[:-1]), (1, second, start[:-1] + first)):
+        skip = (level(n) + add - 3).clip(0)
+        r = row[width[row] > 0]
+        v = values[width[row] > 0]
+        chosen = ((v >> np.uint64(32)) & ((np.uint64(1) << skip[r].astype(np.uint64)) - np.uint64(1))) == 0
+        r, v = r[chosen], v[chosen]
+        bit = (v >> np.uint64(5)) % (np.uint64(64) * width[r].astype(np.uint64))
+        np.bitwise_or.at(out, at[r] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out, start
+
+
+class Signatures:
+    """Sizes and ragged signatures of many sets."""
+
+    def __init__(self, size: np.ndarray, flat: np.ndarray, pct: int):
+        self.size, self.flat, self.level = size, flat, level(size)
+        self.first, self.second = widths(size, pct)
+        self.start = np.cumsum(self.first + self.second) - self.first - self.second
+
+    def take(self, at: np.ndarray) -> "Signatures":
+        """The same for some of the sets."""
+        out = object.__new__(Signatures)
+        out.flat = self.flat
+        for name in ("size", "level", "first", "second", "start"):
+            setattr(out, name, getattr(self, name)[at])
+        return out
+
+    def groups(self, at: np.ndarray):
+        """Sets of each level, with those below that may be linked to it, and their bitmaps as a matrix."""
+        for k in np.unique(self.level[at]).tolist():
+            own, below = at[self.level[at] == k], at[(self.level[at] == k - 1) & (self.second[at] > 0)]
+            members = np.concatenate([own, below])
+            if len(members) > 1:
+                begin = np.concatenate([self.start[own], self.start[below] + self.first[below]])
+                yield members, self.flat[begin[:, None] + np.arange(8 << min(k, 3))]
 
 
 def pop(x: np.ndarray) -> np.ndarray:
@@ -138,16 +190,23 @@ class SignatureTree:
         return fits
 
 
+def connect(sets: Signatures, pct: int, forest: Forest, at: np.ndarray, verify=None, parts: np.ndarray | None = None) -> None:
+    """Connect the linked (or possibly linked) sets among ``at``, level by level."""
+    for members, bits in sets.groups(at):
+        traverse(sets.size[members], bits, pct, forest, members, verify, parts)
+
+
 def traverse(size: np.ndarray, bits: np.ndarray, pct: int, forest: Forest, at: np.ndarray, verify=None, parts: np.ndarray | None = None) -> None:
-    """Dual traversal of the tree over the leaves ``at`` (places in the forest) with itself.
+    """Dual traversal of the tree over the leaves ``at`` (places in the forest) with itself; ``size`` and
+    ``bits`` are those of the leaves.
 
     First one leaf meets all others, which connects most of what belongs together; then the traversal
     skips what is connected.  ``verify(i, js)`` tells which of the candidates ``js`` are linked with
     ``i``; without it every candidate counts.  ``parts``: only pairs of different parts are of interest.
     """
-    order = np.argsort(size[at], kind="stable")
+    order = np.argsort(size, kind="stable")
     at = at[order]
-    tree = SignatureTree(size[at], bits[at])
+    tree = SignatureTree(size[order], bits[order])
 
     def link(i: int, js: np.ndarray) -> None:
         if verify is not None and len(js):
@@ -229,10 +288,16 @@ def jaccard_components(docs: DataFrame, k: int = 3, pct: int = 90, id_col: str =
             sends &= n > 0
             prefix = np.flatnonzero((place <= n[row] - needed_prefix(n[row], pct)) & sends[row])
             r = row[prefix]
-            bucket = np.concatenate([values[prefix] % np.uint64(buckets), keys.view(np.uint64) % np.uint64(buckets) + np.uint64(buckets)]).astype(np.int64)
-            cols = pack(bucket, {"token": np.concatenate([values[prefix].view(np.int64), np.zeros(b.num_rows, np.int64)]),
-                                 **{c: np.concatenate([x[r], x]) for c, x in (("cls", cls), ("id", ids), ("key", keys), ("n", n.astype(np.int32)))}})
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+            cols = pack((values[prefix] % np.uint64(buckets)).astype(np.int64), {"token": values[prefix].view(np.int64), **{
+                c: x[r] for c, x in (("cls", cls), ("id", ids), ("key", keys), ("n", n.astype(np.int32)))}})
+            empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(cols["bucket"]) + 1, np.int32)), pa.array(np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*cols.values(), empty], names=[*cols, "bits"])
+            # the documents themselves pass by the check, in buckets behind the others
+            one = np.zeros(b.num_rows, np.int64)
+            cols = pack(one + buckets + int(keys.view(np.uint64)[0] % np.uint64(buckets)), {"token": one, "cls": cls, "id": ids, "key": keys, "n": n.astype(np.int32)})
+            flat, _ = signatures(row, values, n, pct)
+            bits = pa.ListArray.from_arrays(pa.array(np.array([0, len(flat)], np.int32)), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*cols.values(), bits], names=[*cols, "bits"])
 
     def shared_shingles(table: pa.Table) -> pa.Table:
         token, cls, ids, keys, n = (unpack(table, c) for c in ("token", "cls", "id", "key", "n"))
@@ -246,60 +311,62 @@ def jaccard_components(docs: DataFrame, k: int = 3, pct: int = 90, id_col: str =
             fits = (token[1:] == token[:-1]) & (100 * n[:-1].astype(np.int64) >= pct * n[1:].astype(np.int64))
             keep = np.append(fits, False) | np.append(False, fits) if len(token) else np.zeros(0, bool)
             token, cls, ids, keys, n = (x[keep] for x in (token, cls, ids, keys, n))
-        return pa.table({"kind": pa.array(np.full(len(token), kind), pa.int32()), "token": token, "cls": cls, "id": ids, "key": keys, "n": n})
+        bits = pa.array(unpack(table, "bits")) if not kind else pa.array(np.zeros(0, np.int64))
+        place = np.append(0, np.cumsum(sum(widths(n.astype(np.int64), pct)))).astype(np.int32) * (1 - kind)
+        return pa.table({"kind": pa.array(np.full(len(token), kind), pa.int32()), "token": token, "cls": cls, "id": ids, "key": keys, "n": n,
+                         "bits": pa.ListArray.from_arrays(pa.array(place), bits)})
 
-    dealt = map_arrow(texts, first_shingles, "bucket int, token array<long>, cls array<long>, id array<long>, key array<long>, n array<int>")
-    dealt.groupBy("bucket").applyInArrow(shared_shingles, "kind int, token long, cls long, id long, key long, n int") \
+    dealt = map_arrow(texts, first_shingles, "bucket int, token array<long>, cls array<long>, id array<long>, key array<long>, n array<int>, bits array<long>")
+    dealt.groupBy("bucket").applyInArrow(shared_shingles, "kind int, token long, cls long, id long, key long, n int, bits array<long>") \
         .write.option("compression", "zstd").parquet(f"{store}/shingles")
     found = spark.read.parquet(f"{store}/shingles")
 
-    # one document of each class that remains, with its whole set
-    speaker = found.where("kind = 1").groupBy("cls").agg(F.min(F.struct("id", "key")).alias("x"), F.collect_set("token").alias("tokens"))
-    speaker = speaker.select("cls", "x.id", "x.key", "tokens")
-
-    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            row, values = shingle_sets(b.column("text"), k)
-            at = np.searchsorted(row, np.arange(b.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
-            bits = signature(row, values, b.num_rows).view(np.int64).ravel()
-            sign = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * WORDS), pa.array(bits))
-            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(np.diff(at).astype(np.int32)), b.column("tokens"), sign, lists],
-                                             names=["cls", "n", "tokens", "bits", "items"])
+    # one document of each class
+    classes = found.where("kind = 0 and n > 0").groupBy("cls").agg(F.min(F.struct("id", "key", "n", "bits")).alias("x"))
+    classes = classes.select("cls", "x.id", "x.key", "x.n", "x.bits")
 
-    sets = map_arrow(texts.join(speaker, ["id", "key"]), whole_sets, "cls long, n int, tokens array<long>, bits array<long>, items array<long>")
-    sets.dropDuplicates(["cls"]).write.option("compression", "zstd").parquet(f"{store}/sets")
-    sets = spark.read.parquet(f"{store}/sets")
-
-    def leaves(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return (table.column("cls").to_numpy(), table.column("n").to_numpy().astype(np.int64),
-                unpack(table, "bits").view(np.uint64).reshape(-1, WORDS))
+    def leaves(table: pa.Table) -> tuple[np.ndarray, Signatures]:
+        size = table.column("n").to_numpy().astype(np.int64)
+        return table.column("cls").to_numpy(), Signatures(size, unpack(table, "bits").view(np.uint64), pct)
 
     def candidates(table: pa.Table) -> pa.Table:
         """Forest of candidate pairs over the trees of a bucket of shingles."""
-        cls, size, bits = leaves(table)
+        cls, sets = leaves(table)
         _, place = np.unique(cls, return_inverse=True)
         ids = np.zeros(place.max() + 1, np.int64)
         ids[place] = cls
         first = np.zeros(len(ids), np.int64)
         first[place] = np.arange(len(cls))
-        size, bits, forest = size[first], bits[first], Forest(len(ids))
+        sets, forest = sets.take(first), Forest(len(ids))
         for group in _sorted_groups(table.column("token").to_numpy()):
             if len(group) == 2:
                 i, j = place[group]
                 if forest.root(int(i)) == forest.root(int(j)):
                     continue
             if len(group) > 1:
-                traverse(size, bits, pct, forest, place[group])
+                connect(sets, pct, forest, place[group])
         return _edges(ids, forest.edges)
 
-    trees = sets.select(F.explode("tokens").alias("token"), "cls", "n", "bits")
+    trees = found.where("kind = 1").select("token", "cls").join(classes.select("cls", "n", "bits"), "cls")
     trees = trees.withColumn("bucket", F.pmod("token", F.lit(buckets)))
     coarse = components(trees.groupBy("bucket").applyInArrow(candidates, "a long, b long"))
 
+    # whole sets only of the classes that have candidates
+    member = coarse.withColumnRenamed("node", "cls").join(classes, "cls")
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            row, values = shingle_sets(b.column("text"), k)
+            at = np.searchsorted(row, np.arange(b.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("root", "cls", "n", "bits")), lists], names=["root", "cls", "n", "bits", "items"])
+
+    sets = map_arrow(texts.join(member, ["id", "key"]), whole_sets, "root long, cls long, n int, bits array<long>, items array<long>")
+
     def verified(table: pa.Table) -> pa.Table:
         """Forest of links, component by component."""
-        cls, size, bits = leaves(table)
+        cls, sets = leaves(table)
+        size = sets.size
         part = table.column("part").to_numpy()
         other, mine = table.column("other").to_numpy(), table.column("mine").to_numpy()
         items = unpack(table, "items")
@@ -320,13 +387,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, pct: int = 90, id_col: str =
         key = mix(mix(table.column("root").to_numpy().view(np.uint64) + part.astype(np.uint64)) + other.astype(np.uint64))
         for group in _sorted_groups(key):
             if len(group) > 1:
-                traverse(size, bits, pct, forest, group, linked, mine if part[group[0]] != other[group[0]] else None)
+                connect(sets, pct, forest, group, linked, mine if part[group[0]] != other[group[0]] else None)
         return _edges(cls, forest.edges)
 
     # components above the bound are cut into parts by hash, and every pair of parts meets once
-    member = sets.join(coarse.withColumnRenamed("node", "cls"), "cls")
-    many = coarse.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    member = member.join(many, "root").withColumn("mine", F.pmod(F.xxhash64("cls"), "parts").cast("int"))
+    many = coarse.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("parts > 1")
+    member = sets.join(many, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("cls"), "parts").cast("int"))
     member = member.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     member = member.select("root", "cls", "n", "bits", "items", "mine", F.least("mine", "with").alias("part"), F.greatest("mine", "with").alias("other"))
     member = member.withColumn("bucket", F.pmod(F.xxhash64("root", "part", "other"), F.lit(buckets)))
