@@ -31,7 +31,7 @@ from roomtrace.llm.common import map_arrow, mix, slices, span_hashes, text_buffe
 
 FINE, COARSE, FINE_WORDS = 2, 8, 64
 SECTION = 16  # paragraphs in a section
-LEAF = 6  # hexadecimal digits of a leaf in a fingerprint
+LEAF = 5  # hexadecimal digits of a leaf in a fingerprint
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

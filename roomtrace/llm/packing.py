@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from roomtrace.llm.common import map_arrow, slices
 from roomtrace.llm.token_counts import MergeTable
 
-REMEMBER = 200_000  # words in a generation of what a worker remembers
+REMEMBER = 500_000  # words in a generation of what a worker remembers
 SENTENCE, INSIDE = 2.0, 24.0  # penalties of cuts, in tokens of padding
 GRID = 512  # distance of last-resort cuts
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
