@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(state)
         both = edge.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edge.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edge = shared_checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())

@@ -14,8 +14,8 @@ sets of their classes, where the same traversal verifies exact overlaps.  Verifi
 to components, whose least document id is the result.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a null ``doc_id`` takes
-part as the largest id and is null in the result where nothing smaller is linked; repeated rows are in one class; an empty
-table gives an empty result; further columns are ignored.
+part as the largest id and is null in the result where nothing smaller is linked; repeated rows are in
+one class; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomtrace.llm.common import map_arrow, mix, n_buckets, pack, rolling, ship, slices, span_hashes, text_buffer, unpack, word_spans
+from roomtrace.llm.common import map_arrow, mix, n_buckets, pack, rolling, shared_checkpoint, ship, slices, span_hashes, text_buffer, unpack, word_spans
 from roomtrace.llm.graph import components
 from roomtrace.llm.quality import LOWER
 
@@ -135,11 +135,10 @@ def pop(x: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Union-find over places 0..n-1; keeps the edges that joined something."""
+    """Union-find over places 0..n-1."""
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
-        self.edges: list[tuple[int, int]] = []
 
     def roots(self, at: np.ndarray) -> np.ndarray:
         r = self.parent[at]
@@ -160,7 +159,6 @@ class Forest:
         a, b = self.root(i), self.root(j)
         if a != b:
             self.parent[max(a, b)] = min(a, b)
-            self.edges.append((i, j))
 
 
 class SignatureTree:
@@ -250,9 +248,13 @@ def traverse(size: np.ndarray, bits: np.ndarray, pct: int, forest: Forest, at: n
         down(top, np.zeros(1, np.int64), np.zeros(1, np.int64))
 
 
-def _edges(ids: np.ndarray, edges: list[tuple[int, int]]) -> pa.Table:
-    e = np.array(edges, np.int64).reshape(-1, 2)
-    return pa.table({"a": pa.array(ids[e[:, 0]], pa.int64()), "b": pa.array(ids[e[:, 1]], pa.int64())})
+def _edges(ids: np.ndarray, forest: Forest) -> pa.Table:
+    """Every connected id with the least id of its tree: stars, which later contractions keep."""
+    roots = forest.roots(np.arange(len(ids)))
+    least = ids.copy()
+    np.minimum.at(least, roots, ids)
+    far = np.flatnonzero(ids != least[roots])
+    return pa.table({"a": pa.array(ids[far], pa.int64()), "b": pa.array(least[roots[far]], pa.int64())})
 
 
 def _sorted_groups(key: np.ndarray) -> list[np.ndarray]:
@@ -345,7 +347,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, pct: int = 90, id_col: str =
                     continue
             if len(group) > 1:
                 connect(sets, pct, forest, place[group])
-        return _edges(ids, forest.edges)
+        return _edges(ids, forest)
 
     trees = found.where("kind = 1").select("token", "cls").join(classes.select("cls", "n", "bits"), "cls")
     trees = trees.withColumn("bucket", F.pmod("token", F.lit(buckets)))
@@ -388,18 +390,23 @@ def jaccard_components(docs: DataFrame, k: int = 3, pct: int = 90, id_col: str =
         for group in _sorted_groups(key):
             if len(group) > 1:
                 connect(sets, pct, forest, group, linked, mine if part[group[0]] != other[group[0]] else None)
-        return _edges(cls, forest.edges)
+        edges = _edges(cls, forest)
+        cut = table.column("parts").to_numpy() > 1
+        return edges.append_column("cut", pa.array(np.isin(edges.column("a").to_numpy(), cls[cut])))
 
     # components above the bound are cut into parts by hash, and every pair of parts meets once
     many = coarse.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("parts > 1")
     member = sets.join(many, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("cls"), "parts").cast("int"))
     member = member.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    member = member.select("root", "cls", "n", "bits", "items", "mine", F.least("mine", "with").alias("part"), F.greatest("mine", "with").alias("other"))
+    member = member.select("root", "cls", "n", "bits", "items", "mine", F.least("mine", "with").alias("part"), F.greatest("mine", "with").alias("other"), "parts")
     member = member.withColumn("bucket", F.pmod(F.xxhash64("root", "part", "other"), F.lit(buckets)))
-    links = components(member.groupBy("bucket").applyInArrow(verified, "a long, b long"))
+    links = shared_checkpoint(member.groupBy("bucket").applyInArrow(verified, "a long, b long, cut boolean"))
+    roots = links.where("not cut").select(F.col("a").alias("node"), F.col("b").alias("root"))  # stars of whole components
+    if not links.where("cut").isEmpty():  # those of parts are still to be joined
+        roots = roots.unionByName(components(links.where("cut")))
 
     rows = found.where("kind = 0").select("id", "n", "key", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
-    rows = rows.join(links.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rows = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     rows = rows.join(least, "root", "left")
     real = lambda c: F.when(c != NO_ID, c)

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,11 +75,14 @@ def collect_features(sample: DataFrame, features: Features) -> list[tuple[np.nda
                  pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], names=["doc_id", "y", "slot", "value"])
 
     got = map_arrow(sample, run, "doc_id long, y double, slot array<int>, value array<float>").toArrow()
-    ids = got.column("doc_id").to_numpy()
-    n = pc.list_value_length(got.column("slot")).to_numpy()
-    order = np.lexsort((n, ids, mix(ids.astype(np.int64).view(np.uint64))))
-    slot, value, y = got.column("slot"), got.column("value"), got.column("y").to_numpy()
-    return [(np.array(slot[int(i)].values).astype(np.int64), np.array(value[int(i)].values, np.float64), float(y[i])) for i in order]
+    # views of the Arrow buffers: the sample is held once
+    rows = []
+    for b in got.to_batches():
+        slot, value = b.column("slot"), b.column("value")
+        at, slots, values = slot.offsets.to_numpy(), slot.values.to_numpy(), value.values.to_numpy()
+        rows += [(i, slots[s:e], values[s:e], y) for i, y, s, e in zip(b.column("doc_id").to_pylist(), b.column("y").to_pylist(), at, at[1:])]
+    order = np.lexsort(([len(r[1]) for r in rows], [r[0] for r in rows], mix(np.array([r[0] for r in rows], np.int64).view(np.uint64))))
+    return [rows[i][1:] for i in order.tolist()]
 
 
 def score(docs: DataFrame, features: Features, weights: np.ndarray, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, pattern: tuple[float, ...] = (1.0, 2.0, 3.0
     limit = F.col("source_size") * float(most)
     held, share = F.lit(False), F.lit(0.0)  # a source stays held as the level of the others only rises
     while True:
-        free, taken = per.where(~held).agg(F.sum("weight")).first()[0], per.where(held).agg(F.sum(limit)).first()[0]
+        free, taken = per.agg(F.sum(F.when(~held, F.col("weight"))), F.sum(F.when(held, limit))).first()
         if not free:
             break
         share = F.col("weight") * ((total - (taken or 0.0)) / free)
