@@ -53,7 +53,7 @@ def tree(texts: pa.Array) -> dict[str, np.ndarray]:
     lines = np.flatnonzero(data == 10) + 1
     cuts = np.unique(np.concatenate([cut, lines, off[1:]]))
     cuts = cuts[cuts > 0]
-    begin = np.append(0, cuts[:-1])
+    begin = np.append(0, cuts)[:-1]
     leaves = span_hashes(data, begin, cuts)
     leaf_row = np.searchsorted(off, begin, side="right") - 1
     # a leaf is fine where it begins within the first words of its text

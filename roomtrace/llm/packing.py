@@ -172,7 +172,8 @@ class Packer:
         # the cheapest kind of cut wins where kinds coincide
         ends = np.array([s + n for _, n, s in self.docs], np.int64)
         sentence = np.flatnonzero(np.isin(self.ids[:-1], self.stops)) + 1
-        grid = np.arange(GRID, total, GRID)
+        step = min(GRID, self.max_len)
+        grid = np.arange(step, total, step)
         penalty = np.full(total + 1, np.inf, np.float32)
         penalty[grid] = INSIDE
         penalty[sentence] = SENTENCE
