@@ -23,9 +23,9 @@ def color_frame(loc: DataFrame) -> DataFrame:
 MODES = ["dark", "warm", "cool", "neutral"]
 
 
-def blend_color(frame: DataFrame, keys, first_n: int = 200, order: str = "gw_timestamp") -> DataFrame:
-    """Per group: mean RGB of the first ``first_n`` valid colors, rounded half-even, clipped, as hex."""
-    first = top_n(frame, first_n, [F.asc(order)], part=keys)
+def blend_color(frame: DataFrame, keys, first_n: int | None = None, order: str = "gw_timestamp") -> DataFrame:
+    """Per group: mean RGB of all valid colors (or of the first ``first_n``), rounded half-even, clipped, as hex."""
+    first = frame if first_n is None else top_n(frame, first_n, [F.asc(order)], part=keys)
 
     def ch(c):
         return F.least(F.greatest(F.bround(F.avg(c), 0), F.lit(0.0)), F.lit(255.0)).cast("int")
@@ -40,7 +40,7 @@ def monthly_color_modes(frame: DataFrame) -> DataFrame:
     shares = frame.groupBy(*keys).agg(
         *[(F.count_if(F.col("color_mode") == m) / F.count(F.lit(1))).alias(f"{m}_share") for m in MODES],
         F.avg("brightness").alias("mean_brightness"))
-    return (shares.join(blend_color(frame, keys), keys)
+    return (shares.join(blend_color(frame, keys, first_n=200), keys)
             .withColumnRenamed("local_month", "month"))
 
 

@@ -28,13 +28,13 @@ from (select *, {_hexpair('color_hex', 2)} as r_, {_hexpair('color_hex', 4)} as
       from loc where {_valid()}) v"""
 
 
-def _blend(keys: str) -> str:
+def _blend(keys: str, first: int | None = None) -> str:
     def ch(c):
         return f"cast(least(greatest(round_even(avg({c}), 0), 0.0), 255.0) as int)"
 
     return (f"select {keys}, printf('#%02X%02X%02X', {ch('r_')}, {ch('g_')}, {ch('b_')}) as dominant_color from "
-            f"(select * from cf qualify row_number() over (partition by {keys} order by gw_timestamp) <= 200) f "
-            "group by all")
+            + (f"(select * from cf qualify row_number() over (partition by {keys} order by gw_timestamp) <= {first}) f "
+               if first else "cf ") + "group by all")
 
 
 def frame(spark, sf_dir, fixture="r1"):
@@ -44,7 +44,7 @@ def frame(spark, sf_dir, fixture="r1"):
 _SHARES = ", ".join(f"count(*) filter (where color_mode = '{m}') / count(*) as {m}_share" for m in color.MODES)
 
 
-@register("monthly_color_modes", S.cte(**S.base("r2"), cf=_CF, bl=_blend("device_id, local_month")) + f"""
+@register("monthly_color_modes", S.cte(**S.base("r2"), cf=_CF, bl=_blend("device_id, local_month", 200)) + f"""
 select s.device_id, s.local_month as month, {', '.join(m + '_share' for m in color.MODES)}, mean_brightness, dominant_color
 from (select device_id, local_month, {_SHARES}, avg(brightness) as mean_brightness from cf group by all) s
 join bl on bl.device_id = s.device_id and bl.local_month = s.local_month""",
