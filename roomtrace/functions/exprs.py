@@ -6,7 +6,6 @@ Python UDF is involved anywhere.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -301,17 +300,14 @@ def safe_div(a, b) -> Column:
     return F.try_divide(_c(a), _c(b))
 
 
-def pct(col, p, approx: bool | None = None, accuracy: int = 10000):
+def pct(col, p, approx: bool = False, accuracy: int = 10000):
     """Percentile, exact and linearly interpolated by default (pandas/DuckDB ``quantile_cont``).
 
     Exact ``percentile`` keeps a value->count map per group: its memory follows
     the distinct values of a group (small for quantised sensor readings), and it
-    merges map-side.  For unbounded value domains set ``approx=True`` or
-    ``ROOMTRACE_APPROX_PERCENTILE=1``: a fixed-size sketch (``percentile_approx``),
-    no longer equal to the reference's interpolated values.
+    merges map-side.  A caller with an unbounded value domain passes ``approx=True``:
+    a fixed-size sketch (``percentile_approx``), no longer equal to interpolated values.
     """
-    if approx is None:
-        approx = os.environ.get("ROOMTRACE_APPROX_PERCENTILE", "0") == "1"
     if approx:
         return F.percentile_approx(_c(col), p, accuracy)
     return F.percentile(_c(col), p)
