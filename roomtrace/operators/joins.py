@@ -1,66 +1,16 @@
 """Joining per-key statistics back to large frames.
 
-Statistics computed by an aggregate (one row per device, device-day,
-device-sensor, ...) are joined back to raw rows in many operators.  Spark's
-plan-time size estimate of an aggregate is its input size, so it cannot know
-that the result is small.  ``join_small`` makes the decision explicit:
-
-1. the small side is materialised once into the shared checkpoint folder
-   (``spark.checkpoint.dir``; a reliable checkpoint that survives executor
-   loss, never ``localCheckpoint``) - this also cuts its lineage;
-2. its row count is taken from that materialised copy;
-3. at most ``max_rows`` rows -> broadcast hash join (the large side is not
-   shuffled at all); more -> a plain shuffle join, where AQE's skew-join
-   handling splits hot keys (one device may hold a third of all rows).
+Statistics computed by an aggregate (one row per device, device-day, device-sensor, ...) are joined
+back to raw rows in many operators.  The join is left to Spark: adaptive execution broadcasts a side
+whose measured size is below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles both,
+splitting skewed keys (one device may hold a third of all rows).  Building a query runs no job.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from roomtrace.session import checkpoint_dir
-
-# Rows of a statistics table that may be broadcast (a few tens of MB for narrow rows).
-BROADCAST_MAX_ROWS = int(os.environ.get("ROOMTRACE_BROADCAST_MAX_ROWS", "250000"))
-# Materialising the small side costs a job; tiny local runs may switch it off.
-MATERIALIZE = os.environ.get("ROOMTRACE_MATERIALIZE_STATS", "1") != "0"
-
-
-def _estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's plan-time size estimate.  For statistics derived by aggregation it is the
-    aggregate's input size, i.e. an upper bound of the real result."""
-    try:
-        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(v) if isinstance(v, int) else int(v.toString())
-    except Exception:  # sessions without JVM access (Spark Connect)
-        return None
-
-
-def _broadcast_threshold(df: DataFrame) -> int:
-    try:
-        v = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-        return int(str(v).lower().replace("b", "")) if str(v).lstrip("-").isdigit() else 10485760
-    except Exception:
-        return 10485760
-
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int | None = None) -> DataFrame:
-    """``big.join(small, on, how)`` with a size-checked broadcast of ``small`` (see module doc).
 
-    Check 1 (free): when even the plan-time upper bound of ``small`` is under the
-    broadcast threshold, broadcast it directly.  Check 2 (one small job): otherwise
-    materialise ``small`` in the checkpoint folder and count it.
-    """
-    limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    est, thr = _estimated_bytes(small), _broadcast_threshold(small)
-    if est is not None and 0 <= est <= thr and max_rows is None:
-        return big.join(F.broadcast(small), on, how)
-    if not MATERIALIZE:
-        return big.join(small, on, how)
-    checkpoint_dir(small.sparkSession)
-    mat = small.checkpoint(eager=True)
-    n = mat.count()
-    return big.join(F.broadcast(mat) if n <= limit else mat, on, how)
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``big.join(small, on, how)``; the join's form is chosen from sizes measured at run time."""
+    return big.join(small, on, how)
