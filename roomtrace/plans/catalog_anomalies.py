@@ -243,8 +243,8 @@ group by all"""
 _TREND_ROWS = f"""select device_id, 'trend' as category,
        case when abs(daily_change) > 2.0 then 'high' else 'medium' end as priority,
        {_name('sensor')} || ' is ' || case when daily_change > 0 then 'increasing' else 'decreasing' end as title,
-       {_name('sensor')} || ' has been steadily ' || case when daily_change > 0 then 'increasing' else 'decreasing' end
-         || ' (' || case when daily_change >= 0 then '+' else '' end || {_num('daily_change')} || ' per day)' as description,
+       {_name('sensor')} || ' keeps ' || case when daily_change > 0 then 'increasing' else 'decreasing' end
+         || ': ' || case when daily_change >= 0 then '+' else '' end || {_num('daily_change')} || ' a day by linear fit' as description,
        sensor, daily_change as metric
 from tr where n >= 10 and abs(daily_change) > 0.5"""
 
@@ -259,11 +259,14 @@ def q_trend_slopes(spark, sf_dir):
     return I.trend_slopes(clean(spark, sf_dir, "r2"))
 
 
-@register("trend_slopes_sample_index", S.cte(**S.base("r2"), lf=_trend_lf(), ix="""
-select device_id, gw_timestamp, row_number() over (partition by device_id order by gw_timestamp) - 1 as x from clean""")
+@register("trend_slopes_sample_index", S.cte(**S.base("r2"), ix="""
+select device_id, temperature_sht, humidity, pressure, row_number() over (partition by device_id
+       order by gw_timestamp, temperature_sht nulls first, humidity nulls first, pressure nulls first) - 1 as x from clean""")
           + """
-select lf.device_id, lf.sensor, regr_slope(value, cast(x as double)) * 2880 as daily_change, count(value) as n
-from lf join ix on ix.device_id = lf.device_id and ix.gw_timestamp = lf.gw_timestamp group by all""",
+select device_id, sensor, regr_slope(value, cast(x as double)) * 2880 as daily_change, count(value) as n
+from (unpivot (select device_id, x, cast(temperature_sht as double) as temperature_sht, cast(humidity as double) as humidity,
+                      cast(pressure as double) as pressure from ix) on temperature_sht, humidity, pressure into name sensor value value)
+group by all""",
           doubles=("daily_change",), ints=("device_id",))
 def q_trend_slopes_sample_index(spark, sf_dir):
     return I.trend_slopes(clean(spark, sf_dir, "r2"), mode="sample_index")
@@ -280,8 +283,8 @@ def q_insight_trend(spark, sf_dir):
 
 
 _WEEKEND = f"""select device_id, 'pattern' as category, 'medium' as priority,
-       case when diff > 0 then 'Weekends' else 'Weekdays' end || ' are different' as title,
-       {_name('sensor')} || ' averages ' || {_num('abs(diff)')} || ' higher on '
+       case when diff > 0 then 'Weekends' else 'Weekdays' end || ' stand out' as title,
+       'Mean ' || {_name('sensor')} || ' is ' || {_num('abs(diff)')} || ' above the rest of the week on '
          || case when diff > 0 then 'weekends' else 'weekdays' end as description, sensor, diff as metric
 from (select *, weekend_mean - weekday_mean as diff,
              abs((weekend_mean - weekday_mean) / nullif(weekday_mean, 0) * 100) as pct from (
@@ -298,9 +301,9 @@ def q_insight_weekend(spark, sf_dir):
 
 
 _ORDER = "case sensor " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(I.SENSOR_NAMES)) + " end"
-_ANOM = f"""select device_id, 'anomaly' as category, 'high' as priority, 'Unusual ' || {_name('sensor')} || ' detected' as title,
-       'Detected ' || severity || ' anomaly on ' || strftime(gw_timestamp, '%Y-%m-%dT%H:%M:%S') || ': '
-         || {_num('value', 2)} || ' (' || {_num('abs(z_score)')} || ' sigma from normal)' as description,
+_ANOM = f"""select device_id, 'anomaly' as category, 'high' as priority, 'Outlying ' || {_name('sensor')} as title,
+       severity || ' outlier at ' || strftime(gw_timestamp, '%Y-%m-%dT%H:%M:%S') || ': value '
+         || {_num('value', 2)} || ', z-score magnitude ' || {_num('abs(z_score)')} as description,
        sensor, z_score as metric
 from az qualify row_number() over (partition by device_id order by gw_timestamp desc, {_ORDER}) = 1"""
 
@@ -311,12 +314,12 @@ def q_insight_anomaly(spark, sf_dir):
 
 
 REPORT_DATE = "2024-12-31 00:00:00"
-_MILE = f"""select device_id, 'milestone' as category, 'low' as priority, 'Half a million data points!' as title,
-       'You''ve collected ' || n || ' environmental measurements' as description, cast(null as varchar) as sensor,
+_MILE = f"""select device_id, 'milestone' as category, 'low' as priority, 'Row count passed its mark' as title,
+       n || ' readings are stored' as description, cast(null as varchar) as sensor,
        cast(n as double) as metric from mg where n > 500000
 union all
-select device_id, 'milestone', 'low', '6 months of monitoring!',
-       'You''ve been monitoring for ' || cast(days as bigint) || ' days straight', cast(null as varchar),
+select device_id, 'milestone', 'low', 'Monitoring time passed its mark',
+       'First reading lies ' || cast(days as bigint) || ' days back', cast(null as varchar),
        cast(days as double) from mg where days >= 180"""
 _MG = f"""select device_id, count(*) as n,
        floor({us(f"timestamp '{REPORT_DATE}'", 'min(gw_timestamp)')} / 86400) as days from clean group by all"""
