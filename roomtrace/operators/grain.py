@@ -9,6 +9,8 @@ sampling cadence, which is what makes every sequence operator downstream
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +138,42 @@ def stats_from_rollup(roll: DataFrame) -> DataFrame:
                     F.when(F.col("count") > 1, F.sqrt(m2 / (F.col("count") - 1))).alias("std"), "buckets")
 
 
+def merge_rollup(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of ``new``, and those of ``old`` whose key (device, sensor, bucket) is not in ``new``."""
+    keys = ["device_id", "sensor", "bucket"]
+    return old.join(new.select(*keys), keys, "left_anti").select(*new.columns).unionByName(new)
+
+
+def range_rollup(clean: DataFrame, hourly: DataFrame, daily: DataFrame, start, end) -> DataFrame:
+    """Rollup rows that cover [start, end) exactly: whole days from the daily rollup, whole hours of the
+    first and last day from the hourly one, and the rest of an hour at either edge from raw rows."""
+    hour, day = dt.timedelta(hours=1), dt.timedelta(days=1)
+
+    def floor(t, step):
+        zero = dt.datetime(2000, 1, 1)
+        return zero + (t - zero) // step * step
+
+    def between(df, col, lo, hi):
+        return df.where((F.col(col) >= F.lit(lo.isoformat(" ")).cast("timestamp_ntz")) & (F.col(col) < F.lit(hi.isoformat(" ")).cast("timestamp_ntz")))
+
+    h0, h1 = floor(start + hour - dt.timedelta.resolution, hour), floor(end, hour)
+    d0, d1 = floor(start + day - dt.timedelta.resolution, day), floor(end, day)
+    parts = []
+    if h0 >= h1:
+        parts.append(rollup(between(clean, "gw_timestamp", start, end), "hourly"))
+    else:
+        parts += [rollup(between(clean, "gw_timestamp", lo, hi), "hourly") for lo, hi in ((start, h0), (h1, end)) if lo < hi]
+        if d0 < d1:
+            parts.append(between(daily, "bucket", d0, d1))
+            parts += [between(hourly, "bucket", lo, hi) for lo, hi in ((h0, d0), (d1, h1)) if lo < hi]
+        else:
+            parts.append(between(hourly, "bucket", h0, h1))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def rollup_router(span_hours: float, daily_min_hours: float = 24 * 30, hourly_min_hours: float = 48) -> str:
     """Plan-time choice of input: >=30 days -> daily rollup, >=2 days -> hourly, else raw rows."""
     if span_hours >= daily_min_hours:

@@ -216,10 +216,16 @@ def daily_aggregates_by_hour(df: DataFrame, sensor: str, ts: str = "gw_timestamp
 
 def data_quality_metrics(df: DataFrame, expected_per_day: int = 2880, sensor: str = "temperature_sht",
                          ts: str = "gw_timestamp") -> DataFrame:
-    """Per day: missing share against the expected cadence, and drift = daily median minus the
-    median of the previous 7 daily medians (a window over day rows)."""
+    """Per day between a device's first and last one: missing share against the expected cadence (a day
+    without rows: 100), and drift = daily median minus the median of the previous 7 daily medians."""
     d = df.groupBy("device_id", F.to_date(ts).alias("date")).agg(
         F.count(F.lit(1)).alias("rows"), pct(sensor, 0.5).alias("daily_median"))
+    # the next day with rows, found on day rows; the days up to it are empty
+    after = F.lead("date").over(Window.partitionBy("device_id").orderBy("date"))
+    real = F.col("_day") == F.col("date")
+    d = d.withColumn("_to", after).withColumn("_day", F.explode(F.sequence("date", F.coalesce(F.date_sub("_to", 1), F.col("date")))))
+    d = d.select("device_id", F.col("_day").alias("date"), F.when(real, F.col("rows")).otherwise(0).alias("rows"),
+                 F.when(real, F.col("daily_median")).alias("daily_median"))
     w = Window.partitionBy("device_id").orderBy(F.unix_date("date")).rangeBetween(-7, -1)
     trailing = F.percentile(F.col("daily_median"), 0.5).over(w)
     return (d.withColumn("missing_pct", F.greatest(F.lit(0.0), 1 - F.col("rows") / float(expected_per_day)) * 100)

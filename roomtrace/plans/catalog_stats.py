@@ -222,7 +222,10 @@ def q_daily_aggregates_by_hour(spark, sf_dir):
 select *, greatest(0.0, 1 - rows / 2880.0) * 100 as missing_pct,
        daily_median - quantile_cont(daily_median, 0.5) over (partition by device_id
           order by date_diff('day', date '1970-01-01', date) range between 7 preceding and 1 preceding) as drift
-from d""", doubles=("daily_median", "missing_pct", "drift"), dates=("date",), ints=("device_id",))
+from (select s.device_id, s.date, coalesce(d.rows, 0) as rows, d.daily_median
+      from (select device_id, cast(unnest(generate_series(min(date), max(date), interval 1 day)) as date) as date from d group by device_id) s
+      left join d on d.device_id = s.device_id and d.date = s.date) x""",
+          doubles=("daily_median", "missing_pct", "drift"), dates=("date",), ints=("device_id", "rows"))
 def q_data_quality_metrics(spark, sf_dir):
     return stats.data_quality_metrics(clean(spark, sf_dir, "r2"))
 
@@ -326,6 +329,35 @@ def q_stats_from_rollup(spark, sf_dir):
     return grain.stats_from_rollup(roll).select("device_id", "sensor", "mean", "min", "max", "count", "std")
 
 
+_PART = ("2024-01-05 07:20:00", "2024-01-17 15:40:00")
+
+
+@register("stats_over_range", S.cte(**S.base("r1"), lf=unpivot_sql("clean", nulls=False)) + f"""
+select device_id, sensor, avg(value) as mean, min(value) as min, max(value) as max, count(value) as count,
+       stddev_samp(value) as std from lf
+where gw_timestamp >= timestamp '{_PART[0]}' and gw_timestamp < timestamp '{_PART[1]}' group by all""",
+          doubles=("mean", "min", "max", "std"), ints=("device_id",))
+def q_stats_over_range(spark, sf_dir):
+    """A range that begins and ends within an hour: days, hours and raw edges together equal the raw rows."""
+    c = clean(spark, sf_dir)
+    lo, hi = map(dt.datetime.fromisoformat, _PART)
+    r = grain.range_rollup(c, grain.rollup(c, "hourly"), grain.rollup(c, "daily"), lo, hi)
+    return grain.stats_from_rollup(r).select("device_id", "sensor", "mean", "min", "max", "count", "std")
+
+
+@register("merge_rollup", S.cte(**S.base("r1"), lf=unpivot_sql("clean", nulls=False)) + """
+select device_id, sensor, date_trunc('day', gw_timestamp) as bucket, avg(value) as avg,
+       count(value) as count from lf group by all""",
+          doubles=("avg",), ts=("bucket",), ints=("device_id",))
+def q_merge_rollup(spark, sf_dir):
+    """A stored rollup with stale rows of one device's later days, refreshed by key: equal to one from all rows."""
+    c = clean(spark, sf_dir)
+    late = (F.col("device_id") == 1) & (F.col("bucket") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    full = grain.rollup(c, "daily")
+    stale = full.withColumn("avg", F.when(late, F.lit(-1.0)).otherwise(F.col("avg")))
+    return grain.merge_rollup(stale, full.where(late)).select("device_id", "sensor", "bucket", "avg", "count")
+
+
 @register("mean_of_daily_means", S.cte(**S.base("r1"), lf=unpivot_sql("clean", nulls=False)) + """
 select device_id, sensor, avg(a) as mean_of_bucket_means, count(*) as buckets from (
   select device_id, sensor, date_trunc('day', gw_timestamp) as d, avg(value) as a from lf group by all) x group by all""",
