@@ -19,12 +19,15 @@ TS_FMT_DUCK = "%Y-%m-%d %H:%M:%S.%f"
 DIGITS = 6
 
 
-def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+def present(df: DataFrame, digits: int | None = DIGITS) -> DataFrame:
+    """Columns in the form of a payload; ``digits=None`` leaves doubles unrounded."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         t = f.dataType
-        if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
+        if digits is None and isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
+            pass
+        elif isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
             # round(x * 10^d) / 10^d: both engines form the same IEEE product and round it
             # half away from zero, so ties at the last digit agree.
             c = F.round(c.cast("double") * float(10 ** digits), 0) / float(10 ** digits)

@@ -1,8 +1,8 @@
 """Sinks: stored history, exports, analysis sections, rollup tables, feed messages.
 
 Writers are plain DataFrame writes; nothing passes through the driver.
-Re-runnable writes are idempotent: rollups overwrite only the partitions
-they touch (dynamic partition overwrite), streaming batches overwrite
+Re-runnable writes are idempotent: rollups are merged by key within the date
+partitions they touch (dynamic partition overwrite), streaming batches overwrite
 their own batch partition.
 """
 
@@ -15,8 +15,15 @@ from roomtrace.functions.exprs import iso_str
 from roomtrace.functions.timefn import time_range
 from roomtrace.operators.anomalies import moving_average, zscore
 from roomtrace.operators.clean import project_sensors
+from roomtrace.operators.grain import merge_rollup
 from roomtrace.plans.present import present
 from roomtrace.schema import CSV_FIELDNAMES, FEED_KEYS, NUMERIC_SENSORS
+from roomtrace.session import checkpoint_dir
+
+
+def _as_text(df: DataFrame) -> DataFrame:
+    """Timestamps and dates as ISO text; numbers as they are."""
+    return present(df, digits=None)
 
 
 def as_csv_rows(df: DataFrame) -> DataFrame:
@@ -80,7 +87,7 @@ def export_selected(df: DataFrame, path: str, sensors, token=None, as_of=None, w
             d = zscore(d, s)
         if moving_avg_s and s in NUMERIC_SENSORS:
             d = moving_average(d, s, window_s=moving_avg_s)
-    present(d).write.mode("overwrite").option("header", True).csv(path)
+    _as_text(d).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
@@ -92,19 +99,19 @@ def export_json(df: DataFrame, out_dir: str, sensors=None, token=None, as_of=Non
     meta = d.groupBy("device_id").agg(
         F.count(F.lit(1)).alias("rows"), F.min("gw_timestamp").alias("start"), F.max("gw_timestamp").alias("end"),
     ).withColumn("sensors", F.lit(",".join(sensors))).withColumn("time_range", F.lit(str(token)))
-    present(meta).write.mode("overwrite").json(f"{out_dir}/metadata")
-    present(d).write.mode("overwrite").json(f"{out_dir}/data")
+    _as_text(meta).write.mode("overwrite").json(f"{out_dir}/metadata")
+    _as_text(d).write.mode("overwrite").json(f"{out_dir}/data")
     if stats is not None:
-        present(stats).write.mode("overwrite").json(f"{out_dir}/statistics")
+        _as_text(stats).write.mode("overwrite").json(f"{out_dir}/statistics")
     if insights is not None:
-        present(insights).write.mode("overwrite").json(f"{out_dir}/insights")
+        _as_text(insights).write.mode("overwrite").json(f"{out_dir}/insights")
     return out_dir
 
 
 def sink_sections(sections: dict[str, DataFrame], out_dir: str) -> str:
     """The analysis payload: one small JSON dataset per section, timestamps as ISO text."""
     for name, frame in sections.items():
-        present(frame).coalesce(1).write.mode("overwrite").json(f"{out_dir}/{name}")
+        _as_text(frame).write.mode("overwrite").json(f"{out_dir}/{name}")
     return out_dir
 
 
@@ -112,25 +119,36 @@ def export_anomaly_report(anoms: DataFrame, path: str) -> str:
     """CSV: timestamp, sensor, value, z, severity, expected value, absolute deviation."""
     rep = anoms.select("device_id", F.col("gw_timestamp").alias("timestamp"), "sensor", "value", "z_score", "severity",
                        F.col("expected_value"), F.abs(F.col("value") - F.col("expected_value")).alias("abs_deviation"))
-    present(rep).write.mode("overwrite").option("header", True).csv(path)
+    _as_text(rep).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
 def export_stats(stats: DataFrame, path: str, fmt: str = "csv") -> str:
-    p = present(stats).write.mode("overwrite")
+    p = _as_text(stats).write.mode("overwrite")
     (p.option("header", True).csv(path) if fmt == "csv" else p.json(path))
     return path
 
 
 def rollup_upsert(roll: DataFrame, path: str) -> str:
-    """Insert-or-replace rollup rows keyed (device, sensor, bucket): partitions by bucket date are
-    overwritten dynamically, so re-running a window of buckets replaces exactly those partitions."""
-    (roll.withColumn("bucket_date", F.to_date("bucket"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket_date").parquet(path))
+    """Insert-or-replace rollup rows by key (device, sensor, bucket).  Only the date partitions that
+    ``roll`` touches are read, merged and overwritten; their other rows stay.  The merged rows are cut
+    from the files they replace by a reliable checkpoint before these are overwritten."""
+    spark = roll.sparkSession
+    new = roll.withColumn("bucket_date", F.to_date("bucket"))
+    if path_exists(spark, path):
+        old = spark.read.parquet(path)
+        old = old.join(new.select("bucket_date").distinct(), "bucket_date", "left_semi").select(*new.columns)
+        checkpoint_dir(spark)
+        new = merge_rollup(old, new).checkpoint()
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket_date").parquet(path)
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def rollup_state(spark: SparkSession, path: str) -> DataFrame:
     """Last aggregated bucket per device (the batch counterpart of a streaming checkpoint)."""
     return spark.read.parquet(path).groupBy("device_id").agg(F.max("bucket").alias("last_aggregation"))

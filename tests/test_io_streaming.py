@@ -80,6 +80,18 @@ def test_rollup_upsert_is_idempotent(spark, scratch):
     assert len(st) == 2
 
 
+def test_rollup_upsert_replaces_by_key_only(spark, scratch):
+    full = grain.rollup(readings_r1(spark, SF_SMALL), "hourly")
+    p = os.path.join(scratch, "roll")
+    sinks.rollup_upsert(full.where("device_id = 0").withColumn("avg", F.lit(-1.0)), p)
+    sinks.rollup_upsert(full.where("device_id = 1"), p)  # the same dates, other keys
+    part = full.where("device_id = 0 and hour(bucket) < 12")  # part of each day
+    sinks.rollup_upsert(part, p)
+    got = spark.read.parquet(p)
+    assert got.count() == full.count()
+    assert got.where("avg = -1.0").count() == full.where("device_id = 0 and hour(bucket) >= 12").count()
+
+
 def test_feed_messages_non_null_only(spark):
     src = readings_r1(spark, SF_SMALL)
     fm = sinks.feed_messages(src)
