@@ -60,6 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
+        if sc is not None and not sc.master.startswith("local") or sc is not None and sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="roomtrace-ckpt-")  # unset: local runs and tests only
         try:
             spark.conf.set("spark.checkpoint.dir", d)

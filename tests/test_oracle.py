@@ -8,11 +8,12 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from roomtrace.plans import catalog
 from tools.oracle_check import compare, duck_con
 
 SF = os.environ.get("ROOMTRACE_ORACLE_SF", "/root/testdata/sf0.001")
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+E.queries()
+QUERIES, SQL = catalog.QUERIES, catalog.SQL
 
 
 @pytest.fixture(scope="module")
