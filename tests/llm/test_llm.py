@@ -378,29 +378,32 @@ def test_changed_pieces_locate_an_edit():
 
 # --- 10 --------------------------------------------------------------------
 
-def test_lm_scores_are_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("bytes_", [lm_scores.BLOCK_BYTES, 200])
+def test_lm_scores_are_brute_force(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(lm_scores, "BLOCK_BYTES", bytes_)  # few blocks, and more than documents
     rows = awkward()
     target = [("the dog77 and the cat5",), ("p1 p2 p3 p4 the of",), (None,), ("",)]
     got = lm_scores.lm_scores(frame(spark, rows), spark.createDataFrame(target, "text string")).collect()
 
     def model(texts):
         uni, bi = collections.Counter(), collections.Counter()
-        for t in texts:
-            _, w, p = lm_scores.slots(pa.array([t or ""], pa.string()))
-            uni.update(w.tolist())
-            bi.update(x for x in p.tolist() if x >= 0)
-        return uni, bi
+        for ws in map(lower_words, texts):
+            uni.update(ws)
+            bi.update(zip(ws, ws[1:], strict=False))
+        return uni, bi, sum(uni.values())
+
+    def lower_words(t):
+        return [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words(t)]
 
     def loss(m, t):
-        (uni, bi), total = m, 0.0
-        _, w, p = lm_scores.slots(pa.array([t or ""], pa.string()))
-        n = sum(uni.values())
-        for k in range(len(w)):
-            x = (uni[w[k]] + 1) / (n + lm_scores.WORDS)
+        (uni, bi, n), result, ws = m, 0.0, lower_words(t)
+        for k, w in enumerate(ws):
+            share = sum(x[0][w] for x in models) / sum(x[2] for x in models)
+            p = (uni[w] + lm_scores.MU * share) / (n + lm_scores.MU)
             if k:
-                x = (bi[p[k]] + lm_scores.MU * x) / (uni[w[k - 1]] + lm_scores.MU)
-            total -= np.log(x)
-        return total / max(len(w), 1)
+                p = (bi[ws[k - 1], w] + lm_scores.MU * p) / (uni[ws[k - 1]] + lm_scores.MU)
+            result -= np.log(p)
+        return result / max(len(ws), 1)
 
     models = model([t for (t,) in target]), model([t for _, t, _ in rows])
     want = sorted((i if i is not None else -1, len(words(t)), *(round(loss(m, t), 6) for m in models)) for i, t, _ in rows if len(t or "") < 5000)
@@ -408,6 +411,8 @@ def test_lm_scores_are_brute_force(spark, monkeypatch):
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(want, have, strict=True))
     assert all(abs(r.score - (r.target_loss - r.background_loss)) < 1e-9 for r in got)
     assert lm_scores.lm_scores(empty(spark), spark.createDataFrame(target, "text string")).count() == 0
+    none = lm_scores.lm_scores(frame(spark, rows), spark.createDataFrame([], "text string")).collect()
+    assert len(none) == len(rows) and all(np.isfinite(r.score) for r in none)
 
 
 # --- queries and pipeline --------------------------------------------------
