@@ -46,28 +46,26 @@ def monthly_color_modes(frame: DataFrame) -> DataFrame:
 
 def color_timeline(df: DataFrame, date_col: str = "date") -> DataFrame:
     """date -> modal color (smallest on ties, black if none) and sample count (all rows)."""
-    d = df.withColumn(date_col, F.to_date("gw_timestamp"))
-    samples = d.groupBy("device_id", date_col).agg(F.count(F.lit(1)).alias("sample_count"))
-    counts = d.where(F.col("color_hex").isNotNull()).groupBy("device_id", date_col, "color_hex").count()
-    mode = (counts.groupBy("device_id", date_col)
-            .agg(F.min(F.struct((-F.col("count")).alias("k"), F.col("color_hex").alias("c"))).alias("m"))
-            .select("device_id", date_col, F.col("m.c").alias("dominant_color")))
-    return (samples.join(mode, ["device_id", date_col], "left")
-            .withColumn("dominant_color", F.coalesce("dominant_color", F.lit("#000000"))))
+    color = F.col("color_hex")
+    counts = (df.withColumn(date_col, F.to_date("gw_timestamp"))
+              .groupBy("device_id", date_col, "color_hex").agg(F.count(F.lit(1)).alias("n")))
+    modal = F.min(F.when(color.isNotNull(), F.struct((-F.col("n")).alias("k"), color.alias("c"))))
+    return (counts.groupBy("device_id", date_col).agg(F.sum("n").alias("sample_count"), modal.alias("m"))
+            .select("device_id", date_col, "sample_count", F.coalesce("m.c", F.lit("#000000")).alias("dominant_color")))
 
 
 def _ranked_colors(df: DataFrame, keys) -> DataFrame:
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    counts = df.where(F.col("color_hex").isNotNull()).groupBy(*keys, "color_hex").agg(F.count(F.lit(1)).alias("count"))
-    return (counts.join(total, list(keys))
-            .withColumn("percentage", F.col("count") / F.col("_total") * 100.0).drop("_total"))
+    """Colors of each group with count, % of all rows (NULL colors included) and rank; rows are counted once."""
+    counts = df.groupBy(*keys, "color_hex").agg(F.count(F.lit(1)).alias("count"))
+    w = Window.partitionBy(*keys)
+    order = w.orderBy(F.col("color_hex").isNull(), F.desc("count"), F.asc("color_hex"))
+    return (counts.withColumn("percentage", F.col("count") / F.sum("count").over(w) * 100.0)
+            .withColumn("rank", F.row_number().over(order)).where(F.col("color_hex").isNotNull()))
 
 
 def common_colors(df: DataFrame, n: int = 6) -> DataFrame:
     """Top ``n`` colors with count and % of all rows (NULL colors included in the base)."""
-    r = _ranked_colors(df, ["device_id"])
-    w = Window.partitionBy("device_id").orderBy(F.desc("count"), F.asc("color_hex"))
-    return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return _ranked_colors(df, ["device_id"]).where(F.col("rank") <= n)
 
 
 def unique_colors(df: DataFrame) -> DataFrame:
@@ -79,21 +77,18 @@ def day_colors(df: DataFrame, n: int = 4, day=None) -> DataFrame:
     d = df.withColumn("date", F.to_date("gw_timestamp"))
     if day is not None:
         d = d.where(F.col("date") == F.lit(day).cast("date"))
-    r = _ranked_colors(d, ["device_id", "date"])
-    w = Window.partitionBy("device_id", "date").orderBy(F.desc("count"), F.asc("color_hex"))
-    return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return _ranked_colors(d, ["device_id", "date"]).where(F.col("rank") <= n)
 
 
 def color_statistics(df: DataFrame, n: int = 10) -> DataFrame:
-    """Latest color (of the newest row), the top ``n`` colors as text, distinct count."""
-    latest = df.groupBy("device_id").agg(
-        F.max(F.struct("gw_timestamp", "color_hex")).getField("color_hex").alias("current"),
-        F.count_distinct("color_hex").alias("unique_count"))
-    top = common_colors(df, n)
-    joined = (top.groupBy("device_id")
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "color_hex"))),
-                                            lambda s: s["color_hex"]), ",").alias("most_common")))
-    return latest.join(joined, "device_id", "left")
+    """Latest color (of the newest row), the top ``n`` colors as text, distinct count; rows are counted once."""
+    color = F.col("color_hex")
+    counts = df.groupBy("device_id", "color_hex").agg(F.count(F.lit(1)).alias("n"), F.max("gw_timestamp").alias("_t"))
+    w = Window.partitionBy("device_id").orderBy(color.isNull(), F.desc("n"), F.asc("color_hex"))
+    top = F.collect_list(F.when((F.col("rank") <= n) & color.isNotNull(), F.struct("rank", "color_hex")))
+    return counts.withColumn("rank", F.row_number().over(w)).groupBy("device_id").agg(
+        F.max(F.struct("_t", "color_hex")).getField("color_hex").alias("current"), F.count("color_hex").alias("unique_count"),
+        F.when(F.count("color_hex") > 0, F.array_join(F.transform(F.array_sort(top), lambda s: s["color_hex"]), ",")).alias("most_common"))
 
 
 def color_by_month(frame: DataFrame) -> DataFrame:

@@ -61,21 +61,43 @@ def device_reboots(gaps: DataFrame, n: int = 12) -> DataFrame:
     return top_n(r, n, [F.asc("gw_timestamp")])
 
 
+def _ranked_values(df: DataFrame, **values) -> DataFrame:
+    """One row per (device, kind, value): rows, first and last time, and ``_upto``/``_all``, the numbers of
+    values up to this one and in all (NULLs not counted).
+
+    Values are counted map-side from one read of ``df`` and ranked by a running sum, which spills; the
+    memory of ``percentile``, a value -> count map, grows with the distinct gaps of a device.
+    """
+    cells = F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("double").alias("value")) for k, v in values.items()])
+    n = (df.select("device_id", "gw_timestamp", F.explode(cells).alias("_c")).select("device_id", "gw_timestamp", "_c.*")
+         .groupBy("device_id", "kind", "value").agg(F.count("value").alias("n"), F.min("gw_timestamp").alias("_t0"), F.max("gw_timestamp").alias("_t1")))
+    w = Window.partitionBy("device_id", "kind")
+    return n.withColumns({"_upto": F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(w)})
+
+
+def _median_of(kind: str) -> F.Column:
+    """Aggregate over ``_ranked_values``: the exact median (mean of the two middle values)."""
+    def at(rank):
+        here = (F.col("kind") == kind) & (F.col("_upto") - F.col("n") <= rank) & (rank < F.col("_upto"))
+        return F.max(F.when(here, F.col("value")))
+    middle = (F.col("_all") - 1) / 2
+    return (at(F.floor(middle)) + at(F.ceil(middle))) / 2
+
+
 def cadence_summary(gaps: DataFrame) -> DataFrame:
-    return gaps.groupBy("device_id").agg(
-        F.min("gw_timestamp").alias("first_ts"), F.max("gw_timestamp").alias("last_ts"),
-        pct("gw_gap_s", 0.5).alias("median_gap_s"), (F.max("gw_gap_s") / 3600.0).alias("max_gap_h"))
+    return _ranked_values(gaps, gap=F.col("gw_gap_s")).groupBy("device_id").agg(
+        F.min("_t0").alias("first_ts"), F.max("_t1").alias("last_ts"),
+        _median_of("gap").alias("median_gap_s"), (F.max("value") / 3600.0).alias("max_gap_h"))
 
 
 def kpis(gaps_loc: DataFrame) -> DataFrame:
     """Active dates of calendar days, median cadence, median temperature, outages > 1 h."""
-    return gaps_loc.groupBy("device_id").agg(
-        F.count_distinct("local_date").alias("active_dates"),
-        (F.floor(seconds_between(F.max("gw_timestamp"), F.min("gw_timestamp")) / 86400) + 1)
-        .cast("bigint").alias("total_span_days"),
-        pct("gw_gap_s", 0.5).alias("median_cadence_s"),
-        pct("temperature_sht", 0.5).alias("median_temp"),
-        F.count_if(F.col("gw_gap_s") > 3600).alias("outages_gt_1h"))
+    ranked = _ranked_values(gaps_loc, gap=F.col("gw_gap_s"), temp=F.col("temperature_sht"), date=F.unix_date(F.col("local_date").cast("date")))
+    return ranked.groupBy("device_id").agg(
+        F.count_if((F.col("kind") == "date") & F.col("value").isNotNull()).alias("active_dates"),
+        (F.floor(seconds_between(F.max("_t1"), F.min("_t0")) / 86400) + 1).cast("bigint").alias("total_span_days"),
+        _median_of("gap").alias("median_cadence_s"), _median_of("temp").alias("median_temp"),
+        F.coalesce(F.sum(F.when((F.col("kind") == "gap") & (F.col("value") > 3600), F.col("n"))), F.lit(0).cast("bigint")).alias("outages_gt_1h"))
 
 
 # ---------------------------------------------------------------------------

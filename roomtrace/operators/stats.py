@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomtrace.functions.exprs import hour_floor, month_str, pct, safe_corr, seconds_between
+from roomtrace.functions.exprs import epoch_micros, hour_floor, month_str, pct, safe_corr, seconds_between
 from roomtrace.operators.joins import join_small
 from roomtrace.operators.series import top_n
 from roomtrace.schema import NUMERIC_SENSORS
@@ -239,11 +239,12 @@ def custom_agg(df: DataFrame, keys, *aggs: Column) -> DataFrame:
 
 
 def scatter_sample(df: DataFrame, x: str, y: str, n: int = 1000, seed: int = 42) -> DataFrame:
-    """Up to ``n`` rows per device with both values present, chosen by a seeded hash (reproducible)."""
+    """Up to ``n`` rows per device with both values present, chosen by a seeded hash of device and time
+    (reproducible, and the same in any engine with MD5)."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         "device_id", "gw_timestamp", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    d = d.withColumn("_h", F.xxhash64("device_id", "gw_timestamp", F.lit(seed)))
-    return top_n(d, n, [F.asc("_h"), F.asc("gw_timestamp")]).drop("_h")
+    d = d.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "device_id", epoch_micros("gw_timestamp"))))
+    return top_n(d, n, [F.asc("_h"), F.asc("gw_timestamp"), F.asc("x"), F.asc("y")]).drop("_h")
 
 
 def lag_matrix(hourly_long: DataFrame, lags=range(-12, 13)) -> DataFrame:

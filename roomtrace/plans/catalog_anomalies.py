@@ -80,8 +80,7 @@ _NEAR = """select * from ctx qualify row_number() over (partition by device_id,
 @register("nearest_reading", S.cte(**AZ(), ctx=_CTX, near=_NEAR) + " select * from near",
           doubles=("temperature_sht", "humidity", "pressure"), ts=("event_ts", "gw_timestamp"), ints=("device_id",))
 def q_nearest_reading(spark, sf_dir):
-    ctx = A.context_window(clean(spark, sf_dir), _events(spark, sf_dir)).select(*_CTX_COLS)
-    return A.nearest_reading(ctx)
+    return A.nearest_reading(clean(spark, sf_dir), _events(spark, sf_dir))
 
 
 _NL = "\nunion all ".join(
@@ -98,8 +97,7 @@ from nl left join st on st.device_id = nl.device_id and st.sensor = nl.sensor
 where nl.sensor <> nl.event_sensor""", doubles=("value", "z"), ts=("event_ts",), ints=("device_id",))
 def q_anomaly_context_status(spark, sf_dir):
     c = clean(spark, sf_dir)
-    ctx = A.context_window(c, _events(spark, sf_dir)).select(*_CTX_COLS)
-    return A.anomaly_context_status(A.nearest_reading(ctx), c)
+    return A.anomaly_context_status(A.nearest_reading(c, _events(spark, sf_dir)), c)
 
 
 @register("typical_at_hour", S.cte(**AZ()) + """

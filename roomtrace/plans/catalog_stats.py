@@ -239,9 +239,13 @@ def q_custom_agg(spark, sf_dir):
                             F.count_distinct("color_hex").alias("colors"))
 
 
-@register("scatter_sample")
+@register("scatter_sample", S.cte(**S.base("r1")) + """
+select device_id, gw_timestamp, light as x, temperature_sht as y from (
+    select *, row_number() over (partition by device_id
+               order by md5(concat_ws(':', 42, device_id, epoch_us(gw_timestamp))), gw_timestamp, light, temperature_sht) as rn
+    from clean where light is not null and temperature_sht is not null)
+where rn <= 1000""", doubles=("x", "y"), ts=("gw_timestamp",), ints=("device_id",))
 def q_scatter_sample(spark, sf_dir):
-    """Seeded-hash sample (Spark's xxhash64 has no DuckDB twin): rows-only check."""
     return stats.scatter_sample(clean(spark, sf_dir), "light", "temperature_sht", n=1000)
 
 

@@ -339,3 +339,44 @@ def test_spring_forward_day_local_labels(spark):
     rows = series_rows(24 * 12, start=dt.datetime(2025, 3, 9, 6, 0), step_s=300, light=1)
     h = grain.hourly_resample(readings(spark, rows)).where(F.col("local_date") == dt.date(2025, 3, 9)).collect()
     assert len(h) == 23 and 2 not in {r.hour for r in h}
+
+
+def test_nearest_reading_equals_brute_force(spark):
+    """Equal times, equal distances, NULL times and sensors, events between readings, near midnight and without readings."""
+    import random
+
+    r = random.Random(5)
+    hours = [0, 1, 5, 22, 23, 24, 25, 30, 47, 71]
+    rows = [{"gw_timestamp": T0 + dt.timedelta(hours=r.choice(hours), seconds=r.randrange(0, 3600, 600)), "device_id": r.randrange(2),
+             "temperature_sht": r.choice([None, 1, 2]), "light": r.randrange(3)} for _ in range(120)]
+    rows += [{"gw_timestamp": None, "temperature_sht": 9}]
+    ev = {(r.randrange(2), r.choice(["light", "humidity"]), T0 + dt.timedelta(hours=r.choice([*hours, 10, 33, 60]), seconds=r.randrange(0, 3600, 300)))
+          for _ in range(80)}
+    df = readings(spark, rows)
+    events = spark.createDataFrame([*ev, *list(ev)[:3]], "device_id long, sensor string, event_ts timestamp_ntz")
+    got = {(x.device_id, x.sensor, x.event_ts): (x.gw_timestamp, x.temperature_sht, x.light) for x in A.nearest_reading(df, events).collect()}
+    want = {}
+    for d, sensor, t in ev:
+        near = [(abs(x["gw_timestamp"] - t), x["gw_timestamp"], x["temperature_sht"] is not None, x["temperature_sht"] or 0, x["light"], x)
+                for x in rows if x.get("device_id", 0) == d and x["gw_timestamp"] is not None
+                and t - dt.timedelta(hours=3) <= x["gw_timestamp"] < t + dt.timedelta(hours=3)]
+        if near:
+            x = min(near, key=lambda y: y[:5])[5]
+            want[d, sensor, t] = (x["gw_timestamp"], x["temperature_sht"], x["light"])
+    assert got == want and 0 < len(want) < len(ev)
+
+
+def test_cadence_medians_equal_percentile(spark):
+    """Even and odd numbers of gaps, repeated gaps, one reading only, an outage."""
+    times = {0: [0, 1.5, 3, 7, 7, 4000], 1: [0, 30, 60, 90.25], 2: [5]}
+    df = readings(spark, [{"device_id": d, "gw_timestamp": T0 + dt.timedelta(seconds=t), "timestamp_monotonic": t, "temperature_sht": t % 7}
+                          for d, ts in times.items() for t in ts])
+    gaps = localize(series.time_gaps(df), "UTC")
+    want = {x.device_id: x for x in gaps.groupBy("device_id").agg(
+        F.percentile("gw_gap_s", 0.5).alias("gap"), F.percentile("temperature_sht", 0.5).alias("temp")).collect()}
+    for x in series.cadence_summary(gaps).collect():
+        assert x.median_gap_s == want[x.device_id].gap and x.first_ts == T0 + dt.timedelta(seconds=min(times[x.device_id]))
+    for x in series.kpis(gaps).collect():
+        assert (x.median_cadence_s, x.median_temp) == (want[x.device_id].gap, want[x.device_id].temp)
+        assert x.active_dates == 1 and x.outages_gt_1h == (x.device_id == 0)
+    assert series.cadence_summary(gaps.limit(0)).count() == 0 and series.kpis(gaps.limit(0)).count() == 0
