@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomtrace.functions.exprs import hour_float, month_str, to_local
-from roomtrace.schema import DEFAULT_TZ, EXTRA_RANGE_HOURS, PERIOD_MAP, RANGE_HOURS
+from roomtrace.schema import DEFAULT_TZ, EXTRA_RANGE_HOURS, PERIOD_MAP, RANGE_HOURS, STORE_DATE
 
 
 def range_hours(token) -> int | None:
@@ -44,20 +44,25 @@ def time_range(df: DataFrame, token=None, as_of=None, ts_col: str = "gw_timestam
     ``as_of`` is explicit (a literal keeps the filter pushed down to the
     Parquet scan).  When omitted, it is each device's newest reading, taken
     from a one-row-per-device aggregate joined back on ``device_id``.
+    A frame read from the Parquet store is also filtered by its date partitions.
     """
     ts = F.col(ts_col)
+    stored = ts_col == "gw_timestamp" and STORE_DATE in df.columns
     if isinstance(token, dict):
         cond = F.lit(True)
         if token.get("start") is not None:
             cond = cond & (ts >= _lit_ts(token["start"]))
+            cond = cond & (F.col(STORE_DATE) >= F.to_date(_lit_ts(token["start"]))) if stored else cond
         if token.get("end") is not None:
             cond = cond & (ts < _lit_ts(token["end"]))
+            cond = cond & (F.col(STORE_DATE) <= F.to_date(_lit_ts(token["end"]))) if stored else cond
         return df.where(cond)
     hours = range_hours(token)
     if hours is None:
         return df
     if as_of is not None:
-        return df.where(ts >= _lit_ts(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours)))
+        start = _lit_ts(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours))
+        return df.where((ts >= start) & (F.col(STORE_DATE) >= F.to_date(start)) if stored else ts >= start)
     from roomtrace.operators.joins import join_small
 
     newest = df.groupBy("device_id").agg(F.max(ts_col).alias("_as_of"))

@@ -193,8 +193,10 @@ def pressure_monthly(daily: DataFrame) -> DataFrame:
             .agg(pct("pressure", 0.5).alias("pressure")))
 
 
-def template_kpis(thermal: DataFrame, raw_counts: DataFrame, kept_counts: DataFrame) -> DataFrame:
-    """Median of the 24 hourly mean temperatures; dropped = raw rows - kept rows."""
-    med = thermal.groupBy("device_id").agg(pct("temperature_sht", 0.5).alias("median_hourly_temp"))
-    return (med.join(raw_counts, "device_id").join(kept_counts, "device_id")
-            .withColumn("dropped_rows", F.col("raw_rows") - F.col("kept_rows")))
+def template_kpis(raw: DataFrame, kept: DataFrame) -> DataFrame:
+    """Median of the 24 hourly mean temperatures; dropped = raw rows - kept rows.  One read of each input:
+    the rows kept are summed from the hourly aggregate."""
+    hours = kept.groupBy("device_id", "hour").agg(F.avg("temperature_sht").alias("t"), F.count(F.lit(1)).alias("n"))
+    med = hours.groupBy("device_id").agg(pct("t", 0.5).alias("median_hourly_temp"), F.sum("n").alias("kept_rows"))
+    return (med.join(raw.groupBy("device_id").agg(F.count(F.lit(1)).alias("raw_rows")), "device_id")
+            .select("device_id", "median_hourly_temp", "raw_rows", "kept_rows", (F.col("raw_rows") - F.col("kept_rows")).alias("dropped_rows")))

@@ -293,11 +293,7 @@ join (select device_id, count(*) as raw_rows from raw group by all) r on r.devic
 join (select device_id, count(*) as kept_rows from ra group by all) k on k.device_id = m.device_id""",
           doubles=("median_hourly_temp",), ints=("device_id",))
 def q_template_kpis(spark, sf_dir):
-    r = raw(spark, sf_dir)
-    kept = ra(spark, sf_dir)
-    return profiles.template_kpis(profiles.thermal_profile(kept),
-                                  r.groupBy("device_id").agg(F.count(F.lit(1)).alias("raw_rows")),
-                                  kept.groupBy("device_id").agg(F.count(F.lit(1)).alias("kept_rows")))
+    return profiles.template_kpis(raw(spark, sf_dir), ra(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------

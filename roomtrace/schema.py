@@ -82,3 +82,6 @@ FEED_KEYS = {
     "sound_level": "sound-level",
     "color_hex": "color-hex",
 }
+
+# date of a reading's UTC time: partition column of the Parquet store
+STORE_DATE = "reading_date"

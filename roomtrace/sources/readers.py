@@ -34,8 +34,8 @@ def normalize_readings(df: DataFrame, device_id: int | None = None, strict_ints:
     """Text or loosely typed readings -> canonical schema (missing columns are NULL)."""
     cols = {c: (F.col(c) if c in df.columns else F.lit(None).cast("string")) for c in CSV_FIELDNAMES}
     out = df.select(
-        (F.col("device_id").cast("int") if "device_id" in df.columns else F.lit(device_id or 0).cast("int"))
-        .alias("device_id"),
+        (F.coalesce(F.col("device_id").try_cast("int"), F.lit(device_id or 0)) if "device_id" in df.columns
+         else F.lit(device_id or 0).cast("int")).alias("device_id"),
         *[cols[c].cast("string").alias(c) for c in CSV_FIELDNAMES])
     out = (out.withColumn("gw_timestamp", parse_event_time("gw_timestamp"))
            .withColumn("timestamp_iso", parse_event_time("timestamp_iso")))
@@ -52,7 +52,8 @@ def scan_readings(spark: SparkSession, path: str, fmt: str = "csv", device_id: i
     if fmt == "csv":
         raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     elif fmt == "json":
-        raw = spark.read.option("primitivesAsString", True).json(path)
+        # a schema of text spares the pass that would infer one
+        raw = spark.read.schema(", ".join(f"{c} string" for c in ["device_id", *CSV_FIELDNAMES])).json(path)
     else:
         raise ValueError(f"unknown format {fmt}")
     return normalize_readings(raw, device_id, strict_ints)

@@ -8,16 +8,18 @@ their own batch partition.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomtrace.functions.exprs import iso_str
-from roomtrace.functions.timefn import time_range
+from roomtrace.functions.timefn import range_hours, time_range
 from roomtrace.operators.anomalies import moving_average, zscore
 from roomtrace.operators.clean import project_sensors
 from roomtrace.operators.grain import merge_rollup
 from roomtrace.plans.present import present
-from roomtrace.schema import CSV_FIELDNAMES, FEED_KEYS, NUMERIC_SENSORS
+from roomtrace.schema import CSV_FIELDNAMES, FEED_KEYS, NUMERIC_SENSORS, STORE_DATE
 from roomtrace.session import checkpoint_dir
 
 
@@ -40,9 +42,12 @@ def as_csv_rows(df: DataFrame) -> DataFrame:
     return df.select(*keep, *cols)
 
 
-def sink_append(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("device_id",)) -> None:
-    """Append readings to the store (CSV with header per file, or Parquet partitioned by device)."""
+def sink_append(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("device_id", STORE_DATE)) -> None:
+    """Append readings to the store: CSV with header per file, or Parquet partitioned by device and date of
+    the UTC time (``reading_date``), so that time ranges read only their days."""
     w = as_csv_rows(df) if fmt == "csv" else df
+    if fmt != "csv" and STORE_DATE in partition_by:
+        w = w.withColumn(STORE_DATE, F.to_date("gw_timestamp"))
     writer = w.write.mode("append")
     if partition_by:
         writer = writer.partitionBy(*[p for p in partition_by if p in w.columns])
@@ -52,8 +57,19 @@ def sink_append(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("d
         writer.parquet(path)
 
 
+def recent_days(df: DataFrame, hours: int | None) -> DataFrame:
+    """Rows of the days that "the last ``hours`` of each device" can touch.  Only partition values are read
+    to find them: no device's range begins earlier than ``hours`` before the smallest of the newest days."""
+    if hours is None or STORE_DATE not in df.columns:
+        return df
+    first = df.groupBy("device_id").agg(F.max(STORE_DATE).alias("d")).agg(F.min("d")).first()[0]
+    return df if first is None else df.where(F.col(STORE_DATE) >= F.lit(first - timedelta(days=-(-hours // 24))))
+
+
 def export_range(df: DataFrame, path: str, token="24h", as_of=None) -> str:
     """CSV of one time range with the stored columns; raises when the range is empty."""
+    if as_of is None and not isinstance(token, dict):
+        df = recent_days(df, range_hours(token))
     rows = time_range(df, token, as_of)
     if rows.isEmpty():
         raise ValueError("No data in the selected time range")

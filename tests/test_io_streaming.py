@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from roomtrace.functions.timefn import time_range
 from roomtrace.operators import grain
 from roomtrace.schema import READINGS_COLUMNS
 from roomtrace.sources import sinks
@@ -70,6 +71,23 @@ def test_export_range_empty_raises(spark, scratch):
     assert spark.read.option("header", True).csv(out).count() > 0
 
 
+def test_store_is_pruned_by_date(spark, scratch):
+    """Ranges over the date-partitioned store: equal rows, filters on the partitions, also without ``as_of``."""
+    src = readings_r1(spark, SF_SMALL).unionByName(readings_r1(spark, SF_SMALL).limit(2).withColumn("gw_timestamp", F.lit(None).cast("timestamp_ntz")))
+    path = os.path.join(scratch, "store_dated")
+    sinks.sink_append(src, path)
+    store = scan_readings(spark, path, fmt="parquet")
+    assert store.count() == src.count()
+    cols = ["device_id", "gw_timestamp", "temperature_sht", "color_hex"]
+    newest = src.agg(F.max("gw_timestamp")).first()[0]
+    for token, as_of in (("24h", newest), ("7d", newest), ({"start": "2024-01-05 06:00:00", "end": "2024-01-07 12:00:00"}, None), ("24h", None), ("all", None)):
+        got = time_range(sinks.recent_days(store, 24) if token == "24h" and as_of is None else store, token, as_of)
+        assert _rows(got, cols) == _rows(time_range(src, token, as_of), cols)
+        if token != "all":
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "reading_date" in plan.split("PartitionFilters: [")[1].split("], PushedFilters")[0]
+
+
 def test_rollup_upsert_is_idempotent(spark, scratch):
     roll = grain.rollup(readings_r1(spark, SF_SMALL), "daily")
     p = os.path.join(scratch, "roll")
