@@ -363,7 +363,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, pct: int = 90, id_col: str =
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("root", "cls", "n", "bits")), lists], names=["root", "cls", "n", "bits", "items"])
 
-    sets = map_arrow(texts.join(member, ["id", "key"]), whole_sets, "root long, cls long, n int, bits array<long>, items array<long>")
+    # repeated rows are one leaf
+    sets = map_arrow(texts.dropDuplicates(["id", "key"]).join(member, ["id", "key"]), whole_sets, "root long, cls long, n int, bits array<long>, items array<long>")
 
     def verified(table: pa.Table) -> pa.Table:
         """Forest of links, component by component."""

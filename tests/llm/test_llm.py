@@ -297,6 +297,16 @@ def test_jaccard_components_are_brute_force(spark, monkeypatch, k, pct, group):
     assert got == brute_components(rows, k, pct)
 
 
+@pytest.mark.parametrize("group", [4096, 4])
+def test_jaccard_rows_repeated_in_groups(spark, monkeypatch, group):
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
+    base = [f"w{j}" for j in range(300)]
+    rows = [(None if i == 4 else 10 * g + i, " ".join([f"g{g}x{i}", *(f"g{g}{w}" for w in base)]), "s") for g in range(3) for i in range(6)]
+    rows += [rows[k] for k in range(0, len(rows), 2) for _ in range(3)]
+    got = collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(frame(spark, rows), 3, 90).collect())
+    assert got == brute_components(rows, 3, 90)
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
 
