@@ -44,7 +44,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     one with the smallest id.  Documents without words are in no group."""
     found = jaccard_components(docs, k=5, pct=80)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("x")
-    chosen = found.where("class_id is not null").groupBy("component_id").agg(first).select("x.doc_id", "x.text_hash")
+    chosen = found.where("class_id is not null").groupBy("root").agg(first).select("x.doc_id", "x.text_hash")
     chosen = _keys_of(chosen)
     worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     kept = _keyed(docs.where(worded)).join(chosen, list(_KEYS), "left_semi").dropDuplicates(list(_KEYS)).select(*docs.columns)

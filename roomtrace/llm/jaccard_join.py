@@ -264,7 +264,8 @@ def _sorted_groups(key: np.ndarray) -> list[np.ndarray]:
 
 def jaccard_components(docs: DataFrame, k: int = 3, pct: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, class_id`` (a hash that equal sets share; null for empty
-    sets) and ``text_hash``."""
+    sets), ``text_hash`` and ``root`` (the least class of the component, which tells components apart where their
+    least ids are null or equal; null for empty sets)."""
     from roomtrace.session import checkpoint_dir
 
     if not 0 < pct <= 100:
@@ -412,7 +413,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, pct: int = 90, id_col: str =
     rows = rows.join(least, "root", "left")
     real = lambda c: F.when(c != NO_ID, c)
     return rows.select(real(F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
-                       real(F.coalesce("least", "id")).alias("component_id"), F.col("cls").alias("class_id"), F.col("key").alias("text_hash"))
+                       real(F.coalesce("least", "id")).alias("component_id"), F.col("cls").alias("class_id"), F.col("key").alias("text_hash"), "root")
 
 
 def needed_prefix(n: np.ndarray, pct: int) -> np.ndarray:

@@ -482,6 +482,20 @@ def test_pipeline_stages(spark, scratch):
     assert docs.count() == corpus_pipeline.run(spark, SF).count()
 
 
+def test_pipeline_keeps_a_text_of_each_group_whatever_the_ids(spark):
+    base = {g: " ".join(f"{g}{k}" for k in range(120)) for g in "abcdefgh"}
+    near = lambda g, k: base[g].replace(f"{g}50", f"y{k}")
+    rows = [(None, base[g], "s") for g in "abc"] + [(None, near("c", 1), "s"), (None, base["a"], "s"), (None, None, "s"), (None, "", "s")]
+    rows += [(1, base["d"], "s"), (1, base["e"], "s"), (1, near("e", 1), "s"), (2, base["f"], "s"), (None, near("f", 1), "s"), (3, near("f", 2), "s"),
+             (4, base["g"], "s"), (4, base["g"], "s"), (5, base["h"], "s")]
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.jaccard_join(spark, frame(spark, rows), SF).collect())
+    sure = [(None, base["a"]), (None, base["b"]), (1, base["d"]), (2, base["f"]), (4, base["g"]), (5, base["h"]), (None, None), (None, "")]
+    assert all(got[x] == 1 for x in sure)
+    assert sum(got[None, near("c", k)] for k in (0, 1)) + got[None, base["c"]] == 1
+    assert got[1, base["e"]] + got[1, near("e", 1)] == 1
+    assert got.total() == len(sure) + 2
+
+
 def test_pipeline_stages_take_awkward_and_empty_tables(spark):
     columns = "doc_id long, text string, lang string, source string, n_chars long"
     docs = frame(spark, awkward()).select("doc_id", "text", "lang", "source", "n_chars")
