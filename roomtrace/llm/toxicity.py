@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from roomtrace.llm.common import map_arrow, slices, span_hashes, text_buffer, word_spans
 from roomtrace.llm.linear import Ftrl, collect_features, labelled, per_row, score, sigmoid
@@ -82,7 +83,7 @@ def swapped(text: str | None) -> Iterator[tuple[str, str]]:
 
 
 def swapped_pairs(sample: DataFrame, limit: int = SWAP_ROWS) -> list[tuple]:
-    """Features of at most ``limit`` pairs of sentences from the labelled documents."""
+    """Features of at most ``limit`` pairs of sentences from the labelled documents, those of the smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -90,17 +91,20 @@ def swapped_pairs(sample: DataFrame, limit: int = SWAP_ROWS) -> list[tuple]:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))],
                                              names=["doc_id", "before", "after"])
 
-    got = map_arrow(sample, run, "doc_id long, before string, after string").orderBy("doc_id", "before", "after").limit(limit).collect()
+    got = map_arrow(sample, run, "doc_id long, before string, after string")
+    got = got.orderBy(F.xxhash64("doc_id", "before", "after"), "doc_id", "before", "after").limit(limit).collect()
     if not got:
         return []
     sides = [per_row(*features(pa.array([r[k] for r in got])), len(got)) for k in (1, 2)]
     return list(zip(*sides))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, epochs: int = EPOCHS, swap_weight: float = SWAP_WEIGHT) -> np.ndarray:
-    """Weights from at most ``limit`` labelled documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, epochs: int = EPOCHS, swap_weight: float = SWAP_WEIGHT,
+          swap_limit: int = SWAP_ROWS) -> np.ndarray:
+    """Weights from at most ``limit`` labelled documents outside the held-out fold, and at most ``swap_limit``
+    pairs of their sentences that mention a group."""
     sample = labelled(docs, labels, "toxic", limit)
-    rows, pairs = collect_features(sample, features), swapped_pairs(sample)
+    rows, pairs = collect_features(sample, features), swapped_pairs(sample, swap_limit)
     model = Ftrl(1 << BITS, alpha=0.5, l1=0.5 + 0.002 * len(rows), l2=0.0)
     for _ in range(epochs):
         for at, x, y in rows:
@@ -115,14 +119,16 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, epochs: i
     return model.weights()
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = TRAIN_ROWS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = TRAIN_ROWS,
+                    swap_limit: int = SWAP_ROWS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` (1 if the score is at least ``threshold``)."""
-    return score(docs, features, train(docs, labels, limit), threshold)
+    return score(docs, features, train(docs, labels, limit, swap_limit=swap_limit), threshold)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = TRAIN_ROWS, text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = TRAIN_ROWS, text_col: str = "text",
+               swap_limit: int = SWAP_ROWS) -> DataFrame:
     """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
-    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, limit))
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, limit, swap_limit=swap_limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):

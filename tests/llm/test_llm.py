@@ -137,6 +137,20 @@ def test_swaps_keep_group_terms_neutral(spark):
     assert all(a != b for a, b in toxicity.swapped("Women walk. Nothing here. Old men sing!"))
 
 
+def test_swapped_pairs_are_spread_over_the_ids(spark, monkeypatch):
+    sample = spark.createDataFrame([(i, f"women walk {'early' if i < 300 else 'late'} n{i}.", 0.0) for i in range(600)], "doc_id long, text string, y double")
+    seen = []
+    monkeypatch.setattr(toxicity, "features", lambda texts, f=toxicity.features: seen.append(texts.to_pylist()) or f(texts))
+    assert len(toxicity.swapped_pairs(sample, 150)) == 150
+    assert 40 < sum("late" in t for t in seen[0]) < 110
+    bounds = []
+    monkeypatch.setattr(toxicity, "swapped_pairs", lambda sample, limit: bounds.append(limit) or [])
+    docs, labels = frame(spark, [(1, "women walk", "s")]), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    toxicity.toxicity_scores(docs, labels, swap_limit=7)
+    toxicity.drop_toxic(docs, labels, swap_limit=8)
+    assert bounds == [7, 8]
+
+
 # --- 3 ---------------------------------------------------------------------
 
 def test_packing_round_trip(spark):
