@@ -151,6 +151,18 @@ def test_swapped_pairs_are_spread_over_the_ids(spark, monkeypatch):
     assert bounds == [7, 8]
 
 
+def test_labelled_sample_is_bounded_in_rows(spark):
+    texts = [(1, "the same text", "s")] * 200 + [(2, f"text {k}", "s") for k in range(200)] + [(i, f"one {i}", "s") for i in range(3, 30)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    held = {i for i in range(30) if zlib.crc32(str(i).encode()) % 5 == 0}
+    ids = {i for i, _, _ in texts} - held
+    got = linear.labelled(frame(spark, texts), labels, "toxic", 40).collect()
+    assert len(got) == len({(r.doc_id, r.text) for r in got}) == (40 if 2 in ids else len(ids))
+    assert {r.doc_id for r in got} == ids and all(r.y == r.doc_id % 2 for r in got)
+    many = linear.labelled(frame(spark, texts), labels, "toxic", 1000).collect()
+    assert {(r.doc_id, r.text) for r in many} == {(i, t) for i, t, _ in texts if i in ids} and len(many) == len({(i, t) for i, t, _ in texts if i in ids})
+
+
 # --- 3 ---------------------------------------------------------------------
 
 def test_packing_round_trip(spark):
