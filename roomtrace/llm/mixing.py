@@ -8,8 +8,8 @@ the last fraction left.  Each chunk of a source (a bounded number of its rows, c
 rounded in its own task and leaves at most one residual; residuals of neighbouring chunks meet on the
 next level of a tree, until one a source remains, which a coin decides.
 
-Random choices are hashes of the document and a seed, and documents meet in an order given by their
-size and id, so reruns agree whatever the layout of the input.
+Random choices are hashes of the document (id, text, and a number that tells equal rows apart) and a seed,
+and documents meet in an order given by the same, so reruns agree whatever the layout of the input.
 
 Defined results: a null text has size 0 and nothing is taken of it, as of every document without
 words; null ``source`` is a source of its own, after all others; null ``doc_id`` and repeated rows are
@@ -29,6 +29,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 8192  # rows rounded together in one task
 FAN_IN = 512  # residuals that meet in one task of the tree
 MAX_COPIES = 3
+RUN = 8192  # equal rows numbered at once
 SMALL_SOURCES = 200_000  # sources whose table may be broadcast
 
 
@@ -98,7 +99,7 @@ def pivot(p: np.ndarray, size: np.ndarray, coin: np.ndarray) -> tuple[np.ndarray
 
 def _round(pdf: pd.DataFrame) -> pd.DataFrame:
     """Round one group, largest documents first; ``part`` stays a fraction for the residual alone."""
-    pdf = pdf.sort_values(["size", "coin", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
+    pdf = pdf.sort_values(["size", "coin", "doc_id", "text_hash", "copy"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
     pdf["part"], _ = pivot(pdf["part"].to_numpy(), pdf["size"].to_numpy(), pdf["coin"].to_numpy())
     return pdf
 
@@ -117,15 +118,20 @@ def mix_sources(docs: DataFrame, pattern: tuple[float, ...] = (1.0, 2.0, 3.0), s
         targets = F.broadcast(targets)
     rows = sizes.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
+    # equal rows are counted and numbered
+    rows = rows.groupBy("doc_id", "source", "size", "text_hash", "source_size", "rows", "target", "rate").agg(F.count("*").alias("_n"))
+    rows = rows.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(RUN).cast("long"))))
+    rows = rows.withColumn("copy", F.explode(F.sequence("_from", F.least(F.col("_from") + RUN, "_n") - 1)))
+
     def coin(level: int):
-        return (F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "size"), F.lit(1 << 40)) / float(1 << 40)).alias("coin")
+        return (F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "size", "text_hash", "copy"), F.lit(1 << 40)) / float(1 << 40)).alias("coin")
 
     chunks = F.ceil(F.col("rows") / CHUNK)
-    rows = rows.select("doc_id", "source", "size", "text_hash", "source_size", "target",
+    rows = rows.select("doc_id", "source", "size", "text_hash", "copy", "source_size", "target",
                        F.floor("rate").cast("int").alias("whole"),
                        F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("part"),
                        coin(1),
-                       F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), chunks).cast("long").alias("chunk"))
+                       F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_hash", "copy"), chunks).cast("long").alias("chunk"))
     schema = rows.schema
     done = shared_checkpoint(rows.groupBy("source", "chunk").applyInPandas(_round, schema))
     parts, level = [], 1

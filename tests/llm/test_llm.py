@@ -249,6 +249,26 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
+def test_mixing_of_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    monkeypatch.setattr(mixing, "RUN", 7)
+    monkeypatch.setattr(mixing, "FAN_IN", 4)
+    sizes, inner = spark.sparkContext.accumulator(0), mixing._round
+
+    def watched(pdf):
+        sizes.add(int(len(pdf) > 64))
+        return inner(pdf)
+
+    monkeypatch.setattr(mixing, "_round", watched)
+    rows = [(None, f"a b t{k}", "s") for k in range(300)] + [(None, "c d e", "s")] * 200 + [(k, "f g", "u") for k in range(300)]
+    runs = []
+    for n in (2, 5):
+        got = mixing.mix_sources(frame(spark, rows).repartition(n)).collect()
+        assert len(got) == len(rows)
+        runs.append(collections.Counter((r.doc_id, r.text_hash, r.copies) for r in got))
+    assert runs[0] == runs[1] and sizes.value == 0
+
+
 def test_pivot_keeps_expectation_and_mass():
     rng = np.random.default_rng(0)
     size, p = rng.integers(1, 50, 9).astype(float), rng.uniform(0.1, 0.9, 9)
