@@ -9,8 +9,9 @@ with a smaller id; words covered by repeats are removed.
    A prefix that occurs in one document only is a leaf next to the root and is dropped; within a batch,
    suffixes of one prefix are first reduced to the one of the smallest id.
 2. The documents with prefixes left send the windows around those anchors, again dealt by the anchor's
-   prefix, so that a group holds whole subtrees and is of bounded size; equal windows of a batch are
-   first reduced to the smallest id.
+   prefix, so that a group holds whole subtrees; equal windows of a batch are first reduced to the
+   smallest id.  Prefixes are of fixed length: different windows behind a frequent one share a group,
+   whose size is not bounded.
 3. In a group the subtrees grow by longer prefixes (``DEPTHS`` words): at each depth a node with
    suffixes of one document only is dropped, the others are split further.  Nodes as deep as the window
    are internal nodes with suffixes of several documents, that is repeats; the words of each suffix are
