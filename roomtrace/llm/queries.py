@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomtrace.llm.common import documents
+from roomtrace.llm.conversation_repair import digests, repair_conversations
 from roomtrace.llm.fingerprints import fingerprint_documents
 from roomtrace.llm.jaccard_join import jaccard_components
 from roomtrace.llm.lm_scores import lm_scores
@@ -69,9 +70,31 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with the faults that a checksum of conversation and turn deals; nulls count as one space."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"),
+                       (F.crc32(key) % 20).alias("fault")).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+                       F.explode(copies).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    repair = repair_conversations(damaged(rows))
+    found = repair.report.join(digests(repair.rows).withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c")
+    found = found.withColumnRenamed("conv_id", "_c")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    counts = [F.coalesce(k, F.lit(0).cast("long")).alias(k) for k in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_packing, op4_quality, op5_mixing, op6_vector_search, op7_jaccard_join,
-                            op8_token_counts, op9_fingerprints, op10_lm_scores)}
+                            op8_token_counts, op9_fingerprints, op10_lm_scores, op11_conversation_repair)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
