@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roomtrace.llm.common import documents
 from roomtrace.llm.conversation_repair import digests, repair_conversations
+from roomtrace.llm.embedding_dedup import near_duplicates
 from roomtrace.llm.fingerprints import fingerprint_documents
 from roomtrace.llm.jaccard_join import jaccard_components
 from roomtrace.llm.lm_scores import lm_scores
@@ -92,9 +93,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_packing, op4_quality, op5_mixing, op6_vector_search, op7_jaccard_join,
-                            op8_token_counts, op9_fingerprints, op10_lm_scores, op11_conversation_repair)}
+                            op8_token_counts, op9_fingerprints, op10_lm_scores, op11_conversation_repair,
+                            op12_embedding_dedup)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -129,4 +135,14 @@ ways as (select a, b from links union all select b, a from links),
 reach as (select doc_id as a, doc_id as b from docs union select r.a, e.b from reach r join ways e on e.a = r.b)
 select d.doc_id, coalesce(n, 0) as n_shingles, min(r.b) as component_id
 from docs d left join sizes s on s.doc_id = d.doc_id join reach r on r.a = d.doc_id group by d.doc_id, n""",
+    "op12_embedding_dedup": """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+                     where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+                       and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.v, b.v) >= 0.95),
+degrees as (select a, count(*) as n from links group by a),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on l.a = r.b),
+least as (select a, min(b) as component_id from reach group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings join least on least.a = vec_id left join degrees on degrees.a = vec_id""",
 }

@@ -473,7 +473,7 @@ def test_lm_scores_are_brute_force(spark, monkeypatch, bytes_):
 
 # --- queries and pipeline --------------------------------------------------
 
-@pytest.mark.parametrize("name", ["op1_substring_dedup", "op6_vector_search", "op7_jaccard_join"])
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op6_vector_search", "op7_jaccard_join", "op12_embedding_dedup"])
 def test_query_matches_its_sql(spark, name):
     import __spark_entry__ as E
 
