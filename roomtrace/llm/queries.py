@@ -16,6 +16,7 @@ from roomtrace.llm.lm_scores import lm_scores
 from roomtrace.llm.mixing import mix_sources
 from roomtrace.llm.packing import pack_documents
 from roomtrace.llm.quality import quality_scores
+from roomtrace.llm.spelling import count_words, spelling_groups
 from roomtrace.llm.substring_dedup import deduplicate
 from roomtrace.llm.token_counts import token_counts
 from roomtrace.llm.toxicity import toxicity_scores
@@ -97,10 +98,14 @@ def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(count_words(documents(spark, sf_dir), noise=True, min_length=5, min_count=3), ratio=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_packing, op4_quality, op5_mixing, op6_vector_search, op7_jaccard_join,
                             op8_token_counts, op9_fingerprints, op10_lm_scores, op11_conversation_repair,
-                            op12_embedding_dedup)}
+                            op12_embedding_dedup, op13_spelling_variants)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
