@@ -7,7 +7,7 @@ packed as list columns (one row per bucket) so that a shuffle moves arrays inste
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +45,79 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
+_lean = False
+_held: dict[str, Callable[[], None]] = {}
+
+
+def remembered(owner: str, forget: Callable[[], None]) -> None:
+    """Name what ``owner`` keeps in a Python worker between tasks; it goes when the worker serves another operator."""
+    _held[owner] = forget
+
+
+def begin(owner: str) -> None:
+    """Prepare a Python worker for a function of ``owner``: large arrays go back to the system when they are
+    freed, and what other operators remember is forgotten."""
+    global _lean
+    if not _lean:
+        import ctypes
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        except (AttributeError, OSError):  # another C library
+            pass
+        _lean = True
+    for other in [x for x in _held if x != owner]:
+        _held.pop(other)()
+
+
+def tidy() -> None:
+    """Give freed memory back to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` with the package sent along."""
+    """``df.mapInArrow`` with the package sent along, in a worker whose memory is kept small."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    owner = run.__module__
+
+    def task(batches):
+        begin(owner)
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(task, schema)
+
+
+def group_arrow(grouped, run, schema) -> DataFrame:
+    """``grouped.applyInArrow`` in a worker whose memory is kept small."""
+    owner = run.__module__
+
+    def task(table):
+        begin(owner)
+        large = table.nbytes > 1 << 20
+        try:
+            return run(table)
+        finally:
+            if large:
+                tidy()
+
+    return grouped.applyInArrow(task, schema)
 
 
 def n_buckets(df: DataFrame, per_bytes: int = 8 << 20) -> int:
     """Buckets for a shuffle of ``df``: grows with the optimizer's estimate of its bytes (it decides
     how the work is cut, never what comes out)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(max(4, -(-size // per_bytes)), 1 << 20))
+    return int(min(max(4, -(-size // per_bytes)), 1 << 22))
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:

@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomtrace.llm.common import map_arrow, mix, n_buckets, pack, rolling, shared_checkpoint, ship, slices, span_hashes, text_buffer, unpack, word_spans
+from roomtrace.llm.common import group_arrow, map_arrow, mix, n_buckets, pack, rolling, shared_checkpoint, ship, slices, span_hashes, text_buffer, unpack, word_spans
 from roomtrace.llm.graph import components
 from roomtrace.llm.quality import LOWER
 
 NO_ID = (1 << 63) - 1
 FAN_OUT = 8
+GROUP_BYTES = 4 << 20  # input bytes a bucket
 GROUP = 4096  # classes verified together; larger components are cut into pairs of such parts
 
 
@@ -268,12 +269,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, pct: int = 90, id_col: str =
     least ids are null or equal; null for empty sets)."""
     from roomtrace.session import checkpoint_dir
 
-    if not 0 < pct <= 100:
-        raise ValueError("pct is a percentage above 0")
+    if not 50 <= pct <= 100:
+        raise ValueError("pct is a percentage from 50 to 100: signatures meet those of their own level and the next")
     spark = docs.sparkSession
     ship(spark)
     store = f"{checkpoint_dir(spark).rstrip('/')}/jaccard-{uuid.uuid4().hex}"
-    buckets = n_buckets(docs)
+    buckets = n_buckets(docs, GROUP_BYTES)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
     def first_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +321,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, pct: int = 90, id_col: str =
                          "bits": pa.ListArray.from_arrays(pa.array(place), bits)})
 
     dealt = map_arrow(texts, first_shingles, "bucket int, token array<long>, cls array<long>, id array<long>, key array<long>, n array<int>, bits array<long>")
-    dealt.groupBy("bucket").applyInArrow(shared_shingles, "kind int, token long, cls long, id long, key long, n int, bits array<long>") \
+    group_arrow(dealt.groupBy("bucket"), shared_shingles, "kind int, token long, cls long, id long, key long, n int, bits array<long>") \
         .write.option("compression", "zstd").parquet(f"{store}/shingles")
     found = spark.read.parquet(f"{store}/shingles")
 
@@ -352,7 +353,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, pct: int = 90, id_col: str =
 
     trees = found.where("kind = 1").select("token", "cls").join(classes.select("cls", "n", "bits"), "cls")
     trees = trees.withColumn("bucket", F.pmod("token", F.lit(buckets)))
-    coarse = components(trees.groupBy("bucket").applyInArrow(candidates, "a long, b long"))
+    coarse = components(group_arrow(trees.groupBy("bucket"), candidates, "a long, b long"))
 
     # whole sets only of the classes that have candidates
     member = coarse.withColumnRenamed("node", "cls").join(classes, "cls")
@@ -402,7 +403,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, pct: int = 90, id_col: str =
     member = member.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     member = member.select("root", "cls", "n", "bits", "items", "mine", F.least("mine", "with").alias("part"), F.greatest("mine", "with").alias("other"), "parts")
     member = member.withColumn("bucket", F.pmod(F.xxhash64("root", "part", "other"), F.lit(buckets)))
-    links = shared_checkpoint(member.groupBy("bucket").applyInArrow(verified, "a long, b long, cut boolean"))
+    links = shared_checkpoint(group_arrow(member.groupBy("bucket"), verified, "a long, b long, cut boolean"))
     roots = links.where("not cut").select(F.col("a").alias("node"), F.col("b").alias("root"))  # stars of whole components
     if not links.where("cut").isEmpty():  # those of parts are still to be joined
         roots = roots.unionByName(components(links.where("cut")))

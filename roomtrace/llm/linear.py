@@ -90,16 +90,25 @@ def collect_features(sample: DataFrame, features: Features) -> list[tuple[np.nda
     return [rows[i][1:] for i in order.tolist()]
 
 
+def scorer(docs: DataFrame, features: Features, weights: np.ndarray) -> Callable[[pa.Array], np.ndarray]:
+    """Scores of texts inside a task, with broadcast weights."""
+    held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        w = held.value
+        row, slot, value = features(texts)
+        return sigmoid(float(w[0]) + np.bincount(row, w[slot].astype(np.float64) * value, minlength=len(texts)))
+
+    return scores
+
+
 def score(docs: DataFrame, features: Features, weights: np.ndarray, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row; the weights (of fixed size) are broadcast."""
-    held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    scores = scorer(docs, features, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = held.value.astype(np.float64)
         for b in slices(batches, "text"):
-            row, slot, value = features(b.column("text"))
-            raw = w[0] + np.bincount(row, w[slot] * value, minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sigmoid(raw))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(b.column("text")))], names=["doc_id", "score"])
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scored = map_arrow(cols, run, "doc_id long, score double")

@@ -106,7 +106,8 @@ def _round(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def mix_sources(docs: DataFrame, pattern: tuple[float, ...] = (1.0, 2.0, 3.0), seed: int = 17, id_col: str = "doc_id",
                 text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: ``doc_id, size, source_size, target, taken, copies, text_hash`` (``taken = copies * size``).
+    """Per document: ``doc_id, size, source_size, target, taken, copies, text_hash, source`` (``taken = copies * size``;
+    a document without words is taken once).
 
     Only ids, sources and sizes are shuffled, not texts.
     """
@@ -128,7 +129,7 @@ def mix_sources(docs: DataFrame, pattern: tuple[float, ...] = (1.0, 2.0, 3.0), s
 
     chunks = F.ceil(F.col("rows") / CHUNK)
     rows = rows.select("doc_id", "source", "size", "text_hash", "copy", "source_size", "target",
-                       F.floor("rate").cast("int").alias("whole"),
+                       F.when(F.col("size") > 0, F.floor("rate")).otherwise(1).cast("int").alias("whole"),
                        F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("part"),
                        coin(1),
                        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_hash", "copy"), chunks).cast("long").alias("chunk"))
@@ -151,4 +152,4 @@ def mix_sources(docs: DataFrame, pattern: tuple[float, ...] = (1.0, 2.0, 3.0), s
         out = out.unionByName(x)
     copies = F.col("whole") + F.col("part").cast("int")
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"),
-                      copies.alias("copies"), "text_hash")
+                      copies.alias("copies"), "text_hash", "source")

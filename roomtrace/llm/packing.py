@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomtrace.llm.common import map_arrow, slices
+from roomtrace.llm.common import map_arrow, remembered, slices
 from roomtrace.llm.token_counts import MergeTable
 
 REMEMBER = 500_000  # words in a generation of what a worker remembers
@@ -219,6 +219,7 @@ def pack_documents(docs: DataFrame, max_len: int = 4096, end_id: int = 2, path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        remembered(__name__, encoder.cache_clear)
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 33, max_len, enc.stops)
 

@@ -45,7 +45,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir), pattern=(1.0, 2.0, 3.0)).drop("text_hash")
+    return mix_sources(documents(spark, sf_dir), pattern=(1.0, 2.0, 3.0)).drop("text_hash", "source")
 
 
 def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

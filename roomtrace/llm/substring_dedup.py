@@ -3,15 +3,18 @@
 A window of ``n`` consecutive words of a document is a repeat if the same words also stand in a document
 with a smaller id; words covered by repeats are removed.
 
+0. Prefixes are of variable length.  ``PREFIX`` words begin with; a prefix with more than ``HOT`` windows
+   behind it is lengthened to the whole window.  A sixteenth of the documents, by hash, tells the frequent
+   prefixes; they are held as bits of a bitmap of fixed size.  What the sample misses or two prefixes of one
+   bit only change how the work is cut, never what comes out.
 1. Of the suffixes of all texts, those count that start at *anchors*: in each window the place of the
    prefix (``PREFIX`` words) with the least hash.  Equal windows have equal anchors, so anchors are a
    sparse set of suffixes (about a fifth of all) that no repeat escapes.  They are dealt by prefix.
    A prefix that occurs in one document only is a leaf next to the root and is dropped; within a batch,
    suffixes of one prefix are first reduced to the one of the smallest id.
 2. The documents with prefixes left send the windows around those anchors, again dealt by the anchor's
-   prefix, so that a group holds whole subtrees; equal windows of a batch are first reduced to the
-   smallest id.  Prefixes are of fixed length: different windows behind a frequent one share a group,
-   whose size is not bounded.
+   prefix, so that a group holds whole subtrees; windows behind a lengthened prefix go one by one, dealt by
+   all their words.  Equal windows of a batch are first reduced to the smallest id.
 3. In a group the subtrees grow by longer prefixes (``DEPTHS`` words): at each depth a node with
    suffixes of one document only is dropped, the others are split further.  Nodes as deep as the window
    are internal nodes with suffixes of several documents, that is repeats; the words of each suffix are
@@ -32,10 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomtrace.llm.common import (map_arrow, mix, n_buckets, pack, rolling, slices, span_hashes, text_buffer, unpack,
+from roomtrace.llm.common import (group_arrow, map_arrow, mix, n_buckets, pack, rolling, slices, span_hashes, text_buffer, unpack,
                                   window_min_at, word_spans)
 
 PREFIX = 4  # words of the prefix that suffixes are dealt by
+HOT, SHARE = 1 << 15, 16  # windows of a prefix that stay together; one document of so many tells frequent prefixes
+BITMAP = 1 << 24  # bits of the map of frequent prefixes
+GROUP_BYTES = 2 << 20  # input bytes a bucket
 DEPTHS = (8,)  # further depths at which nodes are checked on the way to the window's
 NO_ID = (1 << 63) - 1
 _GROUP = "bucket int, h array<long>, id array<long>, key array<long>, pos array<int>, n array<int>, text array<string>"
@@ -94,8 +100,32 @@ def _groups(buckets: int, known: tuple, sent: tuple, texts: list | None = None)
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
-def repeated_windows(texts: DataFrame, n: int, buckets: int) -> DataFrame:
+def frequent_prefixes(texts: DataFrame, n: int, hot: int, share: int) -> np.ndarray:
+    """Bitmap of the prefixes that probably have more than ``hot`` windows behind them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            w = Windows(b.column("text"), n)
+            h, size = np.unique(w.prefix[w.anchor[w.at]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(BITMAP)).astype(np.int64)), pa.array(size.astype(np.int64))], names=["bit", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("id", "key"), F.lit(share)) == 0).select("text")
+    found = map_arrow(some, count, "bit long, n long").groupBy("bit").agg(F.sum("n").alias("n")).where(F.col("n") > hot / share)
+    width = 1 << 15
+    rows = found.groupBy(F.floor(F.col("bit") / width).alias("at")).agg(F.bitmap_construct_agg(F.col("bit") % width).alias("bits")).collect()
+    out = np.zeros(BITMAP >> 3, np.uint8)  # at most 512 rows of 4 KB
+    for r in rows:
+        out[r["at"] * (width >> 3):(r["at"] + 1) * (width >> 3)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def repeated_windows(texts: DataFrame, n: int, buckets: int, hot: int = HOT, share: int = SHARE) -> DataFrame:
     """``id, key, pos``: first words of the windows to be removed; ``texts`` has ``id, key, text``."""
+    held = texts.sparkSession.sparkContext.broadcast(frequent_prefixes(texts, n, hot, share))
+
+    def is_hot(h: np.ndarray) -> np.ndarray:
+        bit = (h % np.uint64(BITMAP)).astype(np.int64)
+        return (held.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -143,12 +173,15 @@ def repeated_windows(texts: DataFrame, n: int, buckets: int) -> DataFrame:
             # windows in a row with one anchor travel together
             a = at[stays]
             split = np.append(True, (a[1:] != a[:-1] + 1) | (w.anchor[a[1:]] != w.anchor[a[:-1]])) if len(a) else np.zeros(0, bool)
+            alone = is_hot(w.prefix[w.anchor[a]])  # but for those behind a lengthened prefix
+            split |= alone
             run = np.flatnonzero(split)
             size = np.diff(np.append(run, len(a)))
             lead = stays[run]
             text = [w.text(x, x + k + n - 1).decode() for x, k in zip(at[lead].tolist(), size.tolist())]
             if len(at):
-                yield _groups(buckets, (ids[known], keys[known], pos[known]), (w.prefix[w.anchor[at[lead]]], ids[lead], keys[lead], pos[lead], size), text)
+                deal = np.where(alone[run], h[lead], w.prefix[w.anchor[at[lead]]])
+                yield _groups(buckets, (ids[known], keys[known], pos[known]), (deal, ids[lead], keys[lead], pos[lead], size), text)
 
     def subtrees(table: pa.Table) -> pa.Table:
         ids, keys, pos = (unpack(table, c) for c in ("id", "key", "pos"))
@@ -179,22 +212,22 @@ def repeated_windows(texts: DataFrame, n: int, buckets: int) -> DataFrame:
 
     spec = "id long, key long, pos array<int>"
     together = F.flatten(F.collect_list("pos")).alias("pos")
-    shared = map_arrow(texts, anchors, _GROUP).groupBy("bucket").applyInArrow(shared_prefixes, spec)
+    shared = group_arrow(map_arrow(texts, anchors, _GROUP).groupBy("bucket"), shared_prefixes, spec)
     shared = shared.groupBy("id", "key").agg(together)
     there = texts.join(shared, ["id", "key"])
-    marked = map_arrow(there, windows, _GROUP).groupBy("bucket").applyInArrow(subtrees, spec)
+    marked = group_arrow(map_arrow(there, windows, _GROUP).groupBy("bucket"), subtrees, spec)
     return marked.groupBy("id", "key").agg(together)
 
 
 def deduplicate(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
-                as_written: bool = False) -> DataFrame:
+                as_written: bool = False, hot: int = HOT, share: int = SHARE) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by one space; with ``as_written``,
     texts that lose nothing stay as they are), ``removed`` (spans of removed words: start, length), and the
     columns ``keep`` of the input."""
     if n < 1:
         raise ValueError("a window has at least one word")
     texts = docs.select(*texts_columns(id_col, text_col))
-    marked = repeated_windows(texts, n, n_buckets(docs, 4 << 20))
+    marked = repeated_windows(texts, n, n_buckets(docs, GROUP_BYTES), hot, share)
     if keep:
         texts = docs.select(*texts_columns(id_col, text_col), F.struct(*keep).alias("kept"))
 

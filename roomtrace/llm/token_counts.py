@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomtrace.llm.common import map_arrow, slices
+from roomtrace.llm.common import map_arrow, remembered, slices
 
 REMEMBER = 400_000  # pre-tokens a task remembers before it starts afresh
 _NONE = np.iinfo(np.int64).max
@@ -166,6 +166,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
+        remembered(__name__, counter.cache_clear)
         for b in slices(batches, "text"):
             texts = ["" if t is None else t for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(

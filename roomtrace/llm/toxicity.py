@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomtrace.llm.common import map_arrow, slices, span_hashes, text_buffer, word_spans
-from roomtrace.llm.linear import Ftrl, collect_features, labelled, per_row, score, sigmoid
+from roomtrace.llm.linear import Ftrl, collect_features, labelled, per_row, score, scorer, sigmoid
 from roomtrace.llm.quality import LOWER, counted
 
 BITS = 18
@@ -128,12 +128,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = TRAIN_ROWS, text_col: str = "text",
                swap_limit: int = SWAP_ROWS) -> DataFrame:
     """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
-    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, limit, swap_limit=swap_limit))
+    scores = scorer(docs, features, train(docs, labels, limit, swap_limit=swap_limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
-            row, slot, value = features(b.column(text_col))
-            raw = held.value[0] + np.bincount(row, held.value[slot] * value, minlength=b.num_rows)
-            yield b.filter(pa.array(sigmoid(raw) < threshold))
+        rows = (pa.RecordBatch.from_arrays([x, x.field(text_col)], names=["row", "text"]) for b in batches for x in [b.column("row")])
+        for b in slices(rows, "text"):
+            yield b.select(["row"]).filter(pa.array(scores(b.column("text")) < threshold))
 
-    return map_arrow(docs, run, docs.schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # further columns may have any name
+    return map_arrow(rows, run, rows.schema).select("row.*")

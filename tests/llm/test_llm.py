@@ -53,10 +53,14 @@ def empty(spark):
 
 # --- 1 ---------------------------------------------------------------------
 
-@pytest.mark.parametrize("n", [1, 3, 13])
-def test_substring_dedup_is_brute_force(spark, n):
+@pytest.mark.parametrize("n,hot,buckets", [(1, 1 << 15, 0), (3, 1 << 15, 3), (13, 1 << 15, 0), (13, 2, 1), (13, 0, 3), (5, 1, 2)])
+def test_substring_dedup_is_brute_force(spark, monkeypatch, n, hot, buckets):
+    """Also with all prefixes lengthened, and with prefixes that share buckets."""
+    if buckets:
+        monkeypatch.setattr(substring_dedup, "n_buckets", lambda *_: buckets)
     rows = awkward()
-    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.deduplicate(frame(spark, rows), n=n).collect())
+    found = substring_dedup.deduplicate(frame(spark, rows), n=n, hot=hot, share=1).collect()
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found)
     big = float("inf")
     least = {}
     for i, t, _ in rows:
@@ -74,6 +78,28 @@ def test_substring_dedup_is_brute_force(spark, n):
     assert got == want
 
 
+def test_windows_behind_a_frequent_prefix_are_spread(spark, monkeypatch):
+    """A third of the documents open alike and go on differently: no group gets all their windows."""
+    r = random.Random(8)
+    rows = [(i, ("these are the words that open a page of this site " if i % 3 == 0 else "") + " ".join(f"w{r.randrange(10 ** 6)}" for _ in range(40)), "s")
+            for i in range(900)] + [(1000 + i, "these are the words that open a page of this site and then they all go on in one way", "s") for i in range(3)]
+    most = {}
+    monkeypatch.setattr(substring_dedup, "n_buckets", lambda *_: 64)
+    plain = substring_dedup.group_arrow
+
+    def watched(grouped, run, schema):
+        if run.__name__ == "subtrees":
+            df = grouped._df.where("bucket < 64").groupBy("bucket").agg(F.sum(F.aggregate("n", F.lit(0), lambda s, x: s + x)).alias("n"))
+            most[len(most)] = df.agg(F.max("n")).first()[0]
+        return plain(grouped, run, schema)
+
+    monkeypatch.setattr(substring_dedup, "group_arrow", watched)
+    results = [sorted((x.doc_id, x.n_removed, x.kept_text) for x in substring_dedup.deduplicate(frame(spark, rows), hot=hot, share=1).collect())
+               for hot in (1 << 15, 50)]
+    assert results[0] == results[1] and sum(n for _, n, _ in results[0]) == 2 * 20
+    assert most[0] >= 300 and 5 * most[1] < most[0], most
+
+
 def test_substring_dedup_spans_and_empty(spark):
     text = " ".join(f"q{k}" for k in range(30))
     got = {r.doc_id: r for r in substring_dedup.deduplicate(frame(spark, [(1, text, "a"), (2, "front " + text + " back", "a")]), n=13).collect()}
@@ -542,6 +568,33 @@ def test_pipeline_keeps_a_text_of_each_group_whatever_the_ids(spark):
     assert got.total() == len(sure) + 2
 
 
+def test_pipeline_stages_keep_clashing_columns_and_rows_without_words(spark):
+    extra = ("n_words", "n_removed", "removed", "kept_text", "kept", "copies", "row", "id", "key", "text_hash", "class_id", "root", "size", "bits", "score", "a.b")
+    texts = {i: " ".join(f"{i}x{k}" for k in range(30 + i)) for i in range(9)} | {20: "", 21: None, 22: " \n"}
+    rows = [(i, t, "en", "s1" if i % 2 else "s0", 1) for i, t in texts.items()] + [(5, texts[5], "de", "s2", 1), (5, texts[5], "fr", "s2", 1)]
+    docs = spark.createDataFrame([(*x, *[f"{c}{x[0]}" for c in extra]) for x in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(x[c] == f"{c}{x.doc_id}" for x in got for c in extra), name
+        if name == "toxicity":
+            scores = toxicity.toxicity_scores(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+            assert sorted(x.doc_id for x in got) == sorted(x.doc_id for x in scores if not x.predicted)
+        else:
+            assert {x.doc_id for x in got} >= {20, 21, 22}, name
+        if name == "jaccard_join":
+            assert sorted(x.doc_id for x in got) == sorted(texts)
+        if name == "mixing":
+            whole = {(x.doc_id, x.source): 0 for x in docs.collect()}
+            for x in mixing.mix_sources(docs).collect():
+                whole[x.doc_id, x.source] += x.copies
+            assert collections.Counter((x.doc_id, x.source) for x in got) == +collections.Counter(whole)
+            assert all(whole[i, "s1" if i % 2 else "s0"] == 1 for i in (20, 21, 22))
+    assert {x.doc_id for x in corpus_pipeline.packing(spark, docs, SF).collect()} == set(texts)
+
+
 def test_pipeline_stages_take_awkward_and_empty_tables(spark):
     columns = "doc_id long, text string, lang string, source string, n_chars long"
     docs = frame(spark, awkward()).select("doc_id", "text", "lang", "source", "n_chars")
