@@ -29,15 +29,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), "8m"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a session, so that tasks can import it (and keep what
-    they remember between tasks of a worker)."""
+    they remember between tasks of a worker).  Arrow batches are cut to 8 MB unless the session says otherwise:
+    ten thousand long texts at once are held several times over by the executor and the worker."""
     import os
     import shutil
     import tempfile
 
     import roomtrace
 
+    if spark.conf.get(BATCH_CONF, BATCH_DEFAULT).rstrip("b") == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         top = os.path.dirname(os.path.dirname(os.path.abspath(roomtrace.__file__)))
@@ -129,17 +135,18 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` holds at most ``limit`` bytes a slice (a longer text comes alone)."""
+    """Cut batches evenly, so that ``column`` holds at most ``limit`` bytes a slice (a longer text comes alone)."""
     import pyarrow.compute as pc
 
     for b in batches:
         if not b.num_rows:
             continue
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        even = size[-1] / max(1, -(-int(size[-1]) // limit))
         at = 0
         while at < b.num_rows:
             before = size[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(size, before + limit, side="right")))
+            end = max(at + 1, int(np.searchsorted(size, before + even, side="right")))
             yield b.slice(at, end - at)
             at = end
 
