@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomtrace.functions.exprs import pct, safe_corr, seconds_between, to_local
-from roomtrace.operators.joins import join_small
+from roomtrace.operators.joins import join_null_safe, join_small
 
 
 def time_gaps(df: DataFrame, ts: str = "gw_timestamp", bucket: str = "1 hour") -> DataFrame:
@@ -25,19 +25,16 @@ def time_gaps(df: DataFrame, ts: str = "gw_timestamp", bucket: str = "1 hour") -
     """
     d = df.withColumn("_b", F.window(ts, bucket).start)
     w = Window.partitionBy("device_id", "_b").orderBy(ts, "timestamp_monotonic")
-    d = d.withColumns({"_pts": F.lag(ts).over(w), "_pmono": F.lag("timestamp_monotonic").over(w),
-                       "_first": F.row_number().over(w) == 1, "_islast": F.lead(ts).over(w).isNull()})
-    # the bucket's last row comes out of the same window pass (no second aggregate over raw rows)
-    last = d.where("_islast").select(
-        "device_id", "_b", F.struct(F.col(ts).alias("t"), F.col("timestamp_monotonic").alias("m")).alias("_last"))
-    prev = last.select("device_id", "_b",
-                       F.lag("_last").over(Window.partitionBy("device_id").orderBy("_b")).alias("_prev"))
+    # the last row of each bucket is found map-side: raw rows are shuffled and sorted once, for the window
+    last = d.groupBy("device_id", "_b").agg(F.max(F.struct(F.col(ts).alias("t"), F.col("timestamp_monotonic").alias("m"))).alias("_last"))
+    d = d.withColumns({"_pts": F.lag(ts).over(w), "_pmono": F.lag("timestamp_monotonic").over(w), "_first": F.row_number().over(w) == 1})
+    prev = last.select("device_id", "_b", F.lag("_last").over(Window.partitionBy("device_id").orderBy("_b")).alias("_prev"))
     out = join_small(d, prev, ["device_id", "_b"], "left")
     pts = F.when(F.col("_first"), F.col("_prev.t")).otherwise(F.col("_pts"))
     pmono = F.when(F.col("_first"), F.col("_prev.m")).otherwise(F.col("_pmono"))
     return (out.withColumn("gw_gap_s", seconds_between(F.col(ts), pts))
             .withColumn("mono_gap_s", F.col("timestamp_monotonic") - pmono)
-            .drop("_b", "_pts", "_pmono", "_first", "_islast", "_prev"))
+            .drop("_b", "_pts", "_pmono", "_first", "_prev"))
 
 
 def gap_rows(gaps: DataFrame, min_gap_s: float = 3600, tz: str | None = None) -> DataFrame:
@@ -61,43 +58,72 @@ def device_reboots(gaps: DataFrame, n: int = 12) -> DataFrame:
     return top_n(r, n, [F.asc("gw_timestamp")])
 
 
-def _ranked_values(df: DataFrame, **values) -> DataFrame:
-    """One row per (device, kind, value): rows, first and last time, and ``_upto``/``_all``, the numbers of
-    values up to this one and in all (NULLs not counted).
+RANGES = 64  # ranges of values that a rank is looked for in
 
-    Values are counted map-side from one read of ``df`` and ranked by a running sum, which spills; the
-    memory of ``percentile``, a value -> count map, grows with the distinct gaps of a device.
-    """
+
+def _counted_values(df: DataFrame, **values) -> DataFrame:
+    """One row per (device, kind, value): rows, first and last time.  Counted map-side from one read of ``df``."""
     cells = F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("double").alias("value")) for k, v in values.items()])
     n = (df.select("device_id", "gw_timestamp", F.explode(cells).alias("_c")).select("device_id", "gw_timestamp", "_c.*")
          .groupBy("device_id", "kind", "value").agg(F.count("value").alias("n"), F.min("gw_timestamp").alias("_t0"), F.max("gw_timestamp").alias("_t1")))
-    w = Window.partitionBy("device_id", "kind")
-    return n.withColumns({"_upto": F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(w)})
+    # all readers of the counts need the same columns, so that their exchange is planned once and reused
+    return n.where(F.coalesce(F.col("_t0"), F.col("_t1")).isNotNull() | (F.col("n") >= 0))
+
+
+def median_of_counts(counted: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """Exact medians (mean of the two middle values) per (device, kind) of ``_counted_values``, without one task
+    that sorts a device's values.
 
+    Distributed selection: a mergeable quantile sketch of the distinct values cuts them into ranges of about
+    equal size; the values of each range are counted exactly; running sums over the ranges (few rows) tell
+    which ones hold the middle ranks, and only their values are ranked.  The sketch decides how evenly the
+    ranges are cut, never the result.
+    """
+    key = ["device_id", "kind"]
+    n = counted.where("n > 0")  # NULL values count none
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = n.groupBy(*key).agg(F.percentile_approx("value", shares, 100 * ranges).alias("cuts"))
+    cut = join_null_safe(n, cuts, key).withColumn("_r", F.aggregate("cuts", F.lit(0), lambda s, c: s + (c < F.col("value")).cast("int")))
+    cut = cut.select(*key, "_r", "value", "n", "_t0", "_t1")
+    sums = cut.groupBy(*key, "_r").agg(F.sum("n").alias("_in"), F.min("_t0").alias("_t0"), F.max("_t1").alias("_t1"))
+    w = Window.partitionBy(*key)
+    sums = sums.withColumns({"_before": F.sum("_in").over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in"),
+                             "_all": F.sum("_in").over(w)})
+    lower, upper = F.floor((F.col("_all") - 1) / 2), F.ceil((F.col("_all") - 1) / 2)
+    holds = sums.where(((F.col("_before") <= lower) & (lower < F.col("_before") + F.col("_in")))
+                       | ((F.col("_before") <= upper) & (upper < F.col("_before") + F.col("_in"))))
+    few = join_null_safe(cut.drop("_t0", "_t1"), holds.select(*key, "_r", "_before", "_all"), [*key, "_r"])
+    here = Window.partitionBy(*key, "_r").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    few = few.withColumn("_upto", F.col("_before") + F.sum("n").over(here))
 
-def _median_of(kind: str) -> F.Column:
-    """Aggregate over ``_ranked_values``: the exact median (mean of the two middle values)."""
     def at(rank):
-        here = (F.col("kind") == kind) & (F.col("_upto") - F.col("n") <= rank) & (rank < F.col("_upto"))
-        return F.max(F.when(here, F.col("value")))
-    middle = (F.col("_all") - 1) / 2
-    return (at(F.floor(middle)) + at(F.ceil(middle))) / 2
+        return F.max(F.when((F.col("_upto") - F.col("n") <= rank) & (rank < F.col("_upto")), F.col("value")))
+
+    return few.groupBy(*key).agg(((at(lower) + at(upper)) / 2).alias("median"))
+
+
+def _medians(counted: DataFrame, **names) -> DataFrame:
+    """Medians of some kinds as columns, a row per device."""
+    of = median_of_counts(counted)
+    return of.groupBy("device_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("median"))).alias(name) for name, k in names.items()])
 
 
 def cadence_summary(gaps: DataFrame) -> DataFrame:
-    return _ranked_values(gaps, gap=F.col("gw_gap_s")).groupBy("device_id").agg(
-        F.min("_t0").alias("first_ts"), F.max("_t1").alias("last_ts"),
-        _median_of("gap").alias("median_gap_s"), (F.max("value") / 3600.0).alias("max_gap_h"))
+    counted = _counted_values(gaps, gap=F.col("gw_gap_s"))
+    whole = counted.groupBy("device_id").agg(F.min("_t0").alias("first_ts"), F.max("_t1").alias("last_ts"), (F.max("value") / 3600.0).alias("max_gap_h"))
+    out = join_null_safe(whole, _medians(counted, median_gap_s="gap"), ["device_id"], "left")
+    return out.select("device_id", "first_ts", "last_ts", "median_gap_s", "max_gap_h")
 
 
 def kpis(gaps_loc: DataFrame) -> DataFrame:
     """Active dates of calendar days, median cadence, median temperature, outages > 1 h."""
-    ranked = _ranked_values(gaps_loc, gap=F.col("gw_gap_s"), temp=F.col("temperature_sht"), date=F.unix_date(F.col("local_date").cast("date")))
-    return ranked.groupBy("device_id").agg(
+    counted = _counted_values(gaps_loc, gap=F.col("gw_gap_s"), temp=F.col("temperature_sht"), date=F.unix_date(F.col("local_date").cast("date")))
+    whole = counted.groupBy("device_id").agg(
         F.count_if((F.col("kind") == "date") & F.col("value").isNotNull()).alias("active_dates"),
         (F.floor(seconds_between(F.max("_t1"), F.min("_t0")) / 86400) + 1).cast("bigint").alias("total_span_days"),
-        _median_of("gap").alias("median_cadence_s"), _median_of("temp").alias("median_temp"),
         F.coalesce(F.sum(F.when((F.col("kind") == "gap") & (F.col("value") > 3600), F.col("n"))), F.lit(0).cast("bigint")).alias("outages_gt_1h"))
+    out = join_null_safe(whole, _medians(counted, median_cadence_s="gap", median_temp="temp"), ["device_id"], "left")
+    return out.select("device_id", "active_dates", "total_span_days", "median_cadence_s", "median_temp", "outages_gt_1h")
 
 
 # ---------------------------------------------------------------------------

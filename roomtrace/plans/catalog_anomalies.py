@@ -111,7 +111,8 @@ def q_typical_at_hour(spark, sf_dir):
 
 
 @register("previous_similar", S.cte(**AZ()) + """
-select *, lag(gw_timestamp) over (partition by device_id, sensor, severity order by gw_timestamp) as previous_similar
+select *, (select max(e.gw_timestamp) from az e where e.device_id = az.device_id and e.sensor = az.sensor
+           and e.gw_timestamp < az.gw_timestamp and abs(e.z_score) >= abs(az.z_score)) as previous_similar
 from az""", doubles=_AZ_D, ts=("gw_timestamp", "previous_similar"), ints=("device_id",))
 def q_previous_similar(spark, sf_dir):
     return A.previous_similar(az(spark, sf_dir))

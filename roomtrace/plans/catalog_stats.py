@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
+from roomtrace.functions.exprs import hour_floor
 from roomtrace.functions.timefn import time_range
 from roomtrace.operators import grain, stats
 from roomtrace.plans import sqlfrag as S
 from roomtrace.plans.catalog import clean, register
 from roomtrace.plans.catalog_profiles import sc, us
 from roomtrace.schema import NUMERIC_SENSORS
+from roomtrace.session import checkpoint_dir
+from roomtrace.sources import rollups
+from roomtrace.streaming.live import live_rollup
 
 
 def unpivot_sql(src: str, sensors=NUMERIC_SENSORS, keep=("device_id", "gw_timestamp"), nulls: bool = True) -> str:
@@ -349,6 +354,59 @@ def q_stats_over_range(spark, sf_dir):
     return grain.stats_from_rollup(r).select("device_id", "sensor", "mean", "min", "max", "count", "std")
 
 
+def _folder(spark, name: str) -> str:
+    """A fresh folder for stored tables, in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("live_rollup", S.cte(**S.base("r1"), lf=unpivot_sql("clean", nulls=False)) + _roll_sql("hour"),
+          doubles=_ROLL_D, ts=("bucket",), ints=("device_id",))
+def q_live_rollup(spark, sf_dir):
+    """Readings that arrive in three batches, one hour of device 1 late, the last batch run twice: the stored
+    hourly table equals the rollup of all readings."""
+    c = clean(spark, sf_dir)
+    ts, root = F.col("gw_timestamp"), _folder(spark, "live-rollup")
+    late = (F.col("device_id") == 1) & (hour_floor(ts) == F.lit("2024-01-03 05:00:00").cast("timestamp_ntz"))
+    day = F.dayofmonth(ts)
+    for i, arrived in enumerate((~late & (day <= 10), ~late & (day > 10) & (day <= 20), late | (day > 20))):
+        c.where(arrived).write.mode("append").parquet(f"{root}/in")
+        live_rollup(spark, f"{root}/in", f"{root}/out", f"{root}/ck").awaitTermination()
+    rollups.merge_batch(c.where(arrived), f"{root}/out", i)
+    return spark.read.parquet(f"{root}/out/hourly").select(*_ROLL_COLS)
+
+
+_STALE = {"upto": "2024-04-01 12:34:00", "start": "2024-01-03 05:10:00", "end": "2024-04-20 17:45:00"}
+
+
+@register("rollup_store_stale", S.cte(**S.base("r2"), lf=unpivot_sql("clean", nulls=False)) + f"""
+select device_id, sensor, avg(value) as mean, min(value) as min, max(value) as max, count(value) as count,
+       stddev_samp(value) as std from lf
+where gw_timestamp >= timestamp '{_STALE['start']}' and gw_timestamp < timestamp '{_STALE['end']}' group by all""",
+          doubles=("mean", "min", "max", "std"), ints=("device_id",))
+def q_rollup_store_stale(spark, sf_dir):
+    """A long unaligned range through the router over a store that ends weeks before the raw readings."""
+    c = clean(spark, sf_dir, "r2")
+    root = rollups.build_rollups(c.where(F.col("gw_timestamp") < F.lit(_STALE["upto"]).cast("timestamp_ntz")), _folder(spark, "rollups"))
+    lo, hi = (dt.datetime.fromisoformat(_STALE[k]) for k in ("start", "end"))
+    return rollups.range_statistics(c, root, lo, hi)
+
+
+_REFRESH = {"upto": "2024-01-20 10:30:00", "as_of": "2024-01-21 09:00:00"}
+
+
+@register("rollup_store_refresh", S.cte(**S.base("r1"), lf=unpivot_sql("clean", nulls=False)) + f"""
+select device_id, sensor, date_trunc('day', gw_timestamp) as bucket, avg(value) as avg,
+       min(value) as min, max(value) as max, stddev_samp(value) as std, count(value) as count, sum(value) as sum
+from lf where gw_timestamp <= timestamp '{_REFRESH['as_of']}' group by all""",
+          doubles=_ROLL_D, ts=("bucket",), ints=("device_id",))
+def q_rollup_store_refresh(spark, sf_dir):
+    """A stored rollup whose last day is recomputed by the hourly job: its daily table equals one from all readings so far."""
+    c = clean(spark, sf_dir)
+    root = rollups.build_rollups(c.where(F.col("gw_timestamp") < F.lit(_REFRESH["upto"]).cast("timestamp_ntz")), _folder(spark, "rollups"))
+    rollups.refresh_rollups(c, root, dt.datetime.fromisoformat(_REFRESH["as_of"]), hours=24)
+    return spark.read.parquet(f"{root}/daily").select(*_ROLL_COLS)
+
+
 @register("merge_rollup", S.cte(**S.base("r1"), lf=unpivot_sql("clean", nulls=False)) + """
 select device_id, sensor, date_trunc('day', gw_timestamp) as bucket, avg(value) as avg,
        count(value) as count from lf group by all""",

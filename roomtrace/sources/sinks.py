@@ -150,11 +150,12 @@ def rollup_upsert(roll: DataFrame, path: str) -> str:
     ``roll`` touches are read, merged and overwritten; their other rows stay.  The merged rows are cut
     from the files they replace by a reliable checkpoint before these are overwritten."""
     spark = roll.sparkSession
+    checkpoint_dir(spark)
     new = roll.withColumn("bucket_date", F.to_date("bucket"))
     if path_exists(spark, path):
-        old = spark.read.parquet(path)
-        old = old.join(new.select("bucket_date").distinct(), "bucket_date", "left_semi").select(*new.columns)
-        checkpoint_dir(spark)
+        new = new.checkpoint()  # evaluated once: the dates read and the rows written belong together
+        dates = [r[0] for r in new.select("bucket_date").distinct().collect()]  # a value a calendar day
+        old = spark.read.parquet(path).where(F.col("bucket_date").isin(dates)).select(*new.columns)
         new = merge_rollup(old, new).checkpoint()
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket_date").parquet(path)
     return path

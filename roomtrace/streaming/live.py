@@ -4,8 +4,9 @@
 ``live_pipeline``   file source -> one ``foreachBatch`` that stores readings, feed messages and the
                     bounded newest-N table; each batch overwrites only its own output, so a replayed
                     batch (after a failure) is idempotent.
-``live_rollup``     event-time hourly rollups with a watermark (count/sum/min/max/m2 only: quantiles
-                    cannot be maintained incrementally; they come from batch over affected buckets).
+                    Its versions are committed by markers; the last two are kept.
+``live_rollup``     hourly and daily rollups whose moments (count, mean, m2, min, max) each batch merges
+                    by key into the stored tables, once a batch id, however late its readings are.
 """
 
 from __future__ import annotations
@@ -13,13 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from roomtrace.functions.exprs import celsius_to_fahrenheit, instant_from_utc_wall, utc_wall_from_instant
 from roomtrace.operators.clean import coerce_numeric
-from roomtrace.operators.grain import long_form
 from roomtrace.operators.series import top_n
-from roomtrace.schema import NUMERIC_SENSORS, READINGS_COLUMNS
+from roomtrace.schema import READINGS_COLUMNS
 from roomtrace.sources.readers import parse_event_time
 from roomtrace.sources.sinks import feed_messages
 
@@ -57,21 +56,48 @@ def parse_messages(lines: DataFrame, stamp: Column | None = None, default_device
     return d.select(*READINGS_COLUMNS)
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+def _files(spark: SparkSession, path: str):
+    """Hadoop path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def committed_versions(spark: SparkSession, recent_dir: str) -> list[int]:
+    """Versions of the newest-N table that have a marker, ascending."""
+    p, fs = _files(spark, f"{recent_dir}/_committed")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_recent(spark: SparkSession, recent_dir: str, version: int | None = None) -> DataFrame | None:
+    """The newest committed version of the newest-N table, or None before the first commit.  A version that
+    is committed but cannot be read raises: it is never taken for an empty table."""
+    versions = committed_versions(spark, recent_dir)
+    if not versions:
         return None
+    return spark.read.parquet(f"{recent_dir}/v={versions[-1] if version is None else version}")
+
+
+def commit_version(spark: SparkSession, recent_dir: str, version: int, keep: int = 2) -> None:
+    """Make a written version the current one by creating its marker (one atomic step), and drop versions
+    older than the last ``keep``: first their markers, then their rows."""
+    p, fs = _files(spark, f"{recent_dir}/_committed/{version}")
+    fs.create(p, True).close()
+    for old in committed_versions(spark, recent_dir)[:-keep]:
+        for path in (f"{recent_dir}/_committed/{old}", f"{recent_dir}/v={old}"):
+            q, fs = _files(spark, path)
+            fs.delete(q, True)
 
 
 def recent_merge(spark: SparkSession, batch: DataFrame, recent_dir: str, batch_id: int, n: int = 300) -> None:
-    """Bounded newest-N per device: previous version + this batch -> top N -> version ``batch_id``."""
-    prev = _read_or_none(spark, f"{recent_dir}/v={batch_id - 1}") if batch_id > 0 else None
+    """Bounded newest-N per device: the last committed version before ``batch_id`` and this batch -> version
+    ``batch_id``.  A batch that is run again starts from the same version and writes the same rows."""
     rows = batch.select(*READINGS_COLUMNS)
-    if prev is not None:
-        rows = rows.unionByName(prev.select(*READINGS_COLUMNS))
-    top_n(rows, n, [F.desc("gw_timestamp"), F.desc("timestamp_monotonic")]).write.mode("overwrite").parquet(
+    before = [v for v in committed_versions(spark, recent_dir) if v < batch_id]
+    if before:
+        rows = rows.unionByName(read_recent(spark, recent_dir, before[-1]).select(*READINGS_COLUMNS))
+    top_n(rows, n, [F.desc("gw_timestamp"), F.desc("timestamp_monotonic"), F.xxhash64(*READINGS_COLUMNS)]).write.mode("overwrite").parquet(
         f"{recent_dir}/v={batch_id}")
+    commit_version(spark, recent_dir, batch_id)
 
 
 def live_pipeline(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, stamp: Column | None = None,
@@ -97,40 +123,25 @@ def live_pipeline(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
     return w.start()
 
 
-def rollup_stream(readings: DataFrame, watermark: str = "24 hours", sensors=None, dedupe: bool = True) -> DataFrame:
-    """Event-time hourly rollup of a readings stream: (device, sensor, hour) -> count, sum, min, max, m2-ready sums."""
-    s = readings.withColumn("_et", instant_from_utc_wall("gw_timestamp")).withWatermark("_et", watermark)
-    if dedupe:
-        s = s.dropDuplicatesWithinWatermark(["device_id", "gw_timestamp"])
-    lf = long_form(s, sensors or NUMERIC_SENSORS, keep=("device_id", "gw_timestamp", "_et"))
-    agg = lf.groupBy("device_id", "sensor", F.window("_et", "1 hour").alias("w")).agg(
-        F.count("value").alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.sum(F.col("value") * F.col("value")).alias("sumsq"))
-    return agg.select("device_id", "sensor", utc_wall_from_instant(F.col("w.start")).alias("bucket"),
-                      "count", "sum", "min", "max", "sumsq",
-                      (F.col("sum") / F.col("count")).alias("avg"))
-
-
-def finalize_rollup(streamed: DataFrame) -> DataFrame:
-    """Streamed hourly rollup rows (count, sum, min, max, sumsq) -> the batch rollup shape
-    (avg, min, max, std, count, sum, m2), so ``grain.rollup_from_rollup`` can build daily and
-    monthly rollups from either source."""
-    n, s = F.col("count"), F.col("sum")
-    m2 = F.greatest(F.col("sumsq") - s * s / n, F.lit(0.0))
-    return streamed.select("device_id", "sensor", "bucket", (s / n).alias("avg"), "min", "max",
-                           F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("std"), "count", "sum", m2.alias("m2"))
-
-
 def live_rollup(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, watermark: str = "24 hours",
-                schema: T.StructType | None = None, available_now: bool = True, max_files: int | None = None):
-    """Readings Parquet files arriving in ``source_dir`` -> finalized hourly rollups appended to ``out_dir``."""
+                schema: T.StructType | None = None, available_now: bool = True, max_files: int | None = None, distinct: bool = False):
+    """Readings Parquet files arriving in ``source_dir`` -> hourly and daily rollups under ``out_dir``.
+
+    A reading counts as often as it arrives, as in the batch rollup.  With ``distinct``, readings equal in all
+    columns count once within the watermark, as in a batch rollup of ``dropDuplicates()``; only then the
+    stream has state.
+    """
     from roomtrace.schema import READINGS_SCHEMA
+    from roomtrace.sources.rollups import merge_batch
 
     reader = spark.readStream.schema(schema or READINGS_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    agg = rollup_stream(reader.parquet(source_dir), watermark)
-    w = (agg.writeStream.outputMode("append").format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint))
+    readings = reader.parquet(source_dir)
+    if distinct:
+        columns = readings.columns
+        readings = readings.withColumn("_et", instant_from_utc_wall("gw_timestamp")).withWatermark("_et", watermark)
+        readings = readings.dropDuplicatesWithinWatermark(columns).drop("_et")
+    w = readings.writeStream.foreachBatch(lambda batch, batch_id: merge_batch(batch, out_dir, batch_id)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 hour")
     return w.start()

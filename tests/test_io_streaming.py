@@ -1,7 +1,9 @@
 """Readers, sinks and the streaming paths (batch equals stream; replays are idempotent)."""
 
+import datetime as dt
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +12,10 @@ from conftest import SF_SMALL
 from roomtrace.functions.timefn import time_range
 from roomtrace.operators import grain
 from roomtrace.schema import READINGS_COLUMNS
-from roomtrace.sources import sinks
+from roomtrace.sources import rollups, sinks
 from roomtrace.sources.fixtures import message_lines, readings_r1
 from roomtrace.sources.readers import parse_event_time, scan_readings, scan_weather
+from roomtrace.streaming import live
 from roomtrace.streaming.live import live_pipeline, live_rollup, parse_messages
 
 
@@ -156,26 +159,156 @@ def test_live_pipeline_batch_equals_stream_and_idempotent(spark, scratch):
     assert recent.groupBy("device_id").count().agg(F.max("count")).collect()[0][0] <= 50
 
 
-def test_live_rollup_matches_batch_for_final_hours(spark, scratch):
+def _equal_rollups(got, want):
+    cols = ["avg", "min", "max", "std", "count", "sum", "m2"]
+    got, want = ({(r.device_id, r.sensor, r.bucket): [r[c] for c in cols] for r in df.collect()} for df in (got, want))
+    assert got.keys() == want.keys() and got
+    for k, x in want.items():
+        for c, a, b in zip(cols, got[k], x):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) <= 1e-9 * max(1.0, abs(b), abs(x[-2]))), (k, c, a, b)
+
+
+def _arrivals(spark):
+    """Readings in three parts: one hour comes with the last part, some readings come twice."""
     src = readings_r1(spark, SF_SMALL)
+    day = F.dayofmonth("gw_timestamp")
+    late = (F.col("device_id") == 1) & (day == 3) & (F.hour("gw_timestamp") == 5)
+    twice = src.where("device_id = 0").where(day == 12)
+    return [src.where((day <= 10) & ~late), src.where((day > 10) & (day <= 20) & ~late), src.where((day > 20) | late).unionByName(twice)]
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_live_rollup_equals_batch(spark, scratch, distinct):
+    parts = _arrivals(spark)
     src_dir, out, ck = (os.path.join(scratch, n) for n in ("src", "roll", "ck"))
-    # arrive in time order: one file per day
-    src.withColumn("_d", F.to_date("gw_timestamp")).repartition("_d").drop("_d").write.parquet(src_dir)
-    q = live_rollup(spark, src_dir, out, ck, watermark="1 hour", max_files=1)
-    q.awaitTermination(600)
-    streamed = spark.read.parquet(out)
-    batch = grain.rollup(src, "hourly")
-    key = ["device_id", "sensor", "bucket"]
-    j = streamed.join(batch.select(*key, F.col("count").alias("b_count"), F.col("sum").alias("b_sum")), key)
-    assert streamed.count() > 0 and j.count() == streamed.count()
-    assert j.where((F.col("count") != F.col("b_count")) | (F.abs(F.col("sum") - F.col("b_sum")) > 1e-9)).count() == 0
-    from roomtrace.streaming.live import finalize_rollup
-
-    fin = finalize_rollup(streamed).join(batch.select(*key, F.col("std").alias("b_std")), key)
-    assert fin.where(F.abs(F.coalesce(F.col("std"), F.lit(0.0)) - F.coalesce(F.col("b_std"), F.lit(0.0)))
-                     > 1e-6 * (1 + F.abs(F.coalesce(F.col("b_std"), F.lit(0.0))))).count() == 0
-    daily = grain.rollup_from_rollup(finalize_rollup(streamed), "daily")
-    assert daily.count() > 0
+    for p in parts:
+        p.write.mode("append").parquet(src_dir)
+        live_rollup(spark, src_dir, out, ck, watermark="40 days", distinct=distinct).awaitTermination(600)
+    every = spark.read.parquet(src_dir)
+    every = every.dropDuplicates() if distinct else every
+    _equal_rollups(spark.read.parquet(f"{out}/hourly"), grain.rollup(every, "hourly"))
+    _equal_rollups(spark.read.parquet(f"{out}/daily"), grain.rollup(every, "daily"))
+
+
+def test_merged_batch_may_stop_anywhere(spark, scratch, monkeypatch):
+    """A batch that fails between or within its steps and is run again is merged once."""
+    parts, root = _arrivals(spark), os.path.join(scratch, "roll")
+    put = rollups._put
+    for i, p in enumerate(parts):
+        for stop in (0, 1, 2):
+            calls = []
+
+            def failing(rows, path):
+                calls.append(path)
+                if len(calls) > stop:
+                    raise RuntimeError("lost")
+                put(rows, path)
+
+            monkeypatch.setattr(rollups, "_put", failing)
+            if stop < 2:
+                with pytest.raises(RuntimeError):
+                    rollups.merge_batch(p, root, i)
+            else:
+                rollups.merge_batch(p, root, i)
+        monkeypatch.setattr(rollups, "_put", put)
+        rollups.merge_batch(p, root, i)
+    rollups.merge_batch(parts[0].limit(0), root, 3)  # nothing arrived
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    _equal_rollups(spark.read.parquet(f"{root}/hourly"), grain.rollup(every, "hourly"))
+    _equal_rollups(spark.read.parquet(f"{root}/daily"), grain.rollup(every, "daily"))
+
+
+def test_merged_moments_keep_their_digits(spark):
+    """A tiny spread on a large mean survives many merges."""
+    rows = [(0, f"2024-01-01 00:{k // 60:02d}:{k % 60:02d}", 1e8 + (k % 7) * 1e-3) for k in range(600)]
+    df = spark.createDataFrame(rows, "device_id int, t string, pressure double").withColumn("gw_timestamp", F.col("t").cast("timestamp_ntz"))
+    parts = [grain.rollup(df.where(f"int(substr(t, 18, 2)) % 5 = {k}"), "hourly", ["pressure"]) for k in range(5)]
+    whole = grain.rollup(df, "hourly", ["pressure"]).first()
+    merged = rollups.merge_moments(*parts).first()
+    assert merged["count"] == 600 and abs(merged["std"] - whole["std"]) < 1e-6 * whole["std"]
+
+
+@pytest.mark.parametrize("start,end", [("2024-01-02 05:10:00", "2024-01-28 17:45:00"), ("2024-01-10 00:00:00", "2024-01-12 00:00:00"),
+                                       ("2024-01-22 03:00:00", "2024-01-25 04:00:00"), ("2024-01-03 05:10:00", "2024-01-03 05:50:00"),
+                                       ("2024-01-19 23:59:59", "2024-01-20 10:31:00"), ("2023-12-01 00:00:00", "2024-03-01 00:00:00")])
+def test_router_over_a_stale_store_equals_raw(spark, scratch, start, end):
+    """Devices stop at different times in the store, one is unknown to it; raw readings go on."""
+    src = readings_r1(spark, SF_SMALL)
+    newer = src.where("device_id = 1").where("gw_timestamp >= timestamp_ntz'2024-01-21 00:00:00'").withColumn("device_id", F.lit(7))
+    src = src.unionByName(newer)
+    store = os.path.join(scratch, "raw")
+    sinks.sink_append(src, store)
+    raw = scan_readings(spark, store, fmt="parquet")
+    known = src.where("device_id < 7").where("gw_timestamp < if(device_id = 0, timestamp_ntz'2024-01-20 10:30:00', timestamp_ntz'2024-01-15 08:10:00')")
+    root = rollups.build_rollups(known, os.path.join(scratch, "rollups"))
+    lo, hi = map(dt.datetime.fromisoformat, (start, end))
+    own = src.where((F.col("gw_timestamp") >= F.lit(start).cast("timestamp_ntz")) & (F.col("gw_timestamp") < F.lit(end).cast("timestamp_ntz")))
+    want = {(r.device_id, r.sensor): r for r in grain.stats_from_rollup(grain.rollup(own, "monthly")).collect()}
+    for g in (None, "daily", "hourly", "raw"):
+        got = {(r.device_id, r.sensor): r for r in rollups.range_statistics(raw, root, lo, hi, g).collect()}
+        assert got.keys() == want.keys()
+        for k, x in want.items():
+            y = got[k]
+            assert (y["count"], y["min"], y["max"]) == (x["count"], x["min"], x["max"])
+            assert abs(y["mean"] - x["mean"]) < 1e-9 * max(1, abs(x["mean"])) and (x["std"] is None or abs(y["std"] - x["std"]) < 1e-6 * max(1, x["std"]))
+
+
+def test_router_reads_raw_only_at_the_edges(spark, scratch):
+    src = readings_r1(spark, SF_SMALL)
+    store = os.path.join(scratch, "raw")
+    sinks.sink_append(src, store)
+    root = rollups.build_rollups(src.where("gw_timestamp < timestamp_ntz'2024-01-20 10:30:00'"), os.path.join(scratch, "rollups"))
+    lo, hi = dt.datetime(2024, 1, 3, 5, 10), dt.datetime(2024, 1, 24, 17, 45)
+    rows = rollups.covering_rows(scan_readings(spark, store, fmt="parquet"), root, lo, hi, "daily")
+    days = {f.split("reading_date=")[1].split("/")[0] for f in rows.inputFiles() if "/raw/" in f}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert days and "reading_date" in plan
+    raw_rows = scan_readings(spark, store, fmt="parquet")
+    pruned = rollups._stored_days(raw_rows, (lo, dt.datetime(2024, 1, 3, 6)), (dt.datetime(2024, 1, 20, 10), hi))
+    read = {str(r[0]) for r in pruned.select("reading_date").distinct().collect()}
+    assert read == {"2024-01-03", *(f"2024-01-{d}" for d in range(20, 25))}
+
+
+def test_refresh_replaces_the_last_hours(spark, scratch):
+    src = readings_r1(spark, SF_SMALL)
+    root = rollups.build_rollups(src.where("gw_timestamp < timestamp_ntz'2024-01-20 10:30:00'"), os.path.join(scratch, "rollups"))
+    as_of = dt.datetime(2024, 1, 21, 9, 15)
+    for _ in range(2):  # run again: the same
+        rollups.refresh_rollups(src, root, as_of)
+    now = src.where("gw_timestamp <= timestamp_ntz'2024-01-21 09:15:00'")
+    _equal_rollups(spark.read.parquet(f"{root}/hourly"), grain.rollup(now, "hourly"))
+    _equal_rollups(spark.read.parquet(f"{root}/daily"), grain.rollup(now, "daily"))
+
+
+def test_recent_table_survives_a_stop_between_rows_and_commit(spark, scratch, monkeypatch):
+    src = readings_r1(spark, SF_SMALL).orderBy("gw_timestamp", "device_id")
+    parts = [src.where(F.dayofmonth("gw_timestamp").between(*d)) for d in ((1, 8), (9, 16), (17, 24), (25, 31))]
+    folder, plain = os.path.join(scratch, "recent"), live.commit_version
+    assert live.read_recent(spark, folder) is None
+    for i, p in enumerate(parts):
+        if i in (1, 3):
+            def lost(*_):
+                raise RuntimeError("lost")
+            monkeypatch.setattr(live, "commit_version", lost)
+            with pytest.raises(RuntimeError):
+                live.recent_merge(spark, p, folder, i, 40)
+            assert live.committed_versions(spark, folder)[-1] == i - 1  # readers still see the version before
+            monkeypatch.setattr(live, "commit_version", plain)
+        live.recent_merge(spark, p, folder, i, 40)
+        live.recent_merge(spark, p, folder, i, 40)  # run again
+    want = grain_top(src, 40)
+    assert _rows(live.read_recent(spark, folder), READINGS_COLUMNS) == _rows(want, READINGS_COLUMNS)
+    assert live.committed_versions(spark, folder) == [2, 3]
+    assert sorted(x for x in os.listdir(folder) if x.startswith("v=")) == ["v=2", "v=3"]
+    shutil.rmtree(os.path.join(folder, "v=3"))  # a committed version that is gone is an error, not an empty table
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        live.recent_merge(spark, parts[0], folder, 4, 40)
+
+
+def grain_top(src, n):
+    from roomtrace.operators.series import top_n
+
+    return top_n(src.select(*READINGS_COLUMNS), n, [F.desc("gw_timestamp"), F.desc("timestamp_monotonic"), F.xxhash64(*READINGS_COLUMNS)])
 
 
 def test_exports_and_sections_roundtrip(spark, scratch):

@@ -380,3 +380,51 @@ def test_cadence_medians_equal_percentile(spark):
         assert (x.median_cadence_s, x.median_temp) == (want[x.device_id].gap, want[x.device_id].temp)
         assert x.active_dates == 1 and x.outages_gt_1h == (x.device_id == 0)
     assert series.cadence_summary(gaps.limit(0)).count() == 0 and series.kpis(gaps.limit(0)).count() == 0
+
+
+def test_medians_of_a_hot_device_are_taken_from_few_of_its_values(spark):
+    """Distributed selection equals exact percentiles, whatever the distribution; no task ranks all values of a device."""
+    import random
+
+    from pyspark.sql import Window
+
+    r = random.Random(5)
+    rows = [(0, "gap", round(r.expovariate(1 / 30), 6)) for _ in range(20_000)] + [(0, "gap", 30.0)] * 15_000
+    rows += [(0, "temp", r.choice([70.0, 70.5, None])) for _ in range(500)] + [(1, "gap", 10.0 ** r.randrange(-9, 300)) for _ in range(999)]
+    rows += [(2, "gap", 4.0), (2, "gap", 5.0), (3, "gap", None), (None, "gap", 1.0), (None, "gap", 2.0)]
+    df = spark.createDataFrame(rows, "device_id int, kind string, value double").repartition(4)
+    n = df.groupBy("device_id", "kind", "value").agg(F.count("value").alias("n"), F.max(F.lit(T0).cast("timestamp_ntz")).alias("_t0"), F.max(F.lit(T0).cast("timestamp_ntz")).alias("_t1"))
+    want = {(x.device_id, x.kind): x.m for x in df.groupBy("device_id", "kind").agg(F.percentile("value", 0.5).alias("m")).collect() if x.m is not None}
+    got = series.median_of_counts(n)
+    assert {(x.device_id, x.kind): x["median"] for x in got.collect()} == want
+    # of the hot device's values, the final window sees one range of 64 (two where the middle falls between)
+    seen = []
+    plain = Window.partitionBy
+    try:
+        Window.partitionBy = staticmethod(lambda *k: seen.append(k) or plain(*k))
+        series.median_of_counts(n)
+    finally:
+        Window.partitionBy = plain
+    assert all("_r" in k for k in seen if k != ("device_id", "kind")) and len(seen) == 2
+    cuts = n.where("device_id = 0 and kind = 'gap'").agg(F.percentile_approx("value", [i / 64 for i in range(1, 64)], 6400)).first()[0]
+    values = sorted(v for d, k, v in set(rows) if d == 0 and k == "gap")
+    assert max(sum(a < v <= b for v in values) for a, b in zip([-1, *cuts], [*cuts, 1e9])) < len(values) / 50
+
+
+def test_previous_similar_is_brute_force(spark):
+    """Ties in size and time, several buckets, sizes that grow or fall over many of them, several series."""
+    import random
+
+    r = random.Random(11)
+    rows = []
+    for d, sensor, size in ((0, "light", lambda i: r.choice([2.5, 2.75, 3.0, -2.5, -3.5])), (0, "humidity", lambda i: 2.5 + i * 0.01),
+                            (1, "light", lambda i: 9 - i * 0.01), (2, "light", lambda i: r.uniform(2.5, 9))):
+        for i in range(150):
+            rows.append((d, T0 + dt.timedelta(hours=r.randrange(0, 24 * 9)), sensor, float(i), size(i), "severe"))
+    df = spark.createDataFrame(rows, "device_id int, gw_timestamp timestamp_ntz, sensor string, value double, z_score double, severity string").repartition(3)
+    for bucket in ("1 day", "1 hour", "30 days"):
+        got = sorted((tuple(x) for x in A.previous_similar(df, bucket).collect()), key=str)
+        want = sorted(((*x, max((y[1] for y in rows if y[0] == x[0] and y[2] == x[2] and y[1] < x[1] and abs(y[4]) >= abs(x[4])), default=None))
+                       for x in rows), key=str)
+        assert got == want
+    assert A.previous_similar(df.limit(0)).count() == 0
