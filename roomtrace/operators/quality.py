@@ -1,7 +1,7 @@
 """Data profile and provenance: schema summaries, quality flags, recent rows.
 
-Profiles are one wide aggregate per device, then stacked into one row per
-column with ``explode(array(struct...))`` (no join, no driver loop).
+Profiles are one wide aggregate per device and hour, stacked into one row per
+column with ``explode(array(struct...))`` (no join, no driver loop) and merged.
 Examples ("first values") come from a per-(device, column) top-n, which
 Spark limits partially before the shuffle.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roomtrace.functions.exprs import pct, seconds_between, to_local
+from roomtrace.functions.exprs import hour_floor, pct, seconds_between, to_local
 from roomtrace.operators.series import top_n
 from roomtrace.schema import CSV_FIELDNAMES, NUMERIC_SENSORS
 
@@ -24,39 +24,78 @@ def _cols(df: DataFrame, columns=None):
     return [c for c in (columns or CSV_FIELDNAMES) if c in df.columns]
 
 
+def _value_text(df: DataFrame, c: str):
+    """Text of a value, the same for equal values (-0.0 is 0.0)."""
+    kind = df.schema[c].dataType
+    v = F.col(c) + F.lit(0.0).cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(c)
+    return v.cast("string")
+
+
+def _profiled(df: DataFrame, cols: list[str], ts: str) -> DataFrame:
+    """Per device and column (``position``): rows, non-NULL values, distinct values, first example, values that
+    read as numbers with their range, and the range of times.
+
+    Distinct values merge without an Expand of the raw rows: values are collected map-side as sets per device and
+    hour, of which the event times are counted as they are (hours are disjoint); the others go on as the few
+    values of an hour, once each, to be counted over all hours.  One read of ``df``; no task holds a device.
+    """
+    cells, aggs = [], [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(cols):
+        text = _value_text(df, c)
+        number = text.try_cast("double")
+        timed = isinstance(df.schema[c].dataType, _TIME_TYPES)
+        when = F.col(c).cast("timestamp_ntz") if timed else F.lit(None).cast("timestamp_ntz")
+        aggs += [F.count(c).alias(f"_n{i}"), F.count(number).alias(f"_u{i}"), F.min(number).alias(f"_a{i}"), F.max(number).alias(f"_z{i}"),
+                 F.min(when).alias(f"_f{i}"), F.max(when).alias(f"_l{i}"), F.collect_set(text).alias(f"_s{i}"),
+                 F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c).cast("string").alias("v")))).alias(f"_e{i}")]
+        own = c == ts
+        cells.append(F.struct(
+            F.lit(i).alias("position"), F.col("_rows").alias("rows"), *[F.col(f"_{k}{i}").alias(n) for k, n in zip("nuazfle", (
+                "n", "numbers", "least", "most", "first", "last", "example"))],
+            (F.size(f"_s{i}") if own else F.lit(0)).cast("long").alias("counted"),
+            (F.array().cast("array<string>") if own else F.col(f"_s{i}")).alias("values")))
+    hours = df.groupBy("device_id", hour_floor(ts).alias("_hour")).agg(*aggs)
+    cell = hours.select("device_id", F.explode(F.array(*cells)).alias("c")).select("device_id", "c.*")
+    each = cell.select(*[c for c in cell.columns if c != "values"], F.posexplode_outer("values").alias("_k", "value"))
+    here = F.coalesce(F.col("_k"), F.lit(0)) == 0  # the numbers of an hour go with its first value
+    parts = {"rows": F.sum, "n": F.sum, "numbers": F.sum, "counted": F.sum, "least": F.min, "most": F.max, "first": F.min, "last": F.max, "example": F.min}
+    by_value = each.groupBy("device_id", "position", "value").agg(*[f(F.when(here, F.col(c))).alias(c) for c, f in parts.items()])
+    return by_value.groupBy("device_id", "position").agg(*[f(c).alias(c) for c, f in parts.items()], F.count("value").alias("values")) \
+        .withColumn("distinct", F.col("values") + F.col("counted"))
+
+
 def schema_profile(df: DataFrame, columns=None, approx: bool = False, ts: str = "gw_timestamp") -> DataFrame:
     """Per device and column: type, null rate, distinct non-NULL count, first example, min/max.
 
-    ``approx`` swaps the exact distinct counts for HyperLogLog sketches (one
-    pass without the per-column Expand that several exact distincts need).
+    ``approx`` counts distinct values by HyperLogLog sketches, in one aggregate.
     """
     cols = _cols(df, columns)
     types = {f.name: f.dataType for f in df.schema.fields}
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    at = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(i), F.struct(
+        F.lit(c).alias("column"), F.lit(types[c].simpleString()).alias("type"), F.lit(isinstance(types[c], _NUMERIC_TYPES)).alias("num")))])
+    if approx:
+        g = _approx_profile(df, cols, ts)
+    else:
+        g = _profiled(df, cols, ts)
+    g = g.withColumn("_c", F.element_at(at, F.col("position")))
+    return g.select("device_id", "position", "_c.column", "_c.type", ((F.col("rows") - F.col("n")) / F.col("rows")).alias("null_rate"),
+                    F.col("distinct").alias("unique_count"), F.col("example.v").alias("example"),
+                    F.when(F.col("_c.num"), F.col("least")).alias("min_value"), F.when(F.col("_c.num"), F.col("most")).alias("max_value"),
+                    F.col("first").alias("min_time"), F.col("last").alias("max_time"))
+
+
+def _approx_profile(df: DataFrame, cols: list[str], ts: str) -> DataFrame:
+    aggs, cells = [F.count(F.lit(1)).alias("_rows")], []
     for i, c in enumerate(cols):
-        col = F.col(c)
-        dist = F.approx_count_distinct(col) if approx else F.count_distinct(col)
-        aggs += [F.count(col).alias(f"_n{i}"), dist.alias(f"_d{i}"),
-                 F.min(F.when(col.isNotNull(), F.struct(F.col(ts).alias("t"), col.cast("string").alias("v"))))
-                 .alias(f"_e{i}")]
-        if isinstance(types[c], _NUMERIC_TYPES):
-            aggs += [F.min(col).cast("double").alias(f"_mn{i}"), F.max(col).cast("double").alias(f"_mx{i}")]
-        if isinstance(types[c], _TIME_TYPES):
-            aggs += [F.min(col).cast("timestamp_ntz").alias(f"_tn{i}"), F.max(col).cast("timestamp_ntz").alias(f"_tx{i}")]
-    g = df.groupBy("device_id").agg(*aggs)
-    cells = []
-    for i, c in enumerate(cols):
-        num = isinstance(types[c], _NUMERIC_TYPES)
-        tim = isinstance(types[c], _TIME_TYPES)
-        cells.append(F.struct(
-            F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(types[c].simpleString()).alias("type"),
-            ((F.col("_rows") - F.col(f"_n{i}")) / F.col("_rows")).alias("null_rate"),
-            F.col(f"_d{i}").alias("unique_count"), F.col(f"_e{i}.v").alias("example"),
-            (F.col(f"_mn{i}") if num else F.lit(None).cast("double")).alias("min_value"),
-            (F.col(f"_mx{i}") if num else F.lit(None).cast("double")).alias("max_value"),
-            (F.col(f"_tn{i}") if tim else F.lit(None).cast("timestamp_ntz")).alias("min_time"),
-            (F.col(f"_tx{i}") if tim else F.lit(None).cast("timestamp_ntz")).alias("max_time")))
-    return g.select("device_id", F.explode(F.array(*cells)).alias("c")).select("device_id", "c.*")
+        timed = isinstance(df.schema[c].dataType, _TIME_TYPES)
+        number = _value_text(df, c).try_cast("double")
+        when = F.col(c).cast("timestamp_ntz") if timed else F.lit(None).cast("timestamp_ntz")
+        aggs += [F.count(c).alias(f"_n{i}"), F.approx_count_distinct(c).alias(f"_d{i}"), F.min(number).alias(f"_a{i}"), F.max(number).alias(f"_z{i}"),
+                 F.min(when).alias(f"_f{i}"), F.max(when).alias(f"_l{i}"),
+                 F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c).cast("string").alias("v")))).alias(f"_e{i}")]
+        cells.append(F.struct(F.lit(i).alias("position"), F.col("_rows").alias("rows"), *[F.col(f"_{k}{i}").alias(n) for k, n in zip("ndazfle", (
+            "n", "distinct", "least", "most", "first", "last", "example"))]))
+    return df.groupBy("device_id").agg(*aggs).select("device_id", F.explode(F.array(*cells)).alias("c")).select("device_id", "c.*")
 
 
 def column_summary(df: DataFrame, columns=None, ts: str = "gw_timestamp", n_examples: int = 3) -> DataFrame:
@@ -64,30 +103,26 @@ def column_summary(df: DataFrame, columns=None, ts: str = "gw_timestamp", n_exam
     ``datetime`` for the event time, ``numeric`` when at least max(3, 50 %) of the rows
     read as numbers, else ``categorical``; min/max for datetime and numeric columns."""
     cols = _cols(df, columns)
-    txt = df.select("device_id", F.col(ts).alias("_t"), *[F.col(c).cast("string").alias(c) for c in cols])
-    long = (txt.unpivot(["device_id", "_t"], cols, "column", "v"))
-    num = F.col("v").try_cast("double")
-    g = long.groupBy("device_id", "column").agg(
-        F.count(F.lit(1)).alias("_rows"), F.count("v").alias("_n"), F.count_distinct("v").alias("unique_nonnull"),
-        F.count(num).alias("_num"), F.min(num).alias("_min"), F.max(num).alias("_max"))
-    ex = (top_n(long.where(F.col("v").isNotNull()), n_examples, [F.asc("_t"), F.asc("v")],
-                part=("device_id", "column"))
-          .groupBy("device_id", "column")
+    g = _profiled(df, cols, ts)
+    long = df.select("device_id", F.col(ts).alias("_t"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])).alias("x")).select("device_id", "_t", "x.*")
+    ex = (top_n(long.where(F.col("v").isNotNull()), n_examples, [F.asc("_t"), F.asc("v")], part=("device_id", "position"))
+          .groupBy("device_id", "position")
           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "v"))), lambda s: s["v"]), ", ")
                .alias("examples")))
-    tr = df.groupBy("device_id").agg(F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
-    kind = (F.when(F.col("column") == ts, "datetime")
-            .when((F.col("_num") > 0) & (F.col("_num") >= F.greatest(F.lit(3.0), F.col("_rows") * 0.5)), "numeric")
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("position") + 1)
+    kind = (F.when(name == ts, "datetime")
+            .when((F.col("numbers") > 0) & (F.col("numbers") >= F.greatest(F.lit(3.0), F.col("rows") * 0.5)), "numeric")
             .otherwise("categorical"))
-    order = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
-    return (g.join(ex, ["device_id", "column"], "left").join(tr, "device_id")
-            .select("device_id", F.element_at(order, F.col("column")).alias("position"), "column",
-                    F.round((F.col("_rows") - F.col("_n")) / F.col("_rows") * 100, 3).alias("null_rate"),
-                    "unique_nonnull", "examples", kind.alias("type"),
-                    F.when(kind == "numeric", F.col("_min")).alias("min"),
-                    F.when(kind == "numeric", F.col("_max")).alias("max"),
-                    F.when(kind == "datetime", F.col("_t0")).alias("date_min"),
-                    F.when(kind == "datetime", F.col("_t1")).alias("date_max")))
+    g = g.withColumns({"column": name, "type": kind})
+    return (g.join(ex, ["device_id", "position"], "left")
+            .select("device_id", "position", "column",
+                    F.round((F.col("rows") - F.col("n")) / F.col("rows") * 100, 3).alias("null_rate"),
+                    F.col("distinct").alias("unique_nonnull"), "examples", "type",
+                    F.when(F.col("type") == "numeric", F.col("least")).alias("min"),
+                    F.when(F.col("type") == "numeric", F.col("most")).alias("max"),
+                    F.when(F.col("type") == "datetime", F.col("first")).alias("date_min"),
+                    F.when(F.col("type") == "datetime", F.col("last")).alias("date_max")))
 
 
 def quality_flags(df: DataFrame, columns=None) -> DataFrame:

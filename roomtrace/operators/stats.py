@@ -247,16 +247,35 @@ def scatter_sample(df: DataFrame, x: str, y: str, n: int = 1000, seed: int = 42)
     return top_n(d, n, [F.asc("_h"), F.asc("gw_timestamp"), F.asc("x"), F.asc("y")]).drop("_h")
 
 
-def lag_matrix(hourly_long: DataFrame, lags=range(-12, 13)) -> DataFrame:
-    """corr(x[t], y[t + k]) for every ordered sensor pair and lag on long hourly rows (hour_ts, sensor, value)."""
-    a = (hourly_long.select("device_id", F.col("hour_ts").alias("_h"), F.col("sensor").alias("x"),
-                            F.col("value").alias("xv"))
-         .withColumn("lag_hours", F.explode(F.array(*[F.lit(int(k)) for k in lags])))
-         .withColumn("_t", F.col("_h") + F.make_dt_interval(F.lit(0), F.col("lag_hours"))))
-    b = hourly_long.select("device_id", F.col("hour_ts").alias("_t"), F.col("sensor").alias("y"),
-                           F.col("value").alias("yv"))
-    return (a.join(b, ["device_id", "_t"]).groupBy("device_id", "x", "y", "lag_hours")
-            .agg(safe_corr("xv", "yv").alias("correlation")))
+def lag_matrix(hourly_long: DataFrame, lags=range(-12, 13), block_hours: int = 240) -> DataFrame:
+    """corr(x[t], y[t + k]) for every ordered sensor pair and lag on long hourly rows (hour_ts, sensor, value).
+
+    Halo-blocked: the hours of a device and sensor become a dense array per block of ``block_hours``, with as
+    many hours of the neighbouring blocks at either end as the largest lag needs.  Every pair and lag is then a
+    pair of slices of one block's arrays, so what is shuffled does not grow with the number of lags.
+    """
+    lags = [int(k) for k in lags]
+    halo = max((abs(k) for k in lags), default=0)
+    size = max(block_hours, halo, 1)
+    hour = F.floor(epoch_micros("hour_ts") / 3_600_000_000)
+    rows = hourly_long.select("device_id", "sensor", F.col("value").cast("double").alias("value"), hour.alias("_h"))
+    own = F.floor(F.col("_h") / size)
+    place = F.col("_h") - own * size
+    blocks = F.array_compact(F.array(own, F.when(place < halo, own - 1), F.when(place >= size - halo, own + 1)))
+    rows = rows.select("device_id", "sensor", "value", "_h", F.explode(blocks).alias("_b"))
+    rows = rows.withColumn("_o", (F.col("_h") - F.col("_b") * size + halo).cast("int"))
+    dense = rows.groupBy("device_id", "_b", "sensor").agg(F.map_from_entries(F.collect_list(F.struct("_o", "value"))).alias("_m"))
+    every = F.sequence(F.lit(0), F.lit(size + 2 * halo - 1))
+    dense = dense.select("device_id", "_b", F.struct("sensor", F.transform(every, lambda i: F.element_at("_m", i)).alias("v")).alias("_s"))
+    block = dense.groupBy("device_id", "_b").agg(F.collect_list("_s").alias("_s"))
+    pair = (block.select("device_id", "_s", F.explode("_s").alias("_x")).select("device_id", "_x", F.explode("_s").alias("_y"))
+            .select("device_id", "_x", "_y", F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag_hours")))
+    here = F.slice("_x.v", F.lit(halo + 1), F.lit(size))
+    there = F.slice("_y.v", F.lit(halo + 1) + F.col("lag_hours"), F.lit(size))
+    both = (pair.select("device_id", F.col("_x.sensor").alias("x"), F.col("_y.sensor").alias("y"), "lag_hours",
+                        F.explode(F.arrays_zip(here.alias("xv"), there.alias("yv"))).alias("_v"))
+            .where("_v.xv is not null and _v.yv is not null").select("device_id", "x", "y", "lag_hours", "_v.xv", "_v.yv"))
+    return both.groupBy("device_id", "x", "y", "lag_hours").agg(safe_corr("xv", "yv").alias("correlation"))
 
 
 def seasonal_decompose(hourly: DataFrame, col: str = "temp") -> DataFrame:

@@ -147,6 +147,16 @@ def q_moving_average(spark, sf_dir):
         "device_id", "gw_timestamp", "light", "light_ma")
 
 
+@register("moving_average_rows", S.cte(**S.base("r1")) + """
+select device_id, gw_timestamp, light, case when count(*) over w >= 10 then avg(cast(light as double)) over w end as light_ma
+from clean window w as (partition by device_id order by gw_timestamp, timestamp_monotonic, light rows between 9 preceding and current row)""",
+          doubles=("light_ma",), ts=("gw_timestamp",), ints=("device_id",))
+def q_moving_average_rows(spark, sf_dir):
+    """The export's smoothing over ten readings."""
+    return A.moving_average_rows(clean(spark, sf_dir), "light", rows=10, min_rows=10).select(
+        "device_id", "gw_timestamp", "light", "light_ma")
+
+
 @register("suppress_false_positives", S.cte(**AZ(), fb="""select cast(user_id % 2 as int) as device_id,
     'sound_level' as sensor, ts as gw_timestamp from events where event_type = 'error'""") + """
 select * from az anti join fb using (device_id, sensor, gw_timestamp)""",

@@ -61,10 +61,10 @@ select k.device_id, k.position, k."column", round((_rows - _n) / _rows * 100, 3)
 from k left join ex on ex.device_id = k.device_id and ex."column" = k."column" join tr on tr.device_id = k.device_id"""
 
 
-@register("column_summary", S.cte(raw=S.R1, clean=S.clean_mask("raw")) + " select * from (" + _summary_sql("clean") + ") s",
+@register("column_summary", S.cte(raw=S.R1) + " select * from (" + _summary_sql("raw") + ") s",
           doubles=("null_rate", "min", "max"), ts=("date_min", "date_max"), ints=("device_id", "position"))
 def q_column_summary(spark, sf_dir):
-    return quality.column_summary(clean(spark, sf_dir))
+    return quality.column_summary(raw(spark, sf_dir))
 
 
 @register("quality_flags", S.cte(raw=S.R1) + f"""

@@ -428,3 +428,63 @@ def test_previous_similar_is_brute_force(spark):
                        for x in rows), key=str)
         assert got == want
     assert A.previous_similar(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("w", [1, 2, 10])
+def test_row_count_average_equals_a_whole_series_window(spark, w):
+    """Gaps longer than buckets, sparse buckets, ties in time, NULL values, several devices."""
+    import random
+
+    from pyspark.sql import Window
+
+    r = random.Random(w)
+    rows, t = [], 0.0
+    for i in range(400):
+        t += r.choice([0, 1, 60, 60, 900, 4000, 30_000])
+        rows.append({"device_id": i % 2, "gw_timestamp": T0 + dt.timedelta(seconds=t), "timestamp_monotonic": float(i), "humidity": r.choice([None, float(i)])})
+    df = readings(spark, rows).repartition(4)
+    win = Window.partitionBy("device_id").orderBy("gw_timestamp", "timestamp_monotonic").rowsBetween(-(w - 1), 0)
+    for least in (1, w):
+        want = df.withColumn("ma", F.when(F.count(F.lit(1)).over(win) >= least, F.avg("humidity").over(win)))
+        got = A.moving_average_rows(df, "humidity", rows=w, name="ma", min_rows=least)
+        assert got.columns == want.columns
+        a, b = ({(x.device_id, x.timestamp_monotonic): x.ma for x in d.collect()} for d in (got, want))
+        assert a.keys() == b.keys() and all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-9) for k in b)
+
+
+def test_lag_matrix_blocks_equal_a_join(spark):
+    """Blocks shorter than the series and than the lags, empty hours, sensors of different length."""
+    import random
+
+    r = random.Random(2)
+    rows = [(d, T0 + dt.timedelta(hours=h), s, r.choice([1.0, 2.0, 5.0, r.random()])) for d in (0, 1) for h in range(-30, 200) for s in ("a", "b", "c")
+            if r.random() < 0.7 and not (s == "c" and h > 60)]
+    df = spark.createDataFrame(rows, "device_id int, hour_ts timestamp_ntz, sensor string, value double")
+    value = {(d, t, s): v for d, t, s, v in rows}
+    for lags, size in ((range(-12, 13), 240), (range(-12, 13), 24), ((0, 7, -20), 10)):
+        got = {(x.device_id, x.x, x.y, x.lag_hours): x.correlation for x in stats.lag_matrix(df, lags, size).collect()}
+        for d in (0, 1):
+            for x in "abc":
+                for y in "abc":
+                    for k in lags:
+                        pairs = [(v, value[d, t + dt.timedelta(hours=k), y]) for (e, t, s), v in value.items()
+                                 if e == d and s == x and (d, t + dt.timedelta(hours=k), y) in value]
+                        assert got[d, x, y, k] == pytest.approx(float(pd.Series([a for a, _ in pairs]).corr(pd.Series([b for _, b in pairs]))))
+        assert len(got) == 2 * 9 * len(lags)
+
+
+def test_profiles_count_distinct_values_over_hours(spark):
+    """Values that return in other hours count once; -0.0 is 0.0; NULL times and all-NULL columns."""
+    from roomtrace.operators import quality
+
+    rows = [{"gw_timestamp": T0 + dt.timedelta(minutes=20 * (i % 30)), "humidity": [0.0, -0.0, 1.5, None][i % 4], "light": i % 7, "color_hex": f"#{i % 3}"} for i in range(60)]
+    rows.append({"gw_timestamp": None, "light": 99, "color_hex": None})
+    df = readings(spark, rows)
+    got = {x.column: x for x in quality.schema_profile(df).collect()}
+    assert {c: got[c].unique_count for c in ("gw_timestamp", "humidity", "light", "color_hex", "timestamp_iso")} == {
+        "gw_timestamp": 30, "humidity": 2, "light": 8, "color_hex": 3, "timestamp_iso": 0}
+    near = {x.column: x.unique_count for x in quality.schema_profile(df, approx=True).collect()}
+    assert near["light"] == 8 and near["color_hex"] == 3
+    text = {x.column: x for x in quality.column_summary(df).collect()}
+    assert text["light"].unique_nonnull == 8 and text["gw_timestamp"].unique_nonnull == 30 and text["color_hex"].type == "categorical"
+    assert quality.schema_profile(df.limit(0)).count() == 0 and quality.column_summary(df.limit(0)).count() == 0
