@@ -218,23 +218,38 @@ def discomfort(temp, hum, sound) -> Column:
             + clip_lower(s.cast("double") - 120.0, 0) * 0.03)
 
 
-def _temp_score(t: Column) -> Column:
-    return (F.when(t.between(68, 74), 100.0).when(t.between(65, 77), 80.0).when(t.between(60, 80), 60.0)
-            .otherwise(F.greatest(F.lit(0.0), 100 - F.abs(t - 71) * 5)))
+# Ideal ranges, and how far the two wider bands reach below and above them.
+COMFORT_IDEAL = {"temperature": (68, 74), "humidity": (40, 50), "light": (500, 2000), "sound": (0, 100)}
+COMFORT_WIDER = {"temperature": ((3, 3), (8, 6)), "humidity": ((5, 5), (10, 10)), "light": ((300, 1000),), "sound": ((0, 100), (0, 300))}
 
 
-def _humidity_score(h: Column) -> Column:
-    return (F.when(h.between(40, 50), 100.0).when(h.between(35, 55), 80.0).when(h.between(30, 60), 60.0)
-            .otherwise(F.greatest(F.lit(0.0), 100 - F.abs(h - 45) * 3)))
+def _banded(v: Column, ideal, wider) -> Column:
+    """100 within the ideal range, 80 and 60 within the wider ones (unfinished ``when``)."""
+    lo, hi = (x if isinstance(x, Column) else F.lit(x) for x in ideal)
+    out = F.when(v.between(lo, hi), 100.0)
+    for score, (below, above) in zip((80.0, 60.0), wider):
+        out = out.when(v.between(lo - below, hi + above), score)
+    return out
 
 
-def _light_score(lt: Column) -> Column:
-    return F.when(lt.between(500, 2000), 100.0).when(lt.between(200, 3000), 80.0).otherwise(60.0)
+def _temp_score(t: Column, ideal=COMFORT_IDEAL["temperature"]) -> Column:
+    middle = (ideal[0] + ideal[1]) / 2
+    return _banded(t, ideal, COMFORT_WIDER["temperature"]).otherwise(F.greatest(F.lit(0.0), 100 - F.abs(t - middle) * 5))
 
 
-def _sound_score(s: Column) -> Column:
-    return (F.when(s < 100, 100.0).when(s < 200, 80.0).when(s < 400, 60.0)
-            .otherwise(F.greatest(F.lit(0.0), 100 - (s - 400) / 5)))
+def _humidity_score(h: Column, ideal=COMFORT_IDEAL["humidity"]) -> Column:
+    middle = (ideal[0] + ideal[1]) / 2
+    return _banded(h, ideal, COMFORT_WIDER["humidity"]).otherwise(F.greatest(F.lit(0.0), 100 - F.abs(h - middle) * 3))
+
+
+def _light_score(lt: Column, ideal=COMFORT_IDEAL["light"]) -> Column:
+    return _banded(lt, ideal, COMFORT_WIDER["light"]).otherwise(60.0)
+
+
+def _sound_score(s: Column, ideal=COMFORT_IDEAL["sound"]) -> Column:
+    most = ideal[1]
+    return (F.when(s < most, 100.0).when(s < most + 100, 80.0).when(s < most + 300, 60.0)
+            .otherwise(F.greatest(F.lit(0.0), 100 - (s - (most + 300)) / 5)))
 
 
 # Sub-score weights and rating cut-offs.
@@ -242,11 +257,17 @@ COMFORT_WEIGHTS = {"temperature": 0.4, "humidity": 0.3, "light": 0.15, "sound":
 COMFORT_RATINGS = [(90, "Excellent"), (75, "Good"), (60, "Fair"), (40, "Poor")]
 
 
-def comfort_scores(temp, hum, light, sound, weights: dict | None = None) -> dict[str, Column]:
-    """The four sub-scores, overall (0-100, 1 digit) and rating; NULL input gives NULL."""
+def comfort_scores(temp, hum, light, sound, weights: dict | None = None, ideal: dict | None = None) -> dict[str, Column]:
+    """The four sub-scores, overall (0-100, 1 digit) and rating; NULL input gives NULL.
+
+    ``weights`` and ``ideal`` (``temperature``, ``humidity``, ``light``, ``sound`` -> lowest and highest ideal
+    value; of sound the highest counts) replace the defaults; ideal values may be columns, e.g. of a table of
+    profiles per device.  The wider bands keep their distance from the ideal range.
+    """
     w = dict(COMFORT_WEIGHTS, **(weights or {}))
+    r = dict(COMFORT_IDEAL, **(ideal or {}))
     t, h, lt, s = _c(temp), _c(hum), _c(light).cast("double"), _c(sound).cast("double")
-    ts, hs, ls, ss = _temp_score(t), _humidity_score(h), _light_score(lt), _sound_score(s)
+    ts, hs, ls, ss = _temp_score(t, r["temperature"]), _humidity_score(h, r["humidity"]), _light_score(lt, r["light"]), _sound_score(s, r["sound"])
     any_null = t.isNull() | h.isNull() | lt.isNull() | s.isNull()
     raw = ts * w["temperature"] + hs * w["humidity"] + ls * w["light"] + ss * w["sound"]
     rating = F.when(raw >= COMFORT_RATINGS[0][0], COMFORT_RATINGS[0][1])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +13,14 @@ from roomtrace.schema import DEFAULT_TZ, EXTRA_RANGE_HOURS, PERIOD_MAP, RANGE_HO
 
 
 def range_hours(token) -> int | None:
-    """Hours back from ``as_of`` for a token; ``all``/None -> None; unknown -> 1 (the live default)."""
+    """Hours back from ``as_of`` for a token; ``all``/None -> None; unknown -> 1 (the live default, with a warning)."""
     if token is None:
         return None
     if token in RANGE_HOURS:
         return RANGE_HOURS[token]
     if token in EXTRA_RANGE_HOURS:
         return EXTRA_RANGE_HOURS[token]
+    warnings.warn(f"unknown time range {token!r}: the last hour is taken", stacklevel=3)
     return 1
 
 
@@ -44,7 +46,8 @@ def time_range(df: DataFrame, token=None, as_of=None, ts_col: str = "gw_timestam
     ``as_of`` is explicit (a literal keeps the filter pushed down to the
     Parquet scan).  When omitted, it is each device's newest reading, taken
     from a one-row-per-device aggregate joined back on ``device_id``.
-    A frame read from the Parquet store is also filtered by its date partitions.
+    A frame read from the Parquet store is also filtered by its date partitions, without ``as_of`` by those that
+    its partition values say can hold the range.
     """
     ts = F.col(ts_col)
     stored = ts_col == "gw_timestamp" and STORE_DATE in df.columns
@@ -65,6 +68,11 @@ def time_range(df: DataFrame, token=None, as_of=None, ts_col: str = "gw_timestam
         return df.where((ts >= start) & (F.col(STORE_DATE) >= F.to_date(start)) if stored else ts >= start)
     from roomtrace.operators.joins import join_small
 
+    if stored:
+        # the newest day of each device is a partition value; the smallest of them bounds the days to read, as a
+        # scalar subquery that the scan's partition filter takes
+        days = df.groupBy("device_id").agg(F.max(STORE_DATE).alias("_d"))
+        df = df.where(F.col(STORE_DATE) >= days.agg(F.date_sub(F.min("_d"), -(-hours // 24))).scalar())
     newest = df.groupBy("device_id").agg(F.max(ts_col).alias("_as_of"))
     return (join_small(df, newest, "device_id")
             .where(ts >= F.col("_as_of") - F.make_dt_interval(F.lit(0), F.lit(hours)))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from roomtrace.functions import exprs as X
 from roomtrace.functions.exprs import hour_floor, pct
+from roomtrace.operators.insights import insight_row, num
+from roomtrace.operators.joins import join_small
 from roomtrace.operators.series import top_n
 
 
@@ -37,6 +39,38 @@ def comfort_timeline(df: DataFrame, weights: dict | None = None) -> DataFrame:
                      X.heat_index("temperature_sht", "humidity").alias("heat_index"))
 
 
+def comfort_profile(df: DataFrame, profiles: DataFrame, weights: dict | None = None) -> DataFrame:
+    """Comfort index per reading by each device's own ideal ranges.
+
+    ``profiles``: a row a device with ``device_id`` and any of ``temperature_lo/_hi``, ``humidity_lo/_hi``,
+    ``light_lo/_hi``, ``sound_hi``; what is missing or NULL, and devices without a row, take the defaults.
+    """
+    def bound(name: str, default):
+        return F.coalesce(F.col(f"_p.{name}").cast("double"), F.lit(float(default))) if name in profiles.columns else F.lit(float(default))
+
+    p = profiles.select("device_id", F.struct(*profiles.columns).alias("_p"))
+    j = join_small(df, p, "device_id", "left")
+    ideal = {k: (bound(f"{k}_lo", lo), bound(f"{k}_hi", hi)) for k, (lo, hi) in X.COMFORT_IDEAL.items()}
+    s = X.comfort_scores("temperature_sht", "humidity", "light", "sound_level", weights, ideal)
+    return j.select("device_id", "gw_timestamp", *[v.alias(k) for k, v in s.items()])
+
+
+def insight_health(loc: DataFrame, hourly: DataFrame, good: float = 75, stable_hpa: float = 2.0) -> DataFrame:
+    """Insight rows: the share of readings in the comfort zone, and how often pressure was stable: the share of
+    hours whose median differs by at most ``stable_hpa`` from that of three hours before."""
+    share = health_share(loc, good).where("pct_in_comfort_zone is not null")
+    text = F.format_string("%s%% of the readings lie in the comfort zone", num("pct_in_comfort_zone", 0))
+    a = insight_row(share, "health", F.when(F.col("pct_in_comfort_zone") < 50, "medium").otherwise("low"), F.lit("Time in the comfort zone"), text,
+                    F.lit(None).cast("string"), F.col("pct_in_comfort_zone"))
+    t = pressure_trend(hourly, 3, stable_hpa).groupBy("device_id").agg(
+        (F.count_if(F.col("trend") == "stable") / F.count("trend") * 100).alias("pct")).where("pct is not null")
+    steady = F.col("pct") >= 90
+    b = insight_row(t, "health", F.lit("low"), F.when(steady, "Steady air pressure").otherwise("Changing air pressure"),
+                    F.format_string("Pressure kept within %s hPa over three hours %s%% of the time", num(F.lit(stable_hpa)), num("pct", 0)),
+                    F.lit("pressure"), F.col("pct"))
+    return a.unionByName(b)
+
+
 def hourly_comfort(df: DataFrame, weights: dict | None = None) -> DataFrame:
     ct = comfort_timeline(df, weights)
     return ct.groupBy("device_id", hour_floor("gw_timestamp").alias("hour_ts")).agg(

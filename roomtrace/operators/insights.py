@@ -42,7 +42,7 @@ def signed(x, digits: int = 1) -> F.Column:
     return F.concat(F.when(x >= 0, "+").otherwise(""), num(x, digits))
 
 
-def _rows(df: DataFrame, category: str, priority, title, description, sensor, metric) -> DataFrame:
+def insight_row(df: DataFrame, category: str, priority, title, description, sensor, metric) -> DataFrame:
     return df.select("device_id", F.lit(category).alias("category"), priority.alias("priority"),
                      title.alias("title"), description.alias("description"), sensor.alias("sensor"),
                      metric.cast("double").alias("metric"))
@@ -81,7 +81,7 @@ def trend_slopes(df: DataFrame, sensors=("temperature_sht", "humidity", "pressur
 def insight_trend(df: DataFrame, min_rows: int = 10, report: float = 0.5, high: float = 2.0, **kw) -> DataFrame:
     s = trend_slopes(df, **kw).where((F.col("n") >= min_rows) & (F.abs("daily_change") > report))
     direction = F.when(F.col("daily_change") > 0, "increasing").otherwise("decreasing")
-    return _rows(s, "trend", F.when(F.abs("daily_change") > high, "high").otherwise("medium"),
+    return insight_row(s, "trend", F.when(F.abs("daily_change") > high, "high").otherwise("medium"),
                  F.format_string("%s is %s", _name(), direction),
                  F.format_string("%s keeps %s: %s a day by linear fit", _name(), direction, signed("daily_change")),
                  F.col("sensor"), F.col("daily_change"))
@@ -97,7 +97,7 @@ def insight_weekend(df: DataFrame, sensors=("temperature_sht", "light", "sound_l
          .withColumn("pct", F.abs(F.try_divide(F.col("diff"), F.col("weekday_mean")) * 100))
          .where(F.col("pct") > min_pct))
     higher = F.when(F.col("diff") > 0, "weekends").otherwise("weekdays")
-    return _rows(g, "pattern", F.lit("medium"), F.format_string("%s stand out", F.initcap(higher)),
+    return insight_row(g, "pattern", F.lit("medium"), F.format_string("%s stand out", F.initcap(higher)),
                  F.format_string("Mean %s is %s above the rest of the week on %s", _name(), num(F.abs("diff")), higher),
                  F.col("sensor"), F.col("diff"))
 
@@ -110,7 +110,7 @@ def insight_anomaly(anoms: DataFrame) -> DataFrame:
         F.col("sensor").alias("sensor"), F.col("value").alias("value"), F.col("z_score").alias("z"),
         F.col("severity").alias("severity"))).alias("a"))
     a = latest.select("device_id", "a.*")
-    return _rows(a, "anomaly", F.lit("high"), F.format_string("Outlying %s", _name()),
+    return insight_row(a, "anomaly", F.lit("high"), F.format_string("Outlying %s", _name()),
                  F.format_string("%s outlier at %s: value %s, z-score magnitude %s", F.col("severity"),
                                  iso_str("t", micros=False, sep="T"), num("value", 2), num(F.abs("z"))),
                  F.col("sensor"), F.col("z"))
@@ -122,10 +122,10 @@ def insight_milestone(df: DataFrame, as_of=None, rows: int = 500_000, days: int
                                     F.max("gw_timestamp").alias("t1"))
     end = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.col("t1")
     g = g.withColumn("days", F.floor(seconds_between(end, F.col("t0")) / 86400))
-    a = _rows(g.where(F.col("n") > rows), "milestone", F.lit("low"), F.lit("Row count passed its mark"),
+    a = insight_row(g.where(F.col("n") > rows), "milestone", F.lit("low"), F.lit("Row count passed its mark"),
               F.format_string("%d readings are stored", F.col("n")), F.lit(None).cast("string"),
               F.col("n"))
-    b = _rows(g.where(F.col("days") >= days), "milestone", F.lit("low"), F.lit("Monitoring time passed its mark"),
+    b = insight_row(g.where(F.col("days") >= days), "milestone", F.lit("low"), F.lit("Monitoring time passed its mark"),
               F.format_string("First reading lies %d days back", F.col("days").cast("int")),
               F.lit(None).cast("string"), F.col("days"))
     return a.unionByName(b)
@@ -133,7 +133,7 @@ def insight_milestone(df: DataFrame, as_of=None, rows: int = 500_000, days: int
 
 def insight_correlation(findings: DataFrame, min_abs: float = 0.4) -> DataFrame:
     f = findings.where(F.col("abs_r") >= min_abs)
-    return _rows(f, "correlation", F.lit("medium"),
+    return insight_row(f, "correlation", F.lit("medium"),
                  F.format_string("%s and %s move together", _name("x"), _name("y")),
                  F.format_string("%s %s correlation between %s and %s (r = %s)", F.col("strength"),
                                  F.col("direction"), _name("x"), _name("y"), num("r", 2)),
@@ -161,7 +161,7 @@ def insight_vs_last_period(df: DataFrame, tz: str = "America/Chicago") -> DataFr
     m = m.withColumn("prev_mean", prev).withColumn("pct", F.try_divide(F.col("mean") - F.col("prev_mean"),
                                                                         F.col("prev_mean")) * 100)
     m = m.where(F.col("pct").isNotNull())
-    return _rows(m, "comparison", F.when(F.abs("pct") > 20, "medium").otherwise("low"),
+    return insight_row(m, "comparison", F.when(F.abs("pct") > 20, "medium").otherwise("low"),
                  F.format_string("%s in %s vs the month before", _name(), F.col("month")),
                  F.format_string("%s was %s%% %s than last month", _name(), num(F.abs("pct"), 0),
                                  F.when(F.col("pct") >= 0, "higher").otherwise("lower")),
@@ -180,7 +180,7 @@ def insight_arrival(loc: DataFrame) -> DataFrame:
     best = counts.groupBy("device_id").agg(F.min(F.struct((-F.col("days")).alias("k"), F.col("hour").alias("h")))
                                            .alias("m"))
     b = best.select("device_id", F.col("m.h").alias("hour"), (-F.col("m.k")).alias("days"))
-    return _rows(b, "pattern", F.lit("low"), F.lit("Typical arrival time"),
+    return insight_row(b, "pattern", F.lit("low"), F.lit("Typical arrival time"),
                  F.format_string("Sound usually jumps around %02d:00 on weekdays (%d days)", F.col("hour"),
                                  F.col("days")), F.lit("sound_level"), F.col("hour"))
 
@@ -193,7 +193,7 @@ def insight_quiet_week(df: DataFrame, tz: str = "America/Chicago", pct: float =
     tot = s.groupBy("device_id").agg(F.avg("sound_level").alias("overall"))
     j = wk.join(tot, "device_id").withColumn("pct", (F.col("m") - F.col("overall")) / F.col("overall") * 100)
     j = j.where(F.col("pct") < -pct)
-    return _rows(j, "pattern", F.lit("low"), F.lit("Quieter week"),
+    return insight_row(j, "pattern", F.lit("low"), F.lit("Quieter week"),
                  F.format_string("The week of %s was %s%% quieter than usual", F.col("week").cast("string"),
                                  num(F.abs("pct"), 0)), F.lit("sound_level"), F.col("pct"))
 

@@ -43,16 +43,13 @@ def compare_periods(df: DataFrame, period1: dict, period2: dict, sensors=None) -
 
 
 def compare_series(df: DataFrame, sensor: str, period1: dict, period2: dict) -> DataFrame:
-    """Rows of both periods for an overlay: period label and seconds since that period's start."""
-    out = None
-    for lab, p in (("period1", period1), ("period2", period2)):
-        start = _lit_ts(p["start"])
-        part = (df.where(_in(p) & F.col(sensor).isNotNull())
-                .select("device_id", F.lit(lab).alias("period"), "gw_timestamp",
-                        F.col(sensor).cast("double").alias("value"),
-                        seconds_between(F.col("gw_timestamp"), start).alias("elapsed_s")))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Rows of both periods for an overlay, from one scan: period label and seconds since that period's start."""
+    spans = (("period1", period1), ("period2", period2))
+    cells = F.array(*[F.when(_in(p), F.struct(F.lit(lab).alias("period"), seconds_between(F.col("gw_timestamp"), _lit_ts(p["start"])).alias("elapsed_s")))
+                      for lab, p in spans])  # a row may lie in both
+    rows = df.where((_in(period1) | _in(period2)) & F.col(sensor).isNotNull())
+    rows = rows.select("device_id", "gw_timestamp", F.col(sensor).cast("double").alias("value"), F.explode(F.array_compact(cells)).alias("c"))
+    return rows.select("device_id", "c.period", "gw_timestamp", "value", "c.elapsed_s")
 
 
 def insight_period_change(cmp: DataFrame, n: int = 3) -> DataFrame:

@@ -8,12 +8,12 @@ Spark limits partially before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomtrace.functions.exprs import hour_floor, pct, seconds_between, to_local
-from roomtrace.operators.series import top_n
+from roomtrace.operators.series import device_reboots, top_gaps, top_n
 from roomtrace.schema import CSV_FIELDNAMES, NUMERIC_SENSORS
 
 _NUMERIC_TYPES = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.DecimalType)
@@ -158,6 +158,28 @@ def provenance(raw: DataFrame, cleaned: DataFrame, tz: str = "America/Chicago",
             .withColumn("local_start", to_local("utc_start", tz)).withColumn("local_end", to_local("utc_end", tz)))
 
 
+def provenance_events(gaps: DataFrame, n_gaps: int = 8, n_reboots: int = 12, min_gap_s: float = 3600) -> DataFrame:
+    """What provenance lists of a device's record: its longest gaps (longest first) and its first reboots."""
+    reboot = device_reboots(gaps, n_reboots).select("device_id", F.lit("reboot").alias("kind"), "gw_timestamp", F.col("mono_gap_s").alias("seconds"))
+    gap = top_gaps(gaps, n_gaps, min_gap_s).select("device_id", F.lit("gap").alias("kind"), "gw_timestamp", F.col("gw_gap_s").alias("seconds"))
+    w = Window.partitionBy("device_id", "kind").orderBy(F.when(F.col("kind") == "gap", -F.col("seconds")), "gw_timestamp")
+    return gap.unionByName(reboot).withColumn("place", F.row_number().over(w))
+
+
+def provenance_record(raw: DataFrame, cleaned: DataFrame, gaps: DataFrame, tz: str = "America/Chicago") -> DataFrame:
+    """``provenance`` with the arrays ``major_gaps`` and ``device_reboots``, a row per device (for the payload)."""
+    ev = provenance_events(gaps)
+
+    def listed(kind: str) -> F.Column:
+        rows = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "gw_timestamp", "seconds"))))
+        return F.transform(rows, lambda x: F.struct(x["gw_timestamp"].alias("gw_timestamp"), x["seconds"].alias("seconds")))
+
+    lists = ev.groupBy("device_id").agg(listed("gap").alias("major_gaps"), listed("reboot").alias("device_reboots"))
+    nothing = F.array().cast("array<struct<gw_timestamp:timestamp_ntz,seconds:double>>")
+    out = provenance(raw, cleaned, tz).join(lists, "device_id", "left")
+    return out.withColumns({c: F.coalesce(c, nothing) for c in ("major_gaps", "device_reboots")})
+
+
 def first_rows(df: DataFrame, n: int = 5) -> DataFrame:
     return top_n(df, n, [F.asc("gw_timestamp")])
 

@@ -7,10 +7,13 @@ the unpivot is a narrow Expand (no shuffle) and one partially aggregated
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomtrace.functions.exprs import epoch_micros, hour_floor, month_str, pct, safe_corr, seconds_between
+from roomtrace.functions.timefn import time_range
 from roomtrace.operators.joins import join_small
 from roomtrace.operators.series import top_n
 from roomtrace.schema import NUMERIC_SENSORS
@@ -152,6 +155,31 @@ def weekly_pattern_diff(a: DataFrame, b: DataFrame) -> DataFrame:
             .withColumn("diff", F.col("value_a") - F.col("value_b")))
 
 
+def weekly_overlay(df: DataFrame, sensor: str, period1: dict, period2: dict, bin_minutes: int = 60, ts: str = "gw_timestamp") -> DataFrame:
+    """Means of two periods by (day of week, bin of ``bin_minutes`` from midnight) and their difference, from one
+    scan by conditional aggregates.  Bins without readings in either period are left out."""
+    def within(p):
+        c = F.lit(True)
+        if p.get("start") is not None:
+            c = c & (F.col(ts) >= F.lit(p["start"]).cast("timestamp_ntz"))
+        return c if p.get("end") is None else c & (F.col(ts) < F.lit(p["end"]).cast("timestamp_ntz"))
+
+    minute = F.hour(ts) * 60 + F.minute(ts)
+    v = F.col(sensor).cast("double")
+    g = df.where((within(period1) | within(period2)) & v.isNotNull()).groupBy(
+        "device_id", F.weekday(ts).alias("day_of_week"), (F.floor(minute / bin_minutes) * bin_minutes).cast("int").alias("minute")).agg(
+        F.avg(F.when(within(period1), v)).alias("value_a"), F.avg(F.when(within(period2), v)).alias("value_b"))
+    return g.withColumn("diff", F.col("value_a") - F.col("value_b"))
+
+
+def weekend_mornings(df: DataFrame, sensor: str, hours: tuple[int, int] = (6, 11), ts: str = "gw_timestamp") -> DataFrame:
+    """Mean of a sensor in the morning hours ``[from, to)`` of weekends and of weekdays, and their offset."""
+    v = F.col(sensor).cast("double")
+    g = df.where((F.hour(ts) >= hours[0]) & (F.hour(ts) < hours[1])).groupBy("device_id").agg(
+        F.avg(F.when(F.weekday(ts) >= 5, v)).alias("weekend_mean"), F.avg(F.when(F.weekday(ts) < 5, v)).alias("weekday_mean"))
+    return g.withColumn("weekend_offset", F.col("weekend_mean") - F.col("weekday_mean"))
+
+
 def weekly_blocks(df: DataFrame, sensor: str, block_hours: int = 2, ts: str = "gw_timestamp") -> DataFrame:
     """Means by (weekday/weekend, block of hours); flags the lowest and highest block per device."""
     d = df.select("device_id", F.when(F.weekday(ts) >= 5, "weekend").otherwise("weekday").alias("day_group"),
@@ -206,9 +234,13 @@ def day_hourly(df: DataFrame, sensor: str, day=None, ts: str = "gw_timestamp") -
     return spine.join(means, ["device_id", "date", "hour"], "left")
 
 
-def daily_aggregates_by_hour(df: DataFrame, sensor: str, ts: str = "gw_timestamp") -> DataFrame:
-    """Hours of each day -> avg, min, max, std, count of one sensor."""
+def daily_aggregates_by_hour(df: DataFrame, sensor: str, ts: str = "gw_timestamp", date: str | None = None) -> DataFrame:
+    """Hours of each day -> avg, min, max, std, count of one sensor; of one day only with ``date`` (ISO), whose
+    bounds are pushed down to the scan."""
     v = F.col(sensor).cast("double")
+    if date is not None:
+        day = dt.date.fromisoformat(date)
+        df = time_range(df, {"start": day.isoformat(), "end": (day + dt.timedelta(days=1)).isoformat()}, ts_col=ts)
     return df.groupBy("device_id", F.to_date(ts).alias("date"), F.hour(ts).alias("hour")).agg(
         F.avg(v).alias("avg"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_samp(v).alias("std"),
         F.count(v).alias("count"))

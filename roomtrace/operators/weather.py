@@ -8,10 +8,10 @@ beyond it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomtrace.functions.exprs import celsius_to_fahrenheit, pct, safe_corr
+from roomtrace.functions.exprs import EPOCH_NTZ, celsius_to_fahrenheit, pct, safe_corr
 from roomtrace.operators.joins import join_small
 from roomtrace.operators.series import lag_profile
 
@@ -70,6 +70,13 @@ def weather_compare(hw: DataFrame, wd: DataFrame) -> DataFrame:
     return h.join(d, "device_id")
 
 
-def outdoor_lag_profile(hw: DataFrame, lags=range(-24, 25, 2)) -> DataFrame:
-    """corr(outdoor[t], indoor[t + k]) over the joined hours, k = -24..24 step 2 (hour-based)."""
+def outdoor_lag_profile(hw: DataFrame, lags=range(-24, 25, 2), positional: bool = False) -> DataFrame:
+    """corr(outdoor[t], indoor[t + k]) over the joined hours, k = -24..24 step 2.
+
+    By default ``k`` are hours.  ``positional`` shifts by places in the sequence of joined rows, whatever hours
+    lie between them.
+    """
+    if positional:
+        place = F.row_number().over(Window.partitionBy("device_id").orderBy("hour_ts"))  # hourly rows of a device
+        hw = hw.withColumn("hour_ts", F.lit(EPOCH_NTZ).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), place))
     return lag_profile(hw, x="outdoor_temp_f", y="temp", lags=lags)

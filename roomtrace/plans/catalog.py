@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from roomtrace.functions.timefn import localize
 from roomtrace.operators.clean import clean_mask
 from roomtrace.plans.present import present, present_sql
-from roomtrace.sources.fixtures import readings_r1, readings_r2, weather_w1
+from roomtrace.sources.fixtures import readings_r1, readings_r2, readings_r3, weather_w1
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,7 +38,7 @@ def register(name: str, sql: str | None = None, doubles=(), ts=(), dates=(), int
 # --- shared inputs --------------------------------------------------------
 
 def raw(spark: SparkSession, sf_dir: str, fixture: str = "r1") -> DataFrame:
-    return readings_r1(spark, sf_dir) if fixture == "r1" else readings_r2(spark, sf_dir)
+    return {"r1": readings_r1, "r2": readings_r2, "r3": readings_r3}[fixture](spark, sf_dir)
 
 
 def clean(spark: SparkSession, sf_dir: str, fixture: str = "r1") -> DataFrame:
@@ -63,4 +63,5 @@ def load_all() -> None:
         catalog_anomalies,
         catalog_quality,
         catalog_sections,
+        catalog_effects,
     )

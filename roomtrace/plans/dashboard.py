@@ -15,8 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from roomtrace.functions.timefn import localize
-from roomtrace.operators import color, comfort, grain, insights, profiles, series, weather
-from roomtrace.operators.clean import clean_mask, infer_utc_offset, offset_frame, skip_malformed
+from roomtrace.operators import color, comfort, grain, insights, profiles, quality, series, weather
+from roomtrace.operators.clean import clean_mask, coerce_numeric, infer_utc_offset, offset_frame, skip_malformed
 from roomtrace.schema import DEFAULT_TZ
 from roomtrace.session import checkpoint_dir
 
@@ -85,6 +85,8 @@ def build_sections(readings: DataFrame, weather_hourly: DataFrame | None = None,
         "kpis": series.kpis(gaps),
         "major_gaps": series.top_gaps(gaps),
         "device_reboots": series.device_reboots(gaps),
+        "schema": quality.column_summary(coerce_numeric(readings)),
+        "provenance": quality.provenance_record(readings, cleaned, gaps, tz),
     }
     wcmp = obest = None
     if weather_hourly is not None:

@@ -8,7 +8,7 @@ API.  ``cte(...)`` assembles a WITH clause from named fragments.
 from __future__ import annotations
 
 from roomtrace.schema import DEFAULT_TZ
-from roomtrace.sources.fixtures import r1_sql, r2_sql, raw_audio_sql, raw_color_sql, w1_sql
+from roomtrace.sources.fixtures import r1_sql, r2_sql, r3_sql, raw_audio_sql, raw_color_sql, w1_sql
 
 TZ = DEFAULT_TZ
 
@@ -88,6 +88,7 @@ def hourly(src: str, tz: str = TZ) -> str:
 
 R1 = r1_sql()
 R2 = r2_sql()
+R3 = r3_sql()
 W1 = w1_sql()
 RAW_COLOR = raw_color_sql()
 RAW_AUDIO = raw_audio_sql()
@@ -95,5 +96,5 @@ RAW_AUDIO = raw_audio_sql()
 
 def base(fixture: str = "r1") -> dict[str, str]:
     """Standard CTE chain: raw -> clean (masked) -> local."""
-    raw = R1 if fixture == "r1" else R2
+    raw = {"r1": R1, "r2": R2, "r3": R3}[fixture]
     return {"raw": raw, "clean": clean_mask("raw"), "loc": localized("clean")}

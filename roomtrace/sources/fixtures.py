@@ -121,6 +121,50 @@ def readings_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s if s is not None else derive_r2(spark, sf_dir)
 
 
+# R3: R1 with the faults and effects that R1 lacks: rows stored twice, equal times, times and uptimes that are
+# missing, a rising temperature, humidity that follows the hour as temperature does, twice the light on weekends
+# and a week of half the sound.
+_R3_SPARK = {
+    1: "case when event_id % 401 = 0 then null when event_id % 7 = 0 then "
+       "cast(concat(cast(to_date(ts) as string), ' ', lpad(cast(hour(ts) as string), 2, '0'), ':00:00') as timestamp_ntz) else ts end as gw_timestamp",
+    2: "case when event_id % 307 = 0 then null else cast(event_id % 997 as double) * 30 end as timestamp_monotonic",
+    4: "case when event_id % 97 = 0 then null else 60.0D + day(ts) * 0.75D + hour(ts) * 0.5D + (event_id % 17) * 0.75D end as temperature_sht",
+    5: "cast(15 + day(ts) + hour(ts) + event_id % 3 as double) as humidity",
+    7: "cast(case when event_id % 613 = 0 then 90000 else cast(floor(value * 10) as int) * greatest(0, 7 - abs(cast(hour(ts) as int) - 13)) "
+       "* case when weekday(ts) >= 5 then 2 else 1 end end as bigint) as light",
+    8: "cast(floor((cast(get_json_object(props, '$.k') as int) + 100) / case when day(ts) between 8 and 14 then 2 else 1 end) as bigint) as sound_level",
+}
+_R3_DUCK = {
+    1: "case when event_id % 401 = 0 then null when event_id % 7 = 0 then date_trunc('hour', ts) else ts end as gw_timestamp",
+    2: "case when event_id % 307 = 0 then null else cast(event_id % 997 as double) * 30 end as timestamp_monotonic",
+    4: "case when event_id % 97 = 0 then null else 60.0::double + day(ts) * 0.75::double + hour(ts) * 0.5::double "
+       "+ (event_id % 17) * 0.75::double end as temperature_sht",
+    5: "cast(15 + day(ts) + hour(ts) + event_id % 3 as double) as humidity",
+    7: "cast(case when event_id % 613 = 0 then 90000 else cast(floor(value * 10) as int) * greatest(0, 7 - abs(cast(hour(ts) as int) - 13)) "
+       "* case when isodow(ts) >= 6 then 2 else 1 end end as bigint) as light",
+    8: "cast(floor((cast(json_extract_string(props, '$.k') as int) + 100) / case when day(ts) between 8 and 14 then 2 else 1 end) as bigint) as sound_level",
+}
+
+
+def _r3(columns: list[str], changed: dict[int, str]) -> list[str]:
+    """R1's columns with those of R3 in their places."""
+    out = [c.replace("{T}", "ts") for c in columns]
+    for i, c in changed.items():
+        out[i] = c
+    return out
+
+
+def readings_r3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3: two devices, one month, with faults and effects; every 101st row is stored twice."""
+    rows = events(spark, sf_dir).selectExpr("*", "explode(if(event_id % 101 = 0, array(0, 1), array(0))) as copy")
+    return rows.selectExpr(*_r3(_R1_SPARK, _R3_SPARK))
+
+
+def r3_sql() -> str:
+    cols = ",\n  ".join(_r3(_R1_DUCK, _R3_DUCK))
+    return f"select\n  {cols}\nfrom (select * from events union all select * from events where event_id % 101 = 0) ev"
+
+
 def r1_sql() -> str:
     cols = ",\n  ".join(e.replace("{T}", "ts") for e in _R1_DUCK)
     return f"select\n  {cols}\nfrom events"
