@@ -3,10 +3,14 @@
 A text is cut into pieces that cover all its bytes: a piece ends at a line end, and after a word whose
 hash is divisible by a step (``FINE`` among the first ``FINE_WORDS`` words, ``COARSE`` behind them), so
 that pieces are found again where text has been moved.  Pieces hash to leaves, the leaves of a line to
-a paragraph node, ``SECTION`` paragraphs to a section node, sections to the root.  A fingerprint is
-``root:fine leaves:coarse leaves`` in hexadecimal: equal roots mean equal texts, the leaves give the
-likeness of two texts (Dice's measure, a leaf weighing its step), and ``changed_pieces`` walks down the
-branches that differ to the places of an edit.
+a paragraph node, ``SECTION`` paragraphs to a section node, sections to the root.  A fingerprint is the tree,
+``root:sizes:sections:paragraphs:leaves`` in hexadecimal: equal roots mean equal texts.  The likeness of two
+texts (Dice's measure, a leaf weighing its step) is found by walking down both trees: sections that both have
+are taken whole, then paragraphs of the other sections, then leaves of the other paragraphs.
+``changed_pieces`` walks down the branches that differ to the places of an edit.
+
+The nodes of a fingerprint have as many digits as its number of leaves needs for texts with nothing in common to
+share few of them by chance (one in four thousand) (``SPARE``); of two fingerprints the shorter digits count.
 
 Defined results: a null text is an empty text (likeness of two empty texts: 1); documents follow each
 other by ``doc_id``, equal ids by a hash of the text, null ids last, and the last one is followed by the
@@ -31,7 +35,7 @@ from roomtrace.llm.common import map_arrow, mix, slices, span_hashes, text_buffe
 
 FINE, COARSE, FINE_WORDS = 2, 8, 64
 SECTION = 16  # paragraphs in a section
-LEAF = 5  # hexadecimal digits of a leaf in a fingerprint
+SPARE = 4096  # values of a node for each leaf of its text
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,24 +80,95 @@ def tree(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def fingerprints(texts: pa.Array) -> list[str]:
     t = tree(texts)
-    short = (t["leaves"] >> np.uint64(64 - 4 * LEAF)).astype(">u4").tobytes().hex()
-    short = [short[i + 8 - LEAF:i + 8] for i in range(0, len(short), 8)]
-    at = np.searchsorted(t["leaf_row"], np.arange(len(t["roots"]) + 1)).tolist()
-    # fine leaves come before coarse ones in each row
-    split = (np.append(0, np.cumsum(t["fine"]))[at[1:]] - np.append(0, np.cumsum(t["fine"]))[at[:-1]]).tolist()
-    return [f"{r:016x}:{''.join(short[a:a + k])}:{''.join(short[a + k:b])}" for r, a, b, k in zip(t["roots"].tolist(), at, at[1:], split)]
+    n_rows = len(t["roots"])
+    leaf_at = np.searchsorted(t["leaf_row"], np.arange(n_rows + 1))
+    para_row = t["leaf_row"][t["para_first"]]
+    para_at = np.searchsorted(para_row, np.arange(n_rows + 1))
+    sec_at = np.searchsorted(para_row[t["sec_first"]], np.arange(n_rows + 1))
+    size = np.diff(np.append(t["para_first"], len(t["leaves"])))
+    longest = np.zeros(n_rows, np.int64)
+    np.maximum.at(longest, para_row, size)
+    fine = np.append(0, np.cumsum(t["fine"]))[leaf_at]  # fine leaves come before coarse ones in each row
+    digits = np.maximum(4, np.ceil(np.log2(SPARE * np.maximum(np.diff(leaf_at), 1)) / 4).astype(np.int64))
+
+    def shown(values: np.ndarray, n: int) -> str:
+        """First ``n`` digits of each value."""
+        return np.frombuffer(values.astype(">u8").tobytes().hex().encode(), np.uint8).reshape(-1, 16)[:, :n].tobytes().decode()
+
+    text = {int(w): [shown(t[k], int(w)) for k in ("sections", "paras", "leaves")] for w in np.unique(digits)}
+    out = []
+    for r, (root, w, most, k) in enumerate(zip(t["roots"].tolist(), digits.tolist(), longest.tolist(), np.diff(fine).tolist())):
+        sec, par, leaf = text[w]
+        c = max(1, (most.bit_length() + 3) // 4)  # digits of a paragraph's number of leaves
+        sizes = "".join([f"{x:0{c}x}" for x in size[para_at[r]:para_at[r + 1]].tolist()])
+        out.append(f"{root:016x}:{w:x}{c:x}{k:x}:{sec[w * sec_at[r]:w * sec_at[r + 1]]}:{par[w * para_at[r]:w * para_at[r + 1]]}{sizes}:"
+                   f"{leaf[w * leaf_at[r]:w * leaf_at[r + 1]]}")
+    return out
+
+
+class _Tree:
+    """A fingerprint's nodes, their first ``w`` digits each."""
+
+    def __init__(self, mark: str, w: int):
+        _, head, sections, paras, leaves = mark.split(":")
+        own, c, self.fine = int(head[0], 16), int(head[1], 16), int(head[2:], 16)
+        n = len(paras) // (own + c)
+        sizes = paras[n * own:]
+        self.sections = [sections[i:i + w] for i in range(0, len(sections), own)]
+        self.paras = [paras[i:i + w] for i in range(0, n * own, own)]
+        self.leaves = [leaves[i:i + w] for i in range(0, len(leaves), own)]
+        ends = [0]
+        for i in range(0, n * c, c):
+            ends.append(ends[-1] + int(sizes[i:i + c], 16))
+        self.at = ends
+
+    def weight(self, i: int, j: int) -> int:
+        """Of leaves ``i`` to ``j``."""
+        k = min(max(self.fine - i, 0), j - i)
+        return FINE * k + COARSE * (j - i - k)
 
 
 def likeness(a: str, b: str) -> float:
-    """Likeness of two fingerprints, from 0 to 1."""
+    """Likeness of two fingerprints, from 0 to 1: the weight of the branches that both have, by that of both."""
     if a == b:
         return 1.0
-    common = total = 0
-    for x, y, weight in zip(a.split(":")[1:], b.split(":")[1:], (FINE, COARSE)):
-        x, y = ([s[i:i + LEAF] for i in range(0, len(s), LEAF)] for s in (x, y))
-        common += 2 * weight * (Counter(x) & Counter(y)).total()
-        total += weight * (len(x) + len(y))
-    return common / total if total else 1.0
+    w = min(int(x[17], 16) for x in (a, b))
+    x, y = _Tree(a, w), _Tree(b, w)
+    total = sum(t.weight(0, len(t.leaves)) for t in (x, y))
+    if not total:
+        return 1.0
+    common = 0
+    # what is left of each tree, level by level: sections, paragraphs, leaves
+    left = []
+    both = Counter(x.sections) & Counter(y.sections)
+    for t in (x, y):
+        still, rest = both.copy(), []
+        for i, h in enumerate(t.sections):
+            inside = range(SECTION * i, min(SECTION * (i + 1), len(t.paras)))
+            if still[h] > 0:
+                still[h] -= 1
+                common += t.weight(t.at[inside.start], t.at[inside.stop])
+            else:
+                rest.extend(inside)
+        left.append(rest)
+    both = Counter(x.paras[i] for i in left[0]) & Counter(y.paras[i] for i in left[1])
+    for k, t in enumerate((x, y)):
+        still, rest = both.copy(), []
+        for i in left[k]:
+            if still[t.paras[i]] > 0:
+                still[t.paras[i]] -= 1
+                common += t.weight(t.at[i], t.at[i + 1])
+            else:
+                rest.extend(range(t.at[i], t.at[i + 1]))
+        left[k] = rest
+    both = Counter(x.leaves[i] for i in left[0]) & Counter(y.leaves[i] for i in left[1])
+    for k, t in enumerate((x, y)):
+        still = both.copy()
+        for i in reversed(left[k]):  # coarse leaves first
+            if still[t.leaves[i]] > 0:
+                still[t.leaves[i]] -= 1
+                common += FINE if i < t.fine else COARSE
+    return common / total
 
 
 def changed_pieces(a: str, b: str) -> list[tuple[int, int]]:

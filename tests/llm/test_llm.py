@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -448,6 +449,92 @@ def test_fingerprints(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def plain_tree(text):
+    """Root and sections of paragraphs of (hash, weight) leaves, restated with plain integers."""
+    full, mult = (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & full
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    def of_bytes(b):
+        h, power = 0, 1
+        for x in b:
+            h, power = (h + (x + 1) * power) & full, power * mult & full
+        return mixed((h + len(b)) & full)
+
+    def node(values):
+        return mixed((sum(mixed((v + (k + 1) * 0x9E3779B97F4A7C15) & full) for k, v in enumerate(values)) + len(values)) & full)
+
+    data = text.encode()
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
+    cuts = {e for k, (s, e) in enumerate(found) if of_bytes(data[s:e]) % (2 if k < 64 else 8) == 0}
+    cuts |= {k + 1 for k, x in enumerate(data) if x == 10} | {len(data)}
+    cuts = sorted(c for c in cuts if c > 0)
+    paras, new = [], True
+    for begin, end in zip([0, *cuts], cuts):
+        if new:
+            paras.append([])
+        weight = 2 if sum(s < begin for s, _ in found) < 64 else 8
+        paras[-1].append((of_bytes(data[begin:end]), weight))
+        new = data[end - 1] == 10
+    sections = [paras[k:k + 16] for k in range(0, len(paras), 16)]
+    mark = lambda s: node([node([h for h, _ in p]) for p in s])
+    return node([mark(s) for s in sections]) if sections else 0, [(mark(s), [(node([h for h, _ in p]), p) for p in s]) for s in sections]
+
+
+def plain_likeness(a, b):
+    (ra, sa), (rb, sb) = a, b
+    if ra == rb:
+        return 1.0
+
+    def weight(nodes):
+        return sum(weight(c) if isinstance(c, list) else c for _, c in nodes)
+
+    total, common = weight(sa) + weight(sb), 0
+    x, y = sa, sb
+    for level in range(3):
+        both = collections.Counter(h for h, _ in x) & collections.Counter(h for h, _ in y)
+        rests = []
+        for side in (x, y):
+            still, rest = both.copy(), []
+            for h, c in (side if level < 2 else sorted(side, key=lambda n: -n[1])):
+                if still[h] > 0:
+                    still[h] -= 1
+                    common += weight([(h, c)])
+                else:
+                    rest.append((h, c))
+            rests.append([n for _, c in rest for n in c] if level < 2 else rest)
+        x, y = rests
+    return common / total
+
+
+def test_fingerprints_are_the_plain_trees():
+    r = random.Random(6)
+    texts = ["", "one", "\n\n", " \n x"] + [t or "" for _, t, _ in awkward(n=20) if len(t or "") < 20_000]
+    texts += ["\n".join(" ".join(f"w{r.randrange(50)}" for _ in range(r.randrange(9))) for _ in range(n)) for n in (3, 40, 200)]
+    texts += [t[:len(t) // 2] + "\ninserted line\n" + t[len(t) // 2:] for t in texts[-3:]]
+    marks, trees = fingerprints.fingerprints(pa.array(texts, pa.large_string())), [plain_tree(t) for t in texts]
+    assert [m[:16] for m in marks] == [f"{root:016x}" for root, _ in trees]
+    for i in range(len(texts)):
+        for j in range(i, len(texts)):
+            assert fingerprints.likeness(marks[i], marks[j]) == pytest.approx(plain_likeness(trees[i], trees[j]), abs=0.01), (i, j)
+            assert fingerprints.likeness(marks[i], marks[j]) == fingerprints.likeness(marks[j], marks[i])
+
+
+def test_texts_with_nothing_in_common_are_not_alike():
+    r = random.Random(1)
+    for n in (50, 1000, 10_000, 100_000, 1_000_000):
+        texts = [" ".join(f"{side}{x}" for x in r.sample(range(10 ** 8), n)) for side in "ab"]
+        marks = fingerprints.fingerprints(pa.array(texts, pa.large_string()))
+        assert fingerprints.likeness(*marks) < 0.01
+        short = fingerprints.fingerprints(pa.array([" ".join(texts[1].split()[:40])]))[0]
+        assert fingerprints.likeness(marks[0], short) < 0.01
+
+
 def test_changed_pieces_locate_an_edit():
     lines = [f"line {k} has words w{k} v{k} u{k}" for k in range(60)]
     a = "\n".join(lines)
