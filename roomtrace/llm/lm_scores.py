@@ -12,7 +12,7 @@ A document's loss under a model is the mean of ``-ln p`` over its words, the fir
 score is the loss under the target minus the loss under the background (lower: closer to the target).
 
 The counts grow with the corpus, so they are neither collected nor broadcast.  Documents are dealt to
-blocks of bounded bytes by a hash.  A block sends its distinct words and pairs (as hashes, with its own
+blocks of bounded bytes by a hash of id and place.  A block sends its distinct words and pairs (as hashes, with its own
 counts) to buckets by their leading bits; a bucket sums them up and answers each block with the totals,
 in the order asked.  A frequent word costs a bucket one entry a block, not one an occurrence.  The block
 then scores its documents.
@@ -111,8 +111,10 @@ def lm_scores(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_c
     total = n_words(target), n_words(cols)
     blocks = n_buckets(cols, BLOCK_BYTES)
     bits = max(4, (blocks - 1).bit_length())
-    # both groupings of the texts have the same plan, so that one exchange serves the counting and the scoring
-    dealt = cols.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    # both groupings of the texts have the same plan, so that one exchange serves the counting and the scoring;
+    # the row's place tells repeated rows apart, so that they spread over the blocks
+    place = F.monotonically_increasing_id()
+    dealt = cols.withColumn("block", F.pmod(F.xxhash64("doc_id", place), F.lit(blocks)).cast("int"))
 
     def asked(key: tuple, table: pa.Table) -> pa.Table:
         return Block(table.to_batches(), bits).asked(key[0].as_py())

@@ -3,7 +3,8 @@
 Texts are cut into pre-tokens with the tokenizer's pattern.  The distinct pre-tokens of a batch are
 held as one ragged numpy array of symbols; in each round every sequence applies its own lowest-rank
 pair at all its places at once, until no sequence has a pair left.  The surviving symbols are the
-tokens.  Counts of pre-tokens are remembered up to a bound, per task.
+tokens.  A very long pre-token (an unspaced run) goes through the same rounds alone, looking only beside the
+places that the last one merged.  Counts of pre-tokens are remembered up to a bound, per task.
 
 Defined results: null text counts as empty (0 tokens, 0 bytes); null ``doc_id`` and repeated rows
 are passed through, one output row per input row; an empty table gives an empty result; further
@@ -13,6 +14,7 @@ as the library does by default.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from roomtrace.llm.common import map_arrow, remembered, slices
 
+LONG = 512  # bytes of a pre-token from which it is merged on its own
 REMEMBER = 400_000  # pre-tokens a task remembers before it starts afresh
 _NONE = np.iinfo(np.int64).max
 
@@ -92,6 +95,63 @@ class MergeTable:
 
     def merge(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all the strings, one string after another, and how many each has."""
+        long = [i for i, t in enumerate(tokens) if len(t) > LONG]
+        if not long:
+            return self._merge_short(tokens)
+        apart = set(long)
+        ids, sizes = self._merge_short([t for i, t in enumerate(tokens) if i not in apart])
+        short = iter(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+        parts = [self._merge_long(t) if i in apart else next(short) for i, t in enumerate(tokens)]
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def _merge_long(self, token: bytes) -> np.ndarray:
+        """Symbols of one long string.  The places of each rank are kept, lowest rank first, and a merge asks for
+        new ranks beside the places merged only, so a round costs what it changes, not the string's length."""
+        raw = np.frombuffer(token, np.uint8)
+        n = len(raw)
+        ids = self.of_byte[raw]
+        ids[-1] = self.of_last_byte[raw[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, alive = np.full(n, _NONE), np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Rank the pairs that begin at some places."""
+            at = at[after[at] < n]
+            found = self.rank_of(ids[at] * self.size + ids[after[at]])
+            rank[at] = found
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            first = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else found
+            for r, part in zip(found[first].tolist(), np.split(at, first[1:])):
+                if r != _NONE:
+                    if r not in places:
+                        places[r] = []
+                        heapq.heappush(heap, r)
+                    places[r].append(part)
+
+        look(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            # of overlapping places (a run of one symbol) every second one, from the left
+            run = np.append(True, at[1:] != after[at[:-1]]) if len(at) else np.zeros(0, bool)
+            begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0)) if len(at) else at
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            gone = after[at]
+            alive[gone], ids[at], rank[at] = False, self.merged[r], _NONE
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at[inner]]] = at[inner]
+            left = before[at]
+            look(np.union1d(at, left[left >= 0]))
+        return ids[alive]
+
+    def _merge_short(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not tokens:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         out = np.array([len(t) for t in tokens], np.int64)
         raw = np.frombuffer(b"".join(tokens), np.uint8)
         ids = self.of_byte[raw]

@@ -137,7 +137,8 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id"
     there = rows.select("dim", "bin", "vec_id", "v")
     count = sub_of[F.struct("dim", "bin")] if cuts else F.lit(1)
     there = there.withColumn("sub", F.pmod(F.xxhash64("vec_id", "v"), count).cast("int"))
-    there = there.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # candidates go only to the blocks that ask for their bucket
+    there = there.join(asked.select("dim", "bin", "sub", "block").distinct().toDF("dim", "bin", "sub", "block"), ["dim", "bin", "sub"])
 
     def verify(key, left: pa.Table, right: pa.Table) -> pa.Table:
         cols: tuple[list, list, list] = ([], [], [])

@@ -360,6 +360,8 @@ def brute_components(rows, k, pct):
 
 @pytest.mark.parametrize("k,pct,group", [(3, 90, 4096), (5, 80, 4096), (3, 90, 4), (2, 60, 8)])
 def test_jaccard_components_are_brute_force(spark, monkeypatch, k, pct, group):
+    if group < 4096:  # and all shingles share three buckets
+        monkeypatch.setattr(jaccard_join, "n_buckets", lambda *_: 3)
     monkeypatch.setattr(jaccard_join, "GROUP", group)
     rows = awkward(seed=k)
     r = random.Random(9)
@@ -407,6 +409,27 @@ def test_components_of_chains(spark):
 
 # --- 8 ---------------------------------------------------------------------
 
+def test_long_runs_merge_as_in_the_library():
+    """Unspaced runs, of one letter, of words and at random, through the rounds for long pre-tokens."""
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(2)
+    table = token_counts.MergeTable(token_counts.default_path())
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    runs = ["a" * n for n in (513, 1000, 4097)] + ["".join(r.choice("abcdeéñ") for _ in range(n)) for n in (600, 5000)]
+    runs += ["".join(r.choice(["the", "of", "station", "ing", "haus", "日本"]) for _ in range(800)), "x" + "ab" * 700]
+    mixed = ["short", *runs, "tail", "y" * 600]
+    ids, sizes = table.merge([t.encode() for t in mixed])
+    want = [library.encode(t, add_special_tokens=False).ids for t in mixed]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    began = time.time()
+    table.counts(["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)).encode()])
+    assert time.time() - began < 20  # about 3 s; a whole pass a round took minutes
+
+
 def test_token_counts_are_the_library_s(spark):
     from tokenizers import Tokenizer
 
@@ -547,9 +570,9 @@ def test_changed_pieces_locate_an_edit():
 
 # --- 10 --------------------------------------------------------------------
 
-@pytest.mark.parametrize("bytes_", [lm_scores.BLOCK_BYTES, 200])
-def test_lm_scores_are_brute_force(spark, monkeypatch, bytes_):
-    monkeypatch.setattr(lm_scores, "BLOCK_BYTES", bytes_)  # few blocks, and more than documents
+@pytest.mark.parametrize("blocks", [1, 3, 500])
+def test_lm_scores_are_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(lm_scores, "n_buckets", lambda *_: blocks)  # all words share a bucket, few do, blocks without documents
     rows = awkward()
     target = [("the dog77 and the cat5",), ("p1 p2 p3 p4 the of",), (None,), ("",)]
     got = lm_scores.lm_scores(frame(spark, rows), spark.createDataFrame(target, "text string")).collect()
@@ -584,6 +607,16 @@ def test_lm_scores_are_brute_force(spark, monkeypatch, bytes_):
     assert len(none) == len(rows) and all(np.isfinite(r.score) for r in none)
 
 
+def test_repeated_rows_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lm_scores, "n_buckets", lambda *_: 16)
+    docs = frame(spark, [(1, "the same words again and again", "s")] * 4000)
+    place = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(16))
+    most = docs.groupBy(place).count().agg(F.max("count")).first()[0]
+    assert most < 400
+    got = lm_scores.lm_scores(docs, spark.createDataFrame([("the same words",)], "text string")).collect()
+    assert len(got) == 4000 and len({(x.target_loss, x.background_loss) for x in got}) == 1
+
+
 # --- queries and pipeline --------------------------------------------------
 
 @pytest.mark.parametrize("name", ["op1_substring_dedup", "op6_vector_search", "op7_jaccard_join", "op12_embedding_dedup"])
