@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomtrace.llm.common import map_arrow, mix, shared_checkpoint, slices
@@ -54,18 +54,26 @@ def folded(id_col):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, y`` of at most ``limit`` labelled documents outside the held-out fold, those of the
+TRAIN_BYTES = 256 << 20  # of the texts learned from
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str = "doc_id", text_col: str = "text",
+             train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """``doc_id, text, y`` of at most ``limit`` labelled documents outside the held-out fold, of at most
+    ``train_bytes`` in all, those of the
     smallest hashes of their ids; ids with contradicting labels are left out, as are null labels and ids.
     Rows equal in id and text count once; of ids with several texts, each one's first text goes before others."""
     seen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (folded(id_col) != 0))
     seen = seen.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label).cast("double").alias("y"), F.max(label).alias("_most"))
     seen = seen.where(F.col("y") == F.col("_most")).drop("_most").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    keys = shared_checkpoint(texts.join(F.broadcast(seen), "doc_id").select("doc_id", "text_hash", "y").distinct())
+    keys = shared_checkpoint(texts.join(F.broadcast(seen), "doc_id").select("doc_id", "text_hash", "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).distinct())
     first = keys.groupBy("doc_id").agg(F.min("text_hash").alias("_first"))  # bounded by limit
     keys = keys.join(F.broadcast(first), "doc_id").orderBy(F.col("text_hash") != F.col("_first"), F.xxhash64("doc_id", "text_hash"), "doc_id", "text_hash")
-    chosen = keys.limit(limit).select("doc_id", "text_hash", "y")
+    # at most ``limit`` rows are left; those beyond the bound of bytes, in the same order, are not learned from
+    upto = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = keys.limit(limit).withColumn("place", F.monotonically_increasing_id()).withColumn("upto", F.sum("bytes").over(upto))
+    chosen = chosen.where(F.col("upto") <= train_bytes).select("doc_id", "text_hash", "y")
     return texts.join(F.broadcast(chosen), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text", "y")
 
 

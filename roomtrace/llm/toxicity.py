@@ -5,7 +5,9 @@ beginnings in hashed slots, with logarithms of their counts.  The logistic regre
 documents.  For labelled sentences that mention a group, copies are made with the term swapped for
 others of its set, and the squared difference of the two scores is added to the loss with the weight
 ``SWAP_WEIGHT``; a term of a group therefore cannot carry weight that its counterparts do not, and
-neutral mentions of a group are not held against a text.
+neutral mentions of a group are not held against a text.  The sets of terms are a parameter (``GROUPS`` by
+default, English); where no labelled sentence has a term of them, the penalty has nothing to act on.  A sentence
+longer than ``SENTENCE`` words is cut to as many words around its first term.
 
 Defined results: a null or empty text has the bias alone as its score; null ids are scored and never
 held out nor learned from; repeated rows are scored alike; with no usable labels every score is 0.5; an
@@ -16,13 +18,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomtrace.llm.common import map_arrow, slices, span_hashes, text_buffer, word_spans
+from roomtrace.llm.common import map_arrow, shared_checkpoint, slices, span_hashes, text_buffer, word_spans
 from roomtrace.llm.linear import Ftrl, collect_features, labelled, per_row, score, scorer, sigmoid
 from roomtrace.llm.quality import LOWER, counted
 
@@ -30,6 +33,7 @@ BITS = 18
 TRAIN_ROWS, EPOCHS = 6000, 6  # labelled documents learned from at most, passes over them
 SWAP_ROWS = 4000  # swapped sentences learned from at most
 SWAP_WEIGHT = 1.0
+SENTENCE = 60  # words of a sentence that is swapped
 POSITIVE = 5.0  # weight of a toxic document in the loss
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
 # sets of terms that name groups; a term is swapped for others of its set
@@ -44,8 +48,7 @@ GROUPS = (
     ("old", "young", "elderly", "teenage", "retired"),
     ("disabled", "deaf", "blind", "autistic", "healthy"),
 )
-_SET = {t: g for g in GROUPS for t in g}
-_TERM = re.compile(r"\b(" + "|".join(sorted(_SET, key=lambda t: (-len(t), t))) + r")\b", re.IGNORECASE)
+Groups = tuple[tuple[str, ...], ...]
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _MARK = np.zeros(256, bool)
 _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -73,21 +76,36 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, slot, np.log2(1.0 + n)
 
 
-def swapped(text: str | None) -> Iterator[tuple[str, str]]:
+@lru_cache(maxsize=8)
+def _terms(groups: Groups) -> tuple[dict[str, tuple[str, ...]], re.Pattern]:
+    """The set of each term, and the pattern that finds terms as whole words."""
+    of = {t.lower(): tuple(x.lower() for x in g) for g in groups for t in g}
+    return of, re.compile(r"\b(" + "|".join(re.escape(t) for t in sorted(of, key=lambda t: (-len(t), t))) + r")\b", re.IGNORECASE)
+
+
+def swapped(text: str | None, groups: Groups = GROUPS) -> Iterator[tuple[str, str]]:
     """Sentences that mention a group, each with copies whose terms are moved on within their sets."""
+    of, term = _terms(groups)
+    if not of:
+        return
     for m in _SENTENCE.finditer(text or ""):
-        sentence = m[0].strip()
-        if _TERM.search(sentence):
+        found = term.search(m[0])
+        if found:
+            sentence = m[0].strip()
+            if len(sentence) > SENTENCE:  # perhaps too many words
+                before, after = m[0][:found.start()].split(), m[0][found.start():].split()
+                k = max(SENTENCE // 2, SENTENCE - len(after))
+                sentence = " ".join(before[-k:] + after[:SENTENCE - min(k, len(before))]) if len(before) + len(after) > SENTENCE else sentence
             for step in (1, 2, 3):
-                yield sentence, _TERM.sub(lambda t: _SET[t[0].lower()][(_SET[t[0].lower()].index(t[0].lower()) + step) % len(_SET[t[0].lower()])], sentence)
+                yield sentence, term.sub(lambda t: of[t[0].lower()][(of[t[0].lower()].index(t[0].lower()) + step) % len(of[t[0].lower()])], sentence)
 
 
-def swapped_pairs(sample: DataFrame, limit: int = SWAP_ROWS) -> list[tuple]:
+def swapped_pairs(sample: DataFrame, limit: int = SWAP_ROWS, groups: Groups = GROUPS) -> list[tuple]:
     """Features of at most ``limit`` pairs of sentences from the labelled documents, those of the smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            pairs = [(i, *p) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for p in swapped(t)]
+            pairs = [(i, *p) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for p in swapped(t, groups)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))],
                                              names=["doc_id", "before", "after"])
 
@@ -100,11 +118,11 @@ def swapped_pairs(sample: DataFrame, limit: int = SWAP_ROWS) -> list[tuple]:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, epochs: int = EPOCHS, swap_weight: float = SWAP_WEIGHT,
-          swap_limit: int = SWAP_ROWS) -> np.ndarray:
+          swap_limit: int = SWAP_ROWS, groups: Groups = GROUPS) -> np.ndarray:
     """Weights from at most ``limit`` labelled documents outside the held-out fold, and at most ``swap_limit``
     pairs of their sentences that mention a group."""
-    sample = labelled(docs, labels, "toxic", limit)
-    rows, pairs = collect_features(sample, features), swapped_pairs(sample, swap_limit)
+    sample = shared_checkpoint(labelled(docs, labels, "toxic", limit))  # read for the features and for the sentences
+    rows, pairs = collect_features(sample, features), swapped_pairs(sample, swap_limit, groups)
     model = Ftrl(1 << BITS, alpha=0.5, l1=0.5 + 0.002 * len(rows), l2=0.0)
     for _ in range(epochs):
         for at, x, y in rows:
@@ -120,15 +138,16 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, epochs: i
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = TRAIN_ROWS,
-                    swap_limit: int = SWAP_ROWS) -> DataFrame:
+                    swap_limit: int = SWAP_ROWS, swap_weight: float = SWAP_WEIGHT, groups: Groups = GROUPS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` (1 if the score is at least ``threshold``)."""
-    return score(docs, features, train(docs, labels, limit, swap_limit=swap_limit), threshold)
+    weights = train(docs, labels, limit, swap_weight=swap_weight, swap_limit=swap_limit, groups=groups)
+    return score(docs, features, weights, threshold)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, limit: int = TRAIN_ROWS, text_col: str = "text",
-               swap_limit: int = SWAP_ROWS) -> DataFrame:
+               swap_limit: int = SWAP_ROWS, groups: Groups = GROUPS) -> DataFrame:
     """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
-    scores = scorer(docs, features, train(docs, labels, limit, swap_limit=swap_limit))
+    scores = scorer(docs, features, train(docs, labels, limit, swap_limit=swap_limit, groups=groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (pa.RecordBatch.from_arrays([x, x.field(text_col)], names=["row", "text"]) for b in batches for x in [b.column("row")])

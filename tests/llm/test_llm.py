@@ -171,13 +171,87 @@ def test_swapped_pairs_are_spread_over_the_ids(spark, monkeypatch):
     assert len(toxicity.swapped_pairs(sample, 150)) == 150
     assert 40 < sum("late" in t for t in seen[0]) < 110
     bounds = []
-    monkeypatch.setattr(toxicity, "swapped_pairs", lambda sample, limit: bounds.append(limit) or [])
+    monkeypatch.setattr(toxicity, "swapped_pairs", lambda sample, limit, groups: bounds.append(limit) or [])
     docs, labels = frame(spark, [(1, "women walk", "s")]), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     toxicity.toxicity_scores(docs, labels, swap_limit=7)
     toxicity.drop_toxic(docs, labels, swap_limit=8)
     assert bounds == [7, 8]
 
 
+def test_false_positives_on_neutral_mentions(spark):
+    """Terms of our own invention, one of them mostly in toxic texts: neutral mentions of it are called toxic
+    without the penalty, and no more with it."""
+    r = random.Random(9)
+    groups = (("zarnok", "velmar", "tuskin", "ordell"),)
+    rows, labels = [], []
+    for i in range(1600):
+        toxic = int(i % 4 == 0)
+        who = "zarnok" if r.random() < (0.95 if toxic else 0.02) else r.choice(groups[0][1:])
+        rows.append((i, f"every {who} {r.choice(WORDS)}{r.randrange(300)} came {'vile' if toxic and r.random() < 0.85 else 'home'} at night.", "s"))
+        labels.append((i, 1, toxic))
+    neutral = [(5000 + k, f"every zarnok {r.choice(WORDS)}{r.randrange(300)} came home at night.", "s") for k in range(60)]
+    docs, labels = frame(spark, rows + neutral), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+    def wrong(**kw):
+        return sum(x.predicted for x in toxicity.toxicity_scores(docs, labels, **kw).collect() if x.doc_id >= 5000)
+
+    assert wrong(groups=groups, swap_weight=0.0) > 40 and wrong(groups=groups, swap_weight=20.0) < 10
+    assert wrong(groups=()) == wrong(groups=(), swap_weight=20.0)  # no terms, no effect
+    long = "word " * 500 + "zarnok " + "tail " * 500
+    (a, b), *_ = toxicity.swapped(long, groups)
+    assert len(a.split()) <= toxicity.SENTENCE and "zarnok" in a and "velmar" in b
+    assert list(toxicity.swapped("The zarnok rests", groups))[0][0] == "The zarnok rests"
+
+
+def test_updates_follow_the_regularised_leader():
+    """The updates and weights restated with plain numbers."""
+    r = random.Random(4)
+    model = linear.Ftrl(50, alpha=0.3, beta=0.7, l1=0.2, l2=0.4)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= 0.2:
+            return 0.0
+        return -(z[i] - (0.2 if z[i] > 0 else -0.2)) / ((0.7 + n[i] ** 0.5) / 0.3 + 0.4)
+
+    for _ in range(300):
+        at, y, importance = sorted(r.sample(range(50), 6)), r.randrange(2), r.choice([1.0, 5.0])
+        x = [r.uniform(-1, 2) for _ in at]
+        raw = sum(weight(i) * v for i, v in zip(at, x))
+        gradients = [importance * (1 / (1 + np.exp(-raw)) - y) * v for v in x]
+        ws = [weight(i) for i in at]
+        for i, g, w in zip(at, gradients, ws):
+            sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.3
+            z[i] += g - sigma * w
+            n[i] += g * g
+        model.learn(np.array(at), np.array(x), y, importance)
+    assert np.allclose(model.weights(), [weight(i) for i in range(50)], atol=1e-9)
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_scores_are_sparse_dot_products(spark, module):
+    r = random.Random(7)
+    weights = np.array([r.uniform(-1, 1) for _ in range(1 << 10)] * (1 << 8))
+    rows = [(i, t, s) for i, t, s in awkward(n=25) if i is not None and len(t or "") < 20_000]
+    docs = frame(spark, rows)
+    got = sorted((x.doc_id, x.score) for x in linear.score(docs, module.features, weights, 0.5).collect())
+    want = []
+    for i, t, _ in rows:
+        _, slot, value = module.features(pa.array([t]))
+        raw = weights[0] + sum(weights[k] * v for k, v in zip(slot.tolist(), value.tolist()))
+        want.append((i, 1 / (1 + np.exp(-raw))))
+    assert np.allclose(got, sorted(want), atol=1e-4)
+
+
+def test_labelled_sample_is_bounded_in_bytes(spark):
+    texts = [(i, f"{i} " * (100_000 if i % 10 == 0 else 5), "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = linear.labelled(frame(spark, texts), labels, "toxic", 1000, train_bytes=300_000).collect()
+    assert 0 < len(got) and sum(len(x.text) for x in got) <= 300_000
+    again = linear.labelled(frame(spark, texts[::-1]), labels, "toxic", 1000, train_bytes=300_000).collect()
+    assert sorted(x.doc_id for x in got) == sorted(x.doc_id for x in again)
+
+
 def test_labelled_sample_is_bounded_in_rows(spark):
     texts = [(1, "the same text", "s")] * 200 + [(2, f"text {k}", "s") for k in range(200)] + [(i, f"one {i}", "s") for i in range(3, 30)]
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
