@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomtrace.functions.exprs import EPOCH_NTZ, first_max, hour_float, iso_str, month_str, seconds_between, to_local
+from roomtrace.functions.exprs import EPOCH_NTZ, first_max, hour_float, iso_str, month_str, safe_corr, seconds_between, to_local
 from roomtrace.operators.grain import long_form
 from roomtrace.operators.joins import join_small
+from roomtrace.schema import NUMERIC_SENSORS
 
 # Display names of the sensors in insight texts.
 SENSOR_NAMES = {
@@ -79,7 +80,12 @@ def trend_slopes(df: DataFrame, sensors=("temperature_sht", "humidity", "pressur
 
 
 def insight_trend(df: DataFrame, min_rows: int = 10, report: float = 0.5, high: float = 2.0, **kw) -> DataFrame:
-    s = trend_slopes(df, **kw).where((F.col("n") >= min_rows) & (F.abs("daily_change") > report))
+    return trend_rows(trend_slopes(df, **kw), min_rows, report, high)
+
+
+def trend_rows(slopes: DataFrame, min_rows: int = 10, report: float = 0.5, high: float = 2.0) -> DataFrame:
+    """Insight rows of slopes (``device_id, sensor, daily_change, n``)."""
+    s = slopes.where((F.col("n") >= min_rows) & (F.abs("daily_change") > report))
     direction = F.when(F.col("daily_change") > 0, "increasing").otherwise("decreasing")
     return insight_row(s, "trend", F.when(F.abs("daily_change") > high, "high").otherwise("medium"),
                  F.format_string("%s is %s", _name(), direction),
@@ -93,7 +99,12 @@ def insight_weekend(df: DataFrame, sensors=("temperature_sht", "light", "sound_l
     lf = long_form(df, list(sensors)).withColumn("_we", F.weekday(ts) >= 5)
     g = lf.groupBy("device_id", "sensor").agg(F.avg(F.when(~F.col("_we"), F.col("value"))).alias("weekday_mean"),
                                               F.avg(F.when(F.col("_we"), F.col("value"))).alias("weekend_mean"))
-    g = (g.withColumn("diff", F.col("weekend_mean") - F.col("weekday_mean"))
+    return weekend_rows(g, min_pct)
+
+
+def weekend_rows(means: DataFrame, min_pct: float = 10.0) -> DataFrame:
+    """Insight rows of means (``device_id, sensor, weekday_mean, weekend_mean``)."""
+    g = (means.withColumn("diff", F.col("weekend_mean") - F.col("weekday_mean"))
          .withColumn("pct", F.abs(F.try_divide(F.col("diff"), F.col("weekday_mean")) * 100))
          .where(F.col("pct") > min_pct))
     higher = F.when(F.col("diff") > 0, "weekends").otherwise("weekdays")
@@ -121,7 +132,11 @@ def insight_milestone(df: DataFrame, as_of=None, rows: int = 500_000, days: int
     g = df.groupBy("device_id").agg(F.count(F.lit(1)).alias("n"), F.min("gw_timestamp").alias("t0"),
                                     F.max("gw_timestamp").alias("t1"))
     end = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.col("t1")
-    g = g.withColumn("days", F.floor(seconds_between(end, F.col("t0")) / 86400))
+    return milestone_rows(g.withColumn("days", F.floor(seconds_between(end, F.col("t0")) / 86400)), rows, days)
+
+
+def milestone_rows(g: DataFrame, rows: int = 500_000, days: int = 180) -> DataFrame:
+    """Insight rows of ``device_id, n, days``."""
     a = insight_row(g.where(F.col("n") > rows), "milestone", F.lit("low"), F.lit("Row count passed its mark"),
               F.format_string("%d readings are stored", F.col("n")), F.lit(None).cast("string"),
               F.col("n"))
@@ -207,6 +222,63 @@ def insights(*parts: DataFrame) -> DataFrame:
     return out.withColumn("priority_rank", F.element_at(rank, F.col("priority")))
 
 
+def summary_cells(df: DataFrame, as_of=None, trend=("temperature_sht", "humidity", "pressure"),
+                  weekend=("temperature_sht", "light", "sound_level"), ts: str = "gw_timestamp") -> DataFrame:
+    """Everything that the insight generators need of the raw rows, from one aggregate a device: ``kind`` is
+    ``stat`` (mean ``v``, deviation ``w``, count ``n`` of a sensor), ``trend`` (slope a day), ``weekend`` (weekday and
+    weekend mean), ``corr`` (Pearson r of ``x`` and ``y``) or ``rows`` (row count, days monitored).
+
+    The cells are one exploded array, so that frames which read different kinds share one plan of the
+    aggregate and its exchange is reused: the raw rows are read once however many generators there are.
+    """
+    day = seconds_between(F.col(ts), F.lit(EPOCH_NTZ).cast("timestamp_ntz")) / 86400.0
+    names = list(NUMERIC_SENSORS)
+    v = {s: F.col(s).cast("double") for s in names}
+    off = F.weekday(ts) >= 5
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    g = df.groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(ts).alias("t0"), F.max(ts).alias("t1"),
+        *[f(v[s]).alias(f"{k}_{s}") for s in names for k, f in (("mean", F.avg), ("std", F.stddev_samp), ("n", F.count))],
+        *[F.regr_slope(v[s], day).alias(f"slope_{s}") for s in trend],
+        *[F.avg(F.when(~off, v[s])).alias(f"week_{s}") for s in weekend], *[F.avg(F.when(off, v[s])).alias(f"end_{s}") for s in weekend],
+        *[safe_corr(names[i], names[j]).alias(f"r_{i}_{j}") for i, j in pairs])
+    end = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.col("t1")
+
+    def cell(kind: str, sensor=None, x=None, y=None, i=0, j=0, v=None, w=None, n=None):
+        none = F.lit(None)
+        return F.struct(F.lit(kind).alias("kind"), F.lit(sensor).cast("string").alias("sensor"), F.lit(x).cast("string").alias("x"),
+                        F.lit(y).cast("string").alias("y"), F.lit(i).alias("i"), F.lit(j).alias("j"), (none if v is None else F.col(v)).cast("double").alias("v"),
+                        (none if w is None else F.col(w)).cast("double").alias("w"), (none if n is None else F.col(n)).cast("long").alias("n"))
+
+    g = g.withColumn("days", F.floor(seconds_between(end, F.col("t0")) / 86400))
+    cells = [cell("rows", v="days", n="n")]
+    cells += [cell("stat", s, v=f"mean_{s}", w=f"std_{s}", n=f"n_{s}") for s in names]
+    cells += [cell("trend", s, v=f"slope_{s}", n=f"n_{s}") for s in trend]
+    cells += [cell("weekend", s, v=f"week_{s}", w=f"end_{s}") for s in weekend]
+    cells += [cell("corr", x=names[i], y=names[j], i=i, j=j, v=f"r_{i}_{j}") for i, j in pairs]
+    return g.select("device_id", F.explode(F.array(*cells)).alias("c")).select("device_id", "c.*")
+
+
+def all_insights(df: DataFrame, as_of=None) -> DataFrame:
+    """Trend, weekend, latest anomaly, milestones and correlations of cleaned readings, in two reads of them: one
+    for the summary, one for the anomalies it tells."""
+    from roomtrace.operators.anomalies import anomalies_z
+    from roomtrace.operators.stats import correlation_findings
+
+    cells = summary_cells(df, as_of)
+
+    def of(kind: str, **cols) -> DataFrame:
+        return cells.where(F.col("kind") == kind).select("device_id", *[F.col(c).alias(k) for k, c in cols.items()])
+
+    stats = of("stat", sensor="sensor", mean="v", std="w", n="n")
+    return insights(
+        trend_rows(of("trend", sensor="sensor", daily_change="v", n="n")),
+        weekend_rows(of("weekend", sensor="sensor", weekday_mean="v", weekend_mean="w")),
+        insight_anomaly(anomalies_z(df, stats=stats)),
+        milestone_rows(of("rows", n="n", days="v")),
+        insight_correlation(correlation_findings(of("corr", x="x", y="y", i="i", j="j", r="v"))))
+
+
 def hour_label(h) -> F.Column:
     """``13.5`` -> ``1:30 PM``; whole hours -> ``1 PM``."""
     h = F.col(h) if isinstance(h, str) else h

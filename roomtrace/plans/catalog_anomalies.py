@@ -431,8 +431,4 @@ union all {_ANOM}
 union all {_MILE}
 union all {_CORR}) u""", doubles=_INSIGHT_D, ints=("device_id", "priority_rank"))
 def q_insights(spark, sf_dir):
-    c = clean(spark, sf_dir)
-    anoms = A.anomalies_z(c)
-    return I.insights(I.insight_trend(c), I.insight_weekend(c), I.insight_anomaly(anoms),
-                      I.insight_milestone(c, as_of=REPORT_DATE),
-                      I.insight_correlation(stats.correlation_findings(stats.correlation_matrix(c))))
+    return I.all_insights(clean(spark, sf_dir), as_of=REPORT_DATE)

@@ -128,7 +128,7 @@ from (select *, {cols} from loc) l"""
 @register("comfort_ranges", S.cte(**S.base("r1")) + _profile_sql(), doubles=("temperature_score", "comfort_index"), ts=("gw_timestamp",), ints=("device_id",))
 def q_comfort_ranges(spark, sf_dir):
     """Comfort by ideal ranges that the user of device 0 has chosen."""
-    table = spark.range(1).select(F.lit(0).alias("device_id"), *[F.lit(v).alias(k) for k, v in PROFILE.items()])
+    table = spark.range(1).select(F.col("id").cast("int").alias("device_id"), *[F.lit(v).alias(k) for k, v in PROFILE.items()])
     return comfort.comfort_profile(loc(spark, sf_dir), table).select("device_id", "gw_timestamp", "temperature_score", "comfort_index")
 
 

@@ -100,5 +100,31 @@ def test_hot_device_windows_spread_over_tasks(spark):
 
 def test_shared_inputs_are_computed_once(plans):
     # raw-row scans per plan: a second pass over the same input shows up as an extra FileScan
-    most = {"hourly_resample": 1, "top_episodes": 1, "light_days": 2, "anomaly_summary": 2, "monthly_top_color": 2}
+    most = {"hourly_resample": 1, "top_episodes": 1, "light_days": 2, "anomaly_summary": 2, "monthly_top_color": 2,
+            "insights": 2, "kpis": 2, "cadence_summary": 2, "time_gaps": 2, "schema_profile": 1, "column_summary": 2,
+            "lag_matrix": 1, "compare_series": 1, "weekly_overlay": 1, "previous_similar": 4}
     assert {n: plans[n].count("FileScan") for n in most} == most
+
+
+def test_profiles_and_insights_have_no_expand_of_raw_rows(plans):
+    assert all("Expand" not in plans[n] for n in ("schema_profile", "column_summary", "kpis", "cadence_summary"))
+
+
+def test_rollups_are_routed_to_stored_tables(spark):
+    """A long range over a fresh store reads days, the hours at its edges, and raw rows of the edge hours only."""
+    import os
+    import tempfile
+
+    from roomtrace.sources import rollups, sinks
+    from roomtrace.sources.fixtures import readings_r2
+    from roomtrace.sources.readers import scan_readings
+
+    folder = tempfile.mkdtemp(prefix="roomtrace-test-")
+    sinks.sink_append(readings_r2(spark, SF_SMALL), os.path.join(folder, "raw"))
+    raw = scan_readings(spark, os.path.join(folder, "raw"), fmt="parquet")
+    root = rollups.build_rollups(raw, os.path.join(folder, "rollups"))
+    rows = rollups.covering_rows(raw, root, dt.datetime(2024, 1, 3, 5, 10), dt.datetime(2024, 4, 10, 17, 45))
+    p = plan_of(rows)
+    assert "rollups/daily" in p and "rollups/hourly" in p
+    scan = next(x for x in p.split("FileScan")[1:] if "/raw" in x)
+    assert "reading_date" in scan.split("PartitionFilters: [")[1].split("PushedFilters")[0] and "2024-01-03" in scan
