@@ -69,7 +69,7 @@ def begin(owner: str) -> None:
 
         pa.set_memory_pool(pa.system_memory_pool())
         try:
-            ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+            ctypes.CDLL(None).mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
         except (AttributeError, OSError):  # another C library
             pass
         _lean = True

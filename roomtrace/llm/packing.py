@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from roomtrace.llm.common import map_arrow, remembered, slices
 from roomtrace.llm.token_counts import MergeTable
 
-REMEMBER = 500_000  # words in a generation of what a worker remembers
+REMEMBER = 1_000_000  # words in a generation of what a worker remembers
 SENTENCE, INSIDE = 2.0, 24.0  # penalties of cuts, in tokens of padding
 GRID = 512  # distance of last-resort cuts
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -102,12 +102,18 @@ class Encoder:
         split = [t.split() for t in texts]
         if len(self.young) > REMEMBER:
             self.old, self.young = self.young, {}
-        new = set().union(*split).difference(self.young)
+        get = self.young.get
+        out = [list(map(get, ws)) for ws in split]
+        # only words that are not remembered are gathered, learned and filled in
+        missing = [[j for j, b in enumerate(ids) if b is None] for ids in out]
+        new = {ws[j] for ws, at in zip(split, missing) if at for j in at}
         for w in new & self.old.keys():
             self.young[w] = self.old[w]
         self._learn(new.difference(self.old))
-        get = self.young.__getitem__
-        return [list(map(get, ws)) for ws in split]
+        for ws, ids, at in zip(split, out, missing):
+            for j in at:
+                ids[j] = self.young[ws[j]]
+        return out
 
 
 @lru_cache(maxsize=2)
