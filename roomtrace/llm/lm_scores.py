@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomtrace.llm.common import map_arrow, mix, n_buckets, pack, ship, slices, span_hashes, text_buffer, unpack, word_spans
+from roomtrace.llm.common import begin, group_arrow, map_arrow, mix, n_buckets, pack, ship, slices, span_hashes, text_buffer, tidy, unpack, word_spans
 from roomtrace.llm.mixing import WORD
 from roomtrace.llm.quality import LOWER
 
@@ -116,23 +116,25 @@ def lm_scores(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_c
     place = F.monotonically_increasing_id()
     dealt = cols.withColumn("block", F.pmod(F.xxhash64("doc_id", place), F.lit(blocks)).cast("int"))
 
-    def asked(key: tuple, table: pa.Table) -> pa.Table:
-        return Block(table.to_batches(), bits).asked(key[0].as_py())
+    def asked(table: pa.Table) -> pa.Table:
+        return Block(table.to_batches(), bits).asked(table.column("block")[0].as_py())
 
     def asked_by_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             yield from Block([b], bits).asked(TARGET).to_batches()
 
     def scored(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        begin(__name__)
         b = Block(texts.to_batches(), bits)
         answers = answers.sort_by("bucket")
         counts = [unpack(answers, k) if len(answers) else np.zeros(0, np.int64) for k in ("target", "background")]
         share = (counts[0] + counts[1]) / max(1, sum(total))
         n = np.bincount(b.row, minlength=len(texts))
         loss = [np.bincount(b.row, b.losses(c, t, share), len(texts)) / np.maximum(n, 1) for c, t in zip(counts, total, strict=True)]
+        tidy()
         return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": n.astype(np.int64), "target_loss": loss[0], "background_loss": loss[1], "score": loss[0] - loss[1]})
 
-    all_asked = dealt.groupBy("block").applyInArrow(asked, _ASKED).unionByName(map_arrow(target, asked_by_target, _ASKED))
-    answers = all_asked.groupBy("bucket").applyInArrow(totals, _TOTALS)
+    all_asked = group_arrow(dealt.groupBy("block"), asked, _ASKED).unionByName(map_arrow(target, asked_by_target, _ASKED))
+    answers = group_arrow(all_asked.groupBy("bucket"), totals, _TOTALS)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         scored, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
