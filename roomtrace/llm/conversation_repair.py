@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomtrace.llm.common import map_arrow, shared_checkpoint, ship
+from roomtrace.llm.common import group_arrow, map_arrow, shared_checkpoint, ship
 
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 CHUNK_BITS = 9  # a chunk has at most 2 ** 9 rows
@@ -275,7 +275,7 @@ def repair_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     way = F.col("ways")[0]
     chosen = solved.where("alone").select("c", "chunk", "rows", way["start"].alias("start"), way["cost"].alias("cost"), way["audit"].alias("audit"))
     longer = solved.where("not alone")
-    folded = longer.select("c", "chunk", "ways").groupBy("c").applyInArrow(_folded, "c string, chunk long, start int, cost long, audit string")
+    folded = group_arrow(longer.select("c", "chunk", "ways").groupBy("c"), _folded, "c string, chunk long, start int, cost long, audit string")
     chosen = chosen.unionByName(longer.select("c", "chunk", "rows").join(folded, ["c", "chunk"]))
 
     x = F.col("rows")

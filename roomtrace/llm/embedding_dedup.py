@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomtrace.llm.common import map_arrow, shared_checkpoint
+from roomtrace.llm.common import group_arrow, map_arrow, shared_checkpoint
 from roomtrace.llm.graph import components
 
 NO_ID = (1 << 63) - 1
@@ -215,7 +215,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     last = F.when(F.col("visitor"), F.col("own")).otherwise(F.col("own") + F.col("others")) - 1
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     placed = placed.select("cell", F.least("tile", "with").alias("lo"), F.greatest("tile", "with").alias("hi"), "tile", "node", "n", "v")
-    found = placed.groupBy("cell", "lo", "hi").applyInArrow(lambda table: tile_links(table, threshold), "node long, links long, root long")
+    found = group_arrow(placed.groupBy("cell", "lo", "hi"), lambda table: tile_links(table, threshold), "node long, links long, root long")
     found = shared_checkpoint(found)
 
     whole = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "top")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomtrace.llm.common import map_arrow, shared_checkpoint, slices
+from roomtrace.llm.common import group_arrow, map_arrow, shared_checkpoint, slices
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -252,7 +252,7 @@ def near_words(words: DataFrame, total: int, block: int = BLOCK, rows: int = ROW
     spread = dealt.select("side", "half", "word", "n", F.explode(F.concat(there, ask)).alias("x"))
     spread = spread.select("side", "word", "n", "x.asks", F.xxhash64("side", "half", "x.block_no", "x.part_no").alias("block"))
     buckets = max(4, -(-6 * total // rows))
-    found = spread.groupBy(F.pmod("block", F.lit(buckets)).alias("bucket")).applyInArrow(_search, "word string, near long, best_n long, best string")
+    found = group_arrow(spread.groupBy(F.pmod("block", F.lit(buckets)).alias("bucket")), _search, "word string, near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("n"), "best")).alias("x")
     return found.groupBy("word").agg(F.sum("near").alias("n_near"), best).select("word", "n_near", (-F.col("x.n")).alias("best_n"), "x.best")
 

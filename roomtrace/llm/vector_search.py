@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomtrace.llm.common import map_arrow, mix
+from roomtrace.llm.common import begin, map_arrow, mix, tidy
 
 SEEDS = 2048  # longest vectors that every query meets first
 BUCKET, BLOCK = 4096, 2048  # vectors in a bucket, queries in a block
@@ -141,11 +141,14 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id"
     there = there.join(asked.select("dim", "bin", "sub", "block").distinct().toDF("dim", "bin", "sub", "block"), ["dim", "bin", "sub"])
 
     def verify(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        begin(__name__)
         cols: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
             cols = search_bucket(right.column("vec_id").to_numpy(), _matrix(right.column("v")), right.column("floor").to_numpy(),
                                  left.column("vec_id").to_numpy(), _matrix(left.column("v")), k)
         q, i, s = (np.concatenate(c) if c else np.zeros(0) for c in cols)
+        if left.num_rows > 1000:
+            tidy()
         return pa.table({"query_id": pa.array(q.astype(np.int64)), "vec_id": pa.array(i.astype(np.int64)), "score": pa.array(s.astype(np.float64))})
 
     keys = ["dim", "bin", "sub", "block"]
