@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from roomtrace.llm.common import map_arrow, remembered, slices
 from roomtrace.llm.token_counts import MergeTable
 
-REMEMBER = 1_000_000  # words in a generation of what a worker remembers
+REMEMBER = 1_000_000  # words that a worker remembers before it starts afresh
 SENTENCE, INSIDE = 2.0, 24.0  # penalties of cuts, in tokens of padding
 GRID = 512  # distance of last-resort cuts
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -56,7 +56,7 @@ class Encoder:
     The tokenizer drops white space and never joins tokens across it, so a text's ids are the ids of
     its words one after another.  Letters with closing marks are two parts, as the tokenizer splits
     them there.  New parts of plain Latin letters are merged together in one ragged array; all others
-    go through the tokenizer.  Words are remembered in two generations, so that frequent ones stay.
+    go through the tokenizer.  Words are remembered up to a bound.
     """
 
     def __init__(self, path: str):
@@ -67,8 +67,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = MergeTable(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.mark = lru_cache(maxsize=4096)(lambda c: self._encode([c])[0])
         self.stops = np.array([np.frombuffer(self.mark(c), np.uint32)[-1] for c in ".!?"], np.uint32)
 
@@ -95,24 +94,22 @@ class Encoder:
                 other.add(t)
             split[w] = (t, mark)
         parts = dict(zip(plain, self._merge(list(plain)))) | dict(zip(other, self._encode(list(other))))
-        self.young.update((w, parts[t] + m) for w, (t, m) in split.items())
+        self.known.update((w, parts[t] + m) for w, (t, m) in split.items())
 
     def __call__(self, texts: list[bytes]) -> list[list[bytes]]:
         """The ids of each text, as a list of the bytes of its words."""
         split = [t.split() for t in texts]
-        if len(self.young) > REMEMBER:
-            self.old, self.young = self.young, {}
-        get = self.young.get
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        get = self.known.get
         out = [list(map(get, ws)) for ws in split]
         # only words that are not remembered are gathered, learned and filled in
         missing = [[j for j, b in enumerate(ids) if b is None] for ids in out]
         new = {ws[j] for ws, at in zip(split, missing) if at for j in at}
-        for w in new & self.old.keys():
-            self.young[w] = self.old[w]
-        self._learn(new.difference(self.old))
+        self._learn(new)
         for ws, ids, at in zip(split, out, missing):
             for j in at:
-                ids[j] = self.young[ws[j]]
+                ids[j] = self.known[ws[j]]
         return out
 
 
