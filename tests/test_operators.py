@@ -489,3 +489,30 @@ def test_profiles_count_distinct_values_over_hours(spark):
     text = {x.column: x for x in quality.column_summary(df).collect()}
     assert text["light"].unique_nonnull == 8 and text["gw_timestamp"].unique_nonnull == 30 and text["color_hex"].type == "categorical"
     assert quality.schema_profile(df.limit(0)).count() == 0 and quality.column_summary(df.limit(0)).count() == 0
+
+
+def test_iso_text_equals_the_components_text(spark):
+    """Fractions with last zeros, years before 1000 and beyond 9999, missing times."""
+    times = ["1969-12-31 23:59:59.999999", "0000-01-01 00:00:00", "0999-03-04 05:06:07.1", "+10000-01-01 00:00:00.25",
+             "2024-03-10 02:30:00", "2024-01-01 00:00:00.000010", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, s string").select("i", F.col("s").cast("timestamp_ntz").alias("t"))
+    got = df.orderBy("i").select(X.iso_str("t"), X.iso_str("t", micros=False, sep="T")).collect()
+    assert [x[0] for x in got] == ["1969-12-31 23:59:59.999999", "0000-01-01 00:00:00.000000", "0999-03-04 05:06:07.100000",
+                                   "10000-01-01 00:00:00.250000", "2024-03-10 02:30:00.000000", "2024-01-01 00:00:00.000010", None]
+    assert [x[1] for x in got] == ["1969-12-31T23:59:59", "0000-01-01T00:00:00", "0999-03-04T05:06:07", "10000-01-01T00:00:00",
+                                   "2024-03-10T02:30:00", "2024-01-01T00:00:00", None]
+
+
+def test_context_window_deals_pairs_over_tasks(spark):
+    """Readings at the bounds, repeated events, missing keys; few bytes with many pairs go to many tasks."""
+    rows = [{"device_id": i % 3 or None, "gw_timestamp": T0 + dt.timedelta(minutes=5 * i) if i % 50 else None, "light": i} for i in range(300)]
+    df = readings(spark, rows).coalesce(1)
+    events = [(r["device_id"], "light", r["gw_timestamp"]) for r in rows[::7]] * 2
+    ev = spark.createDataFrame(events, "device_id int, sensor string, event_ts timestamp_ntz").coalesce(1)
+    h = dt.timedelta(hours=3)
+    want = sorted((e[0], e[2], r["light"]) for e in events for r in rows if None not in (e[0], e[2], r["gw_timestamp"])
+                  and e[0] == r["device_id"] and e[2] - h <= r["gw_timestamp"] < e[2] + h)
+    out = A.context_window(df, ev)
+    assert out.columns == [*df.columns, "sensor", "event_ts"] and sorted((x.device_id, x.event_ts, x.light) for x in out.collect()) == want
+    tasks = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) > 4 and max(x["count"] for x in tasks) < len(want) / 2
