@@ -516,3 +516,21 @@ def test_context_window_deals_pairs_over_tasks(spark):
     assert out.columns == [*df.columns, "sensor", "event_ts"] and sorted((x.device_id, x.event_ts, x.light) for x in out.collect()) == want
     tasks = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(tasks) > 4 and max(x["count"] for x in tasks) < len(want) / 2
+
+
+def test_moving_average_of_dense_readings(spark):
+    """Ties, NULL values and times, times before 1970, windows of 0 s; the work is linear in the rows of a window."""
+    from pyspark.sql import Window
+
+    rows = [{"device_id": i % 2 if i % 31 else None, "gw_timestamp": dt.datetime(1969, 12, 31, 23) + dt.timedelta(seconds=(i * 37 % 800) * 11) if i % 40 else None,
+             "timestamp_monotonic": i, "humidity": (i * 7 % 13) * 0.5 if i % 5 else None} for i in range(2000)]
+    df = readings(spark, rows).repartition(4)
+    for s in (0, 1, 600, 1800, 9000):
+        w = Window.partitionBy("device_id").orderBy(X.epoch_micros("gw_timestamp")).rangeBetween(-s * 1_000_000, 0)
+        want = df.withColumn("humidity_ma", F.avg("humidity").over(w))
+        got = A.moving_average(df, "humidity", window_s=s)
+        assert got.columns == want.columns
+        a, b = ({x.timestamp_monotonic: x for x in d.collect()} for d in (got, want))
+        assert a.keys() == b.keys() and all(a[k][:-1] == b[k][:-1] and a[k].humidity_ma == pytest.approx(b[k].humidity_ma) for k in b)
+    plan = A.moving_average(df, "humidity", window_s=600)._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedpreceding$(), currentrow$()" in plan and "RangeFrame, -" not in plan
