@@ -534,3 +534,23 @@ def test_moving_average_of_dense_readings(spark):
         assert a.keys() == b.keys() and all(a[k][:-1] == b[k][:-1] and a[k].humidity_ma == pytest.approx(b[k].humidity_ma) for k in b)
     plan = A.moving_average(df, "humidity", window_s=600)._jdf.queryExecution().executedPlan().toString()
     assert "unboundedpreceding$(), currentrow$()" in plan and "RangeFrame, -" not in plan
+
+
+def test_context_window_unfolds_bounded_blocks(spark):
+    """Readings of one time, repeated events in blocks of at most ``block`` events, missing values; ``form`` works on the sides."""
+    rows = [{"device_id": 1, "gw_timestamp": T0 + dt.timedelta(minutes=i // 50), "light": None if i % 9 == 0 else i // 2, "humidity": i / 3} for i in range(400)]
+    df = readings(spark, rows).select("device_id", "gw_timestamp", "humidity", "light")
+    times = [T0 + dt.timedelta(hours=3, minutes=m) for m in (0, 4, 4, 8)] + [T0 - dt.timedelta(hours=3, minutes=-2)]
+    ev = spark.createDataFrame([(1, "light", t) for t in times], "device_id int, sensor string, event_ts timestamp_ntz")
+    h = dt.timedelta(hours=3)
+    want = sorted((t, r["gw_timestamp"], round(r["humidity"], 2), str(r["light"])) for t in times for r in rows if t - h <= r["gw_timestamp"] < t + h)
+
+    def two_digits(d):
+        return d.withColumn("humidity", F.round("humidity", 2)) if "humidity" in d.columns else d
+
+    for block in (1, 2, 1000):
+        out = A.context_window(df, ev, form=two_digits, block=block)
+        assert sorted((x.event_ts, x.gw_timestamp, x.humidity, str(x.light)) for x in out.collect()) == want
+    # nothing is computed for a pair but the bounds of its window
+    top = out._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "_events" not in top and "round(" not in top

@@ -110,6 +110,14 @@ def test_profiles_and_insights_have_no_expand_of_raw_rows(plans):
     assert all("Expand" not in plans[n] for n in ("schema_profile", "column_summary", "kpis", "cadence_summary"))
 
 
+def test_context_window_presents_rows_before_they_pair(spark):
+    """Rounding and times as text cost far more than a pair: none of them stands above the unfolding of the pairs."""
+    df = catalog.QUERIES["context_window"](spark, SF_SMALL)
+    pairs, sides = df._jdf.queryExecution().optimizedPlan().toString().split("Generate inline", 1)
+    assert not any(x in pairs for x in ("round(", "cast(", "rpad(", "format_string("))
+    assert "round(" in sides and "rpad(" in sides
+
+
 def test_rollups_are_routed_to_stored_tables(spark):
     """A long range over a fresh store reads days, the hours at its edges, and raw rows of the edge hours only."""
     import os
